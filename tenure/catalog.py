@@ -17,6 +17,9 @@ from tenure.operators import reports_ms as ms
 from tenure.operators import reports_pay as pay
 from tenure.operators import reports_perf as perf
 from tenure.operators import reports_rep as rep
+from tenure.operators import changes as chg
+from tenure.operators import quality as dq
+from tenure.operators import telemetry as tel
 from tenure.operators import views
 from tenure.sources.fixture import hr_tables
 from tenure.sources.tables import Tables
@@ -78,6 +81,32 @@ REPORTS: dict[str, Report] = {
     "employee_stats": views.employee_stats,
     "salary_metrics": views.salary_metrics,
     "dept_stats": views.dept_stats,
+    # table changes: each returns the whole new version of one table
+    "chg_bulk_title_update": chg.bulk_title_update,
+    "chg_salary_adjust": chg.salary_adjust,
+    "chg_transfer": chg.transfer,
+    "chg_update_salary": chg.update_salary,
+    "chg_append_suffix": chg.append_suffix,
+    "chg_dept_budget_raise": chg.dept_budget_raise,
+    "chg_bracket_raise": chg.bracket_raise,
+    "chg_touch_last_modified": chg.touch_last_modified,
+    # data quality
+    "dq_duplicate_keys": dq.dq_duplicate_keys,
+    "dq_foreign_key_orphans": dq.dq_foreign_key_orphans,
+    "dq_not_null": dq.dq_not_null,
+    "dq_domain_violations": dq.dq_domain_violations,
+    "dq_table_counts": dq.dq_table_counts,
+    # request telemetry
+    "tel_request_metrics": tel.request_metrics,
+    "tel_request_metrics_windowed": tel.request_metrics_windowed,
+    "tel_slo_check": tel.slo_check,
+    "tel_gauge_records": tel.gauge_records,
+    "tel_top_statements": tel.top_statements,
+    "tel_active_sessions": tel.active_sessions,
+    "tel_counter_rate": tel.request_counter_rate,
+    "tel_slow_requests": tel.slow_requests,
+    "tel_request_log": tel.request_log,
+    "tel_endpoint_mix": tel.endpoint_mix,
 }
 
 _TABLES: dict[tuple[int, str], Tables] = {}
