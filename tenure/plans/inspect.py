@@ -29,11 +29,20 @@ def problems(df: DataFrame) -> list[str]:
         out.append("cartesian product")
     if re.search(r"BroadcastNestedLoopJoin", text) and "BuildRight" not in text and "BuildLeft" not in text:
         out.append("nested-loop join without a build side")
-    if "SinglePartition" in text and "Window" in text:
+    if unpartitioned_windows(text):
         out.append("window over a single partition")
     return out
 
 
+def unpartitioned_windows(text: str) -> list[str]:
+    """Window operators with an empty PARTITION BY (all rows meet in one task)."""
+    found = []
+    for m in re.finditer(r"\(\d+\) Window\n(?:.*\n)*?Arguments: (.*)\n", text):
+        if re.search(r"\], \[\], \[", m.group(1)):
+            found.append(m.group(1)[:120])
+    return found
+
+
 def shuffle_count(df: DataFrame) -> int:
     return len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", plan_text(df, "simple")))
 

@@ -70,7 +70,7 @@ def generate_hr(
     )
     employees = emp.select("emp_no", "birth_date", "first_name", "last_name", "gender", "hire_date")
     # 1-4 salary rows; each starts 365-1095 days after the previous one, all open (as the loader writes them).
-    n_sal = _int_between(_uniform(seed, 7, i), 1, 4)
+    n_sal = _int_between(_uniform(seed, 7, F.col("row_id")), 1, 4)
     sal = emp.select("row_id", "emp_no", "hire_date", F.explode(F.sequence(F.lit(1), n_sal)).alias("j"))
     # Start date = hire date + sum of the previous gaps; gaps are hashes of (row, j), so the
     # cumulative sum is a small per-row array aggregate (at most four terms), no window.
@@ -86,7 +86,7 @@ def generate_hr(
     depts = seed_departments(spark)
     dept_no = F.element_at(
         F.array(*[F.lit(d) for d, _ in SEED_DEPARTMENTS]),
-        (F.floor(_uniform(seed, 10, i) * len(SEED_DEPARTMENTS)) + 1).cast("int"),
+        (F.floor(_uniform(seed, 10, F.col("row_id")) * len(SEED_DEPARTMENTS)) + 1).cast("int"),
     )
     dept_emp = emp.select("emp_no", dept_no.alias("dept_no"), F.col("hire_date").alias("from_date"),
                           F.lit(OPEN_END).alias("to_date"))

@@ -7,11 +7,13 @@ afterwards, which is how a change becomes atomic on immutable files.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.schema import SALARY_ERA_BOUNDARY
+from tenure.sources.tables import Tables
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -75,8 +77,6 @@ def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
 
 def _next_version(spark: SparkSession, base: str) -> int:
     """Next version number, from the listed file paths (no data is read)."""
-    import re
-
     try:
         files = spark.read.parquet(base).inputFiles()
     except Exception:  # noqa: BLE001 - no snapshot yet
@@ -104,3 +104,20 @@ def read_page(spark: SparkSession, path: str, page: int, page_col: str = "page_n
 def write_metric_json(records: DataFrame, path: str, payload_col: str = "payload") -> None:
     """Metric payloads as JSON lines (the source posts them over HTTP; here they land in files)."""
     records.select(F.col(payload_col).alias("value")).write.mode("overwrite").text(path)
+
+
+def materialize_tables(t: Tables, path: str, names: list[str] | None = None) -> Tables:
+    """Write tables to ``path/<name>`` and return them read back (stored tables, lineage cut).
+
+    HR fact tables are written sorted by ``emp_no`` within files, so parquet
+    row-group statistics let point and range lookups on the key skip data.
+    """
+    spark = next(iter(t.values())).sparkSession
+    out = {}
+    for name in names or list(t):
+        df = t[name]
+        target = f"{path.rstrip('/')}/{name}"
+        w = df.sortWithinPartitions("emp_no") if "emp_no" in df.columns else df
+        w.write.mode("overwrite").parquet(target)
+        out[name] = spark.read.parquet(target)
+    return Tables(out)
