@@ -23,22 +23,23 @@ def ordered_concat(value: Column, order: list[Column], sep: str) -> Column:
 def chunked_concat(
     df: DataFrame,
     group: list[str],
-    value: Column,
+    values: dict[str, Column],
     order: list[Column],
     chunk: list[Column],
     sep: str,
-    name: str,
 ) -> DataFrame:
-    """Two-level ordered concatenation per ``group``.
+    """Two-level ordered concatenation per ``group`` of every ``values`` column (same order).
 
-    ``chunk`` must be a prefix-compatible coarsening of ``order`` (sorting by
-    the chunk key never contradicts sorting by ``order``), e.g. ``emp_no div
-    1024`` for an order led by ``emp_no``.
+    ``chunk`` must be a coarsening of ``order`` (sorting by the chunk key never
+    contradicts sorting by ``order``), e.g. ``floor(emp_no / 1024)`` for an
+    order led by ``emp_no``. Level one builds one string per chunk in
+    parallel; level two joins the chunk strings in chunk order.
     """
     ck = [c.alias(f"c{i}") for i, c in enumerate(chunk)]
     ck_names = [f"c{i}" for i in range(len(chunk))]
-    level1 = df.groupBy(*group, *ck).agg(ordered_concat(value, order, sep).alias("part"))
-    part = F.struct(*[F.col(c) for c in ck_names], F.col("part").alias("v"))
-    return level1.groupBy(*group).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["v"]), sep).alias(name)
-    )
+    level1 = df.groupBy(*group, *ck).agg(*[ordered_concat(v, order, sep).alias(n) for n, v in values.items()])
+    parts = []
+    for n in values:
+        part = F.struct(*[F.col(c) for c in ck_names], F.col(n).alias("v"))
+        parts.append(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["v"]), sep).alias(n))
+    return level1.groupBy(*group).agg(*parts)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.dialect import after_year, avg_round, date_text_or_present, is_open, like_contains, ratio
+from tenure.functions.neighbors import adjacent_dates
 from tenure.functions.strings import ordered_concat
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.operators.paging import with_row_index
@@ -135,20 +136,23 @@ def admin_transfer_audit(t: Tables, as_of: dt.date = AS_OF, min_count: int = 1)
     """Department-to-department moves between consecutive assignment start dates.
 
     A pair (a, b) of one employee's assignments is consecutive when b starts
-    on the next *distinct* start date after a. ``lead`` over the distinct
-    dates gives that date, and two equi joins build the pairs; no range join
-    and no all-pairs expansion.
+    on the next *distinct* start date after a; ``adjacent_dates`` gives that
+    date (a window, or a skew-safe row index when one employee is huge).
+    Rows are first counted per (employee, start date, department), so the
+    pairs are built between those counts (at most departments^2 per date
+    step) and weighted, never row by row: no range join, no all-pairs
+    expansion.
     """
     de = t["dept_emp"].select("emp_no", "dept_no", "from_date")
-    dates = de.select("emp_no", "from_date").distinct()
-    nxt = dates.withColumn("next_date", F.lead("from_date").over(Window.partitionBy("emp_no").orderBy("from_date")))
-    a = de.join(nxt.filter(F.col("next_date").isNotNull()), ["emp_no", "from_date"])
-    b = de.select("emp_no", F.col("dept_no").alias("to_dept"), F.col("from_date").alias("next_date"))
-    pairs = a.join(b, ["emp_no", "next_date"])
+    nxt = adjacent_dates(de, "emp_no", "from_date", t.skew_safe("dept_emp")).select("emp_no", "from_date", "next_date")
+    cnt = de.groupBy("emp_no", "from_date", "dept_no").agg(F.count(F.lit(1)).alias("n_a"))
+    a = cnt.join(nxt.filter(F.col("next_date").isNotNull()), ["emp_no", "from_date"])
+    b = cnt.select("emp_no", F.col("from_date").alias("next_date"), F.col("dept_no").alias("to_dept"),
+                   F.col("n_a").alias("n_b"))
+    pairs = a.join(b, ["emp_no", "next_date"]).withColumn("w", F.col("n_a") * F.col("n_b"))
     agg = pairs.groupBy("dept_no", "to_dept").agg(
-        F.count(F.lit(1)).alias("transfer_count"),
-        ratio(F.sum(F.datediff("next_date", "from_date").cast("long")), F.count(F.lit(1)), 4)
-        .alias("avg_days_between_transfers"),
+        F.sum("w").alias("transfer_count"),
+        ratio(F.sum(F.col("w") * F.datediff("next_date", "from_date")), F.sum("w"), 4).alias("avg_days_between_transfers"),
     ).filter(F.col("transfer_count") > min_count)
     names = t["departments"].select("dept_no", "dept_name")
     to_names = names.select(F.col("dept_no").alias("to_dept"), F.col("dept_name").alias("to_department"))

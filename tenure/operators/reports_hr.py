@@ -34,11 +34,20 @@ def hr_search_by_name_or_dept(
     t: Tables, as_of: dt.date = AS_OF, first_like: str = "Geo", last_like: str = "son", dept_no: str = "d005",
     case_sensitive: bool = False,
 ) -> DataFrame:
-    """Distinct employee x department name: a name match (any assignment) or a current member of one department."""
+    """Distinct employee x department name: a name match (any assignment) or a current member of one department.
+
+    The source's OR spans both tables, which forces a join of everything
+    before filtering. Split into two selective branches (name matches; open
+    rows of one department), each filtered at its scan, then DISTINCT over
+    their union gives the same rows.
+    """
     name_hit = like_contains("first_name", first_like, case_sensitive) | like_contains("last_name", last_like, case_sensitive)
-    j = t["employees"].join(t["dept_emp"].select("emp_no", "dept_no", "to_date"), "emp_no")
-    j = j.filter(name_hit | ((F.col("dept_no") == dept_no) & is_open()))
-    return with_dept_name(t, j).select(*EMP_COLS, "dept_name").distinct()
+    de = t["dept_emp"].select("emp_no", "dept_no", "to_date")
+    by_name = t["employees"].filter(name_hit).join(de.select("emp_no", "dept_no"), "emp_no")
+    by_dept = t["employees"].join(
+        de.filter((F.col("dept_no") == dept_no) & is_open()).select("emp_no", "dept_no"), "emp_no")
+    both = by_name.select(*EMP_COLS, "dept_no").unionByName(by_dept.select(*EMP_COLS, "dept_no"))
+    return with_dept_name(t, both).select(*EMP_COLS, "dept_name").distinct()
 
 
 def hr_employee_list(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:

@@ -84,13 +84,15 @@ def ms_history_strings(t: Tables, as_of: dt.date = AS_OF, n: int = 1000) -> Data
     g = ["gender", "birth_year"]
     by_emp = [F.col("emp_no"), F.col("s_from"), F.col("dept_no")]
     chunk = [F.floor(F.col("emp_no") / EMP_CHUNK)]
-    names = chunked_concat(rows, g, F.col("first_name"), by_emp, chunk, ", ", "employee_data")
-    pay = chunked_concat(rows, g, F.col("salary"), by_emp, chunk, ", ", "salary_history")
+    # The first two lists share one order, so one aggregation builds both.
+    by_emp_lists = chunked_concat(
+        rows, g, {"employee_data": F.col("first_name"), "salary_history": F.col("salary")}, by_emp, chunk, ", ",
+    )
     depts = chunked_concat(
-        rows, g, F.col("dept_name"), [F.col("dept_no"), F.col("emp_no"), F.col("s_from")],
-        [F.col("dept_no"), F.floor(F.col("emp_no") / EMP_CHUNK)], ", ", "department_history",
+        rows, g, {"department_history": F.col("dept_name")}, [F.col("dept_no"), F.col("emp_no"), F.col("s_from")],
+        [F.col("dept_no"), F.floor(F.col("emp_no") / EMP_CHUNK)], ", ",
     )
-    out = names.join(pay, g).join(depts, g)
+    out = by_emp_lists.join(depts, g)
     return out.select(*g, "employee_data", "salary_history", "department_history").orderBy(
         "employee_data", "salary_history", "gender", "birth_year"
     ).limit(n)

@@ -2,17 +2,18 @@
 
 The source writes these with correlated subqueries. Here each subquery is an
 aggregate keyed by employee or department, computed once and joined back;
-"previous row" lookups are windows over one employee's history.
+"previous row" lookups use neighbour dates per employee (``adjacent_dates``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled
+from tenure.functions.dialect import avg_round, days_since, in_years, like_contains, like_prefix, ratio, ratio_scaled
+from tenure.functions.neighbors import adjacent_dates
 from tenure.operators.current import current, snapshot, with_dept_name
 from tenure.plans.sizing import dim
 from tenure.schema import AS_OF
@@ -30,18 +31,6 @@ def title_counts(t: Tables, distinct: bool) -> DataFrame:
     return t["titles"].groupBy("emp_no").agg(agg.alias("role_changes"))
 
 
-def previous_value(df: DataFrame, value: str, order: str = "from_date", key: str = "emp_no") -> Column:
-    """Value of the latest row of the same ``key`` whose ``order`` date is strictly earlier.
-
-    A range frame over the day number: rows with the same date are never
-    their own predecessor, and ties on the predecessor date resolve to the
-    largest value, so the result is deterministic.
-    """
-    day = F.datediff(F.col(order), F.lit(dt.date(1970, 1, 1)))
-    w = Window.partitionBy(key).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    return F.max(F.struct(F.col(order), F.col(value))).over(w)[value]
-
-
 def dept_avg_all_members(t: Tables) -> DataFrame:
     """Average current salary of everyone ever assigned to a department (past members included).
 
@@ -65,12 +54,24 @@ def perf_employee_list(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
 
 
+def previous_at(t: Tables, name: str, value: str, current_rows: DataFrame) -> DataFrame:
+    """For rows (emp_no, from_date) of ``current_rows``: ``value`` held on the previous distinct start date.
+
+    Ties on that date resolve to the largest value. Neighbour dates come from
+    ``adjacent_dates`` (window, or a skew-safe row index when a key is huge).
+    """
+    hist = t[name].select("emp_no", "from_date", value)
+    adj = adjacent_dates(hist, "emp_no", "from_date", t.skew_safe(name))
+    at = hist.groupBy("emp_no", "from_date").agg(F.max(value).alias(f"previous_{value}")).withColumnRenamed(
+        "from_date", "prev_date")
+    return current_rows.join(adj.select("emp_no", "from_date", "prev_date"), ["emp_no", "from_date"], "left").join(
+        at, ["emp_no", "prev_date"], "left").drop("prev_date")
+
+
 def perf_career_progression(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """Current title and salary with the title and salary held just before each."""
-    ti = t["titles"].select("emp_no", "title", "from_date", "to_date")
-    ti = ti.withColumn("previous_title", previous_value(ti, "title")).filter(is_open())
-    sa = t["salaries"].select("emp_no", "salary", "from_date", "to_date")
-    sa = sa.withColumn("previous_salary", previous_value(sa, "salary")).filter(is_open())
+    ti = previous_at(t, "titles", "title", current(t, "titles", ["emp_no", "title", "from_date"]))
+    sa = previous_at(t, "salaries", "salary", current(t, "salaries", ["emp_no", "salary", "from_date"]))
     e = t["employees"].select("emp_no", "first_name", "last_name")
     out = (
         e.join(ti.select("emp_no", F.col("title").alias("current_title"),

@@ -4,16 +4,18 @@ The derivation is a set of column formulas over ``customer``, ``nation``,
 ``orders``, ``supplier`` and ``events`` (FIXTURES.md section 2), so the HR
 tables grow with the inputs and every step is a distributed Spark job:
 projections, one ``explode`` of at most three stints per customer, one
-partial aggregate and one per-customer window over ``orders``.
+partial aggregate and one neighbour-date step over ``orders`` (window or
+skew-safe row index, chosen by a checked bound).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenure.functions.neighbors import adjacent_dates, keys_bounded
 from tenure.schema import AS_OF, BUDGET_TYPE, DEFAULT_BUDGET, OPEN_END
 from tenure.sources.tables import Tables, read_table
 
@@ -124,22 +126,23 @@ def _salary_points(orders: DataFrame) -> DataFrame:
     )
 
 
-def salaries(orders: DataFrame) -> DataFrame:
-    w = Window.partitionBy("emp_no").orderBy("from_date")
-    return _salary_points(orders).select(
-        "emp_no", "salary", "from_date",
-        F.coalesce(F.lead("from_date").over(w), F.lit(OPEN_END)).alias("to_date"),
+def salaries(orders: DataFrame, skew_safe: bool | None = None) -> DataFrame:
+    """Each salary runs until the customer's next order day (open if none)."""
+    pts = _salary_points(orders)
+    adj = adjacent_dates(pts, "emp_no", "from_date", skew_safe)
+    return pts.join(adj, ["emp_no", "from_date"]).select(
+        "emp_no", "salary", "from_date", F.coalesce("next_date", F.lit(OPEN_END)).alias("to_date"),
     )
 
 
-def salaries_multi(orders: DataFrame) -> DataFrame:
+def salaries_multi(orders: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """Variant with 1 + k % 4 open rows per employee (the loader's multi-current shape)."""
-    w = Window.partitionBy("emp_no").orderBy("from_date")
-    wd = Window.partitionBy("emp_no").orderBy(F.col("from_date").desc())
-    return _salary_points(orders).select(
+    pts = _salary_points(orders)
+    adj = adjacent_dates(pts, "emp_no", "from_date", skew_safe)
+    return pts.join(adj, ["emp_no", "from_date"]).select(
         "emp_no", "salary", "from_date",
-        F.when(F.row_number().over(wd) <= F.col("n_open"), F.lit(OPEN_END))
-        .otherwise(F.coalesce(F.lead("from_date").over(w), F.lit(OPEN_END))).alias("to_date"),
+        F.when(F.col("pos_from_end") <= F.col("n_open"), F.lit(OPEN_END))
+        .otherwise(F.coalesce("next_date", F.lit(OPEN_END))).alias("to_date"),
     )
 
 
@@ -173,13 +176,15 @@ def hr_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Table
     """All HR tables as lazy DataFrames derived from the driver tables under ``sf_dir``."""
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    # Orders per customer bound the salary rows per employee: check once which plan is safe.
+    safe = not keys_bounded(orders.select("o_custkey"), "o_custkey")
     return Tables({
         "employees": employees(customer),
         "departments": departments(read_table(spark, sf_dir, "nation")),
         "dept_emp": dept_emp(customer, as_of),
         "titles": titles(customer, as_of),
-        "salaries": salaries(orders),
-        "salaries_multi": salaries_multi(orders),
+        "salaries": salaries(orders, safe),
+        "salaries_multi": salaries_multi(orders, safe),
         "dept_manager": dept_manager(read_table(spark, sf_dir, "supplier")),
         "request_events": request_events(read_table(spark, sf_dir, "events")),
     })

@@ -35,8 +35,22 @@ class Tables(dict):
             self._bounds[key] = self[name].limit(n + 1).count() <= n
         return self._bounds[key]
 
+    def keys_at_most(self, name: str, key: str, n: int | None = None) -> bool:
+        """No ``key`` value of table ``name`` has more than ``n`` rows (memoised check, one job)."""
+        from tenure.functions.neighbors import MAX_KEY_ROWS, keys_bounded
+
+        n = MAX_KEY_ROWS if n is None else n
+        k = (f"{name}#{key}", n)
+        if k not in self._bounds:
+            self._bounds[k] = keys_bounded(self[name], key, n)
+        return self._bounds[k]
+
+    def skew_safe(self, name: str, key: str = "emp_no") -> bool:
+        """Whether per-key ordered work on ``name`` must avoid one-task-per-key windows."""
+        return not self.keys_at_most(name, key)
+
     def with_tables(self, **frames: DataFrame) -> "Tables":
         """A copy with some tables replaced (a new table version)."""
         out = Tables({**self, **frames})
-        out._bounds = {k: v for k, v in self._bounds.items() if k[0] not in frames}
+        out._bounds = {k: v for k, v in self._bounds.items() if k[0].split("#")[0] not in frames}
         return out

@@ -189,3 +189,26 @@ def test_hierarchy_closed_form_equals_the_recursion(spark):
     gavg = sum(r.salary for r in cur.collect()) / cur.count()
     want = {k: (c, round(a, 4)) for k, (c, a) in agg.items() if a > gavg}
     assert got == want and got
+
+
+def test_skew_safe_neighbours_equal_the_window(spark, tables):
+    from tenure.functions.neighbors import adjacent_dates
+
+    for name in ("salaries", "dept_emp", "titles"):
+        df = tables[name]
+        a = adjacent_dates(df, "emp_no", "from_date", skew_safe=False)
+        b = adjacent_dates(df, "emp_no", "from_date", skew_safe=True)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_reports_agree_on_both_neighbour_plans(spark, tables):
+    """Force the skew-safe path through the Tables bound and compare whole results."""
+    from tenure.operators.reports_admin import admin_transfer_audit
+    from tenure.operators.reports_perf import perf_career_progression
+
+    forced = tables.with_tables()
+    for name in ("dept_emp", "titles", "salaries"):
+        forced._bounds[(f"{name}#emp_no", 1_000_000)] = False
+    for fn in (admin_transfer_audit, perf_career_progression):
+        x, y = fn(tables), fn(forced)
+        assert x.count() == y.count() and x.exceptAll(y).count() == 0
