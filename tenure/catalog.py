@@ -81,6 +81,8 @@ REPORTS: dict[str, Report] = {
     "employee_stats": views.employee_stats,
     "salary_metrics": views.salary_metrics,
     "dept_stats": views.dept_stats,
+    "high_salaries": views.high_salaries,
+    "current_assignments": views.current_assignments,
     # table changes: each returns the whole new version of one table
     "chg_bulk_title_update": chg.bulk_title_update,
     "chg_salary_adjust": chg.salary_adjust,
@@ -96,6 +98,7 @@ REPORTS: dict[str, Report] = {
     "dq_not_null": dq.dq_not_null,
     "dq_domain_violations": dq.dq_domain_violations,
     "dq_table_counts": dq.dq_table_counts,
+    "dq_employees_with_defaults": dq.employees_with_defaults,
     # request telemetry
     "tel_request_metrics": tel.request_metrics,
     "tel_request_metrics_windowed": tel.request_metrics_windowed,

@@ -51,6 +51,20 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df
 
 
+def employees_with_defaults(t: Tables, loaded_at=None) -> DataFrame:
+    """Employees as loaded: generated ``name_upper`` = UPPER(last_name), ``last_modified`` defaulting to the load time."""
+    import datetime as dt
+
+    from tenure.schema import AS_OF
+
+    stamp = F.lit(loaded_at or dt.datetime.combine(AS_OF, dt.time())).cast("timestamp_ntz")
+    e = t["employees"]
+    if "last_modified" not in e.columns:
+        e = e.withColumn("last_modified", F.lit(None).cast("timestamp_ntz"))
+    e = with_defaults(e, {"last_modified": stamp})
+    return e.withColumn("name_upper", F.upper("last_name"))
+
+
 def dq_duplicate_keys(t: Tables) -> DataFrame:
     """Primary-key and unique-key violations of all keyed tables."""
     parts = []
@@ -68,14 +82,27 @@ def dq_duplicate_keys(t: Tables) -> DataFrame:
 
 
 def dq_foreign_key_orphans(t: Tables) -> DataFrame:
-    """Rows whose declared reference is missing, per (table, column)."""
-    parts = []
+    """Rows whose declared reference is missing, per (table, column).
+
+    References to the same parent key are checked together: the tagged child
+    keys are unioned and meet the parent's keys in one anti join (one shuffle
+    of the parent instead of one per child table).
+    """
+    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for name, fks in FOREIGN_KEYS.items():
         for col, parent, pcol in fks:
-            o = orphans(t[name], [col], t[parent], [pcol])
-            parts.append(o.select(
-                F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), F.lit(parent).alias("parent_table"),
-                F.col(col).cast("string").alias("key_value")))
+            by_parent.setdefault((parent, pcol), []).append((name, col))
+    parts = []
+    for (parent, pcol), children in by_parent.items():
+        keys = reduce(DataFrame.unionByName, [
+            t[name].filter(F.col(col).isNotNull()).select(
+                F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), F.col(col).alias("_k"))
+            for name, col in children
+        ])
+        parent_keys = t[parent].select(F.col(pcol).alias("_k")).distinct()
+        o = keys.join(parent_keys, "_k", "left_anti")
+        parts.append(o.select("table_name", "column_name", F.lit(parent).alias("parent_table"),
+                              F.col("_k").cast("string").alias("key_value")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.dialect import after_year, avg_round, date_text_or_present, is_open, like_contains, ratio
-from tenure.functions.neighbors import adjacent_dates
+from tenure.functions.neighbors import with_adjacent_dates
 from tenure.functions.strings import ordered_concat
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.operators.paging import with_row_index
@@ -136,7 +136,7 @@ def admin_transfer_audit(t: Tables, as_of: dt.date = AS_OF, min_count: int = 1)
     """Department-to-department moves between consecutive assignment start dates.
 
     A pair (a, b) of one employee's assignments is consecutive when b starts
-    on the next *distinct* start date after a; ``adjacent_dates`` gives that
+    on the next *distinct* start date after a; ``with_adjacent_dates`` gives that
     date (a window, or a skew-safe row index when one employee is huge).
     Rows are first counted per (employee, start date, department), so the
     pairs are built between those counts (at most departments^2 per date
@@ -144,11 +144,11 @@ def admin_transfer_audit(t: Tables, as_of: dt.date = AS_OF, min_count: int = 1)
     expansion.
     """
     de = t["dept_emp"].select("emp_no", "dept_no", "from_date")
-    nxt = adjacent_dates(de, "emp_no", "from_date", t.skew_safe("dept_emp")).select("emp_no", "from_date", "next_date")
-    cnt = de.groupBy("emp_no", "from_date", "dept_no").agg(F.count(F.lit(1)).alias("n_a"))
-    a = cnt.join(nxt.filter(F.col("next_date").isNotNull()), ["emp_no", "from_date"])
-    b = cnt.select("emp_no", F.col("from_date").alias("next_date"), F.col("dept_no").alias("to_dept"),
-                   F.col("n_a").alias("n_b"))
+    ann = with_adjacent_dates(de, "emp_no", "from_date", t.skew_safe("dept_emp")).filter(F.col("next_date").isNotNull())
+    # Grouping right after the per-employee window reuses its partitioning (no extra exchange).
+    a = ann.groupBy("emp_no", "from_date", "next_date", "dept_no").agg(F.count(F.lit(1)).alias("n_a"))
+    b = de.groupBy("emp_no", "from_date", "dept_no").agg(F.count(F.lit(1)).alias("n_b")).select(
+        "emp_no", F.col("from_date").alias("next_date"), F.col("dept_no").alias("to_dept"), "n_b")
     pairs = a.join(b, ["emp_no", "next_date"]).withColumn("w", F.col("n_a") * F.col("n_b"))
     agg = pairs.groupBy("dept_no", "to_dept").agg(
         F.sum("w").alias("transfer_count"),

@@ -2,7 +2,7 @@
 
 The source writes these with correlated subqueries. Here each subquery is an
 aggregate keyed by employee or department, computed once and joined back;
-"previous row" lookups use neighbour dates per employee (``adjacent_dates``).
+"previous row" lookups use neighbour dates per employee (``with_adjacent_dates``).
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round, days_since, in_years, like_contains, like_prefix, ratio, ratio_scaled
-from tenure.functions.neighbors import adjacent_dates
+from tenure.functions.dialect import avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled
+from tenure.functions.neighbors import with_adjacent_dates
 from tenure.operators.current import current, snapshot, with_dept_name
 from tenure.plans.sizing import dim
 from tenure.schema import AS_OF
@@ -54,24 +54,20 @@ def perf_employee_list(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
 
 
-def previous_at(t: Tables, name: str, value: str, current_rows: DataFrame) -> DataFrame:
-    """For rows (emp_no, from_date) of ``current_rows``: ``value`` held on the previous distinct start date.
+def previous_at(t: Tables, name: str, value: str) -> DataFrame:
+    """Open rows of ``name`` with ``previous_<value>``: the value held on the previous distinct start date.
 
-    Ties on that date resolve to the largest value. Neighbour dates come from
-    ``adjacent_dates`` (window, or a skew-safe row index when a key is huge).
+    Ties on that date resolve to the largest value (deterministic).
     """
-    hist = t[name].select("emp_no", "from_date", value)
-    adj = adjacent_dates(hist, "emp_no", "from_date", t.skew_safe(name))
-    at = hist.groupBy("emp_no", "from_date").agg(F.max(value).alias(f"previous_{value}")).withColumnRenamed(
-        "from_date", "prev_date")
-    return current_rows.join(adj.select("emp_no", "from_date", "prev_date"), ["emp_no", "from_date"], "left").join(
-        at, ["emp_no", "prev_date"], "left").drop("prev_date")
+    hist = t[name].select("emp_no", "from_date", "to_date", value)
+    out = with_adjacent_dates(hist, "emp_no", "from_date", t.skew_safe(name), value=value)
+    return out.filter(is_open()).select("emp_no", "from_date", value, F.col("prev_value").alias(f"previous_{value}"))
 
 
 def perf_career_progression(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """Current title and salary with the title and salary held just before each."""
-    ti = previous_at(t, "titles", "title", current(t, "titles", ["emp_no", "title", "from_date"]))
-    sa = previous_at(t, "salaries", "salary", current(t, "salaries", ["emp_no", "salary", "from_date"]))
+    ti = previous_at(t, "titles", "title")
+    sa = previous_at(t, "salaries", "salary")
     e = t["employees"].select("emp_no", "first_name", "last_name")
     out = (
         e.join(ti.select("emp_no", F.col("title").alias("current_title"),

@@ -63,3 +63,13 @@ def dept_stats(t: Tables, as_of: dt.date = AS_OF, open_end: dt.date = OPEN_END)
     return with_dept_name(t, agg).select(
         "dept_no", "dept_name", "emp_count", "avg_salary", "min_salary", "max_salary", "salary_stddev",
     )
+
+
+def high_salaries(t: Tables, as_of: dt.date = AS_OF, threshold: int = 200000) -> DataFrame:
+    """Named subset from a partial-index predicate: salary rows above ``threshold`` (an older copy used 100000)."""
+    return t["salaries"].filter(F.col("salary") > threshold).select("emp_no", "salary", "from_date", "to_date")
+
+
+def current_assignments(t: Tables, as_of: dt.date = AS_OF, open_end: dt.date = OPEN_END) -> DataFrame:
+    """Named subset from a partial-index predicate: open department assignments."""
+    return current(t, "dept_emp", ["emp_no", "dept_no", "from_date", "to_date"], open_end=open_end)

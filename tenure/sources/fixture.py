@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.functions.neighbors import adjacent_dates, keys_bounded
+from tenure.functions.neighbors import keys_bounded, with_adjacent_dates
 from tenure.schema import AS_OF, BUDGET_TYPE, DEFAULT_BUDGET, OPEN_END
 from tenure.sources.tables import Tables, read_table
 
@@ -126,20 +126,16 @@ def _salary_points(orders: DataFrame) -> DataFrame:
     )
 
 
-def salaries(orders: DataFrame, skew_safe: bool | None = None) -> DataFrame:
+def salaries(orders: DataFrame, skew_safe: bool = False) -> DataFrame:
     """Each salary runs until the customer's next order day (open if none)."""
-    pts = _salary_points(orders)
-    adj = adjacent_dates(pts, "emp_no", "from_date", skew_safe)
-    return pts.join(adj, ["emp_no", "from_date"]).select(
-        "emp_no", "salary", "from_date", F.coalesce("next_date", F.lit(OPEN_END)).alias("to_date"),
-    )
+    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date", skew_safe)
+    return pts.select("emp_no", "salary", "from_date", F.coalesce("next_date", F.lit(OPEN_END)).alias("to_date"))
 
 
-def salaries_multi(orders: DataFrame, skew_safe: bool | None = None) -> DataFrame:
+def salaries_multi(orders: DataFrame, skew_safe: bool = False) -> DataFrame:
     """Variant with 1 + k % 4 open rows per employee (the loader's multi-current shape)."""
-    pts = _salary_points(orders)
-    adj = adjacent_dates(pts, "emp_no", "from_date", skew_safe)
-    return pts.join(adj, ["emp_no", "from_date"]).select(
+    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date", skew_safe)
+    return pts.select(
         "emp_no", "salary", "from_date",
         F.when(F.col("pos_from_end") <= F.col("n_open"), F.lit(OPEN_END))
         .otherwise(F.coalesce("next_date", F.lit(OPEN_END))).alias("to_date"),

@@ -192,12 +192,12 @@ def test_hierarchy_closed_form_equals_the_recursion(spark):
 
 
 def test_skew_safe_neighbours_equal_the_window(spark, tables):
-    from tenure.functions.neighbors import adjacent_dates
+    from tenure.functions.neighbors import with_adjacent_dates
 
-    for name in ("salaries", "dept_emp", "titles"):
+    for name, value in (("salaries", "salary"), ("dept_emp", "dept_no"), ("titles", "title")):
         df = tables[name]
-        a = adjacent_dates(df, "emp_no", "from_date", skew_safe=False)
-        b = adjacent_dates(df, "emp_no", "from_date", skew_safe=True)
+        a = with_adjacent_dates(df, "emp_no", "from_date", skew_safe=False, value=value)
+        b = with_adjacent_dates(df, "emp_no", "from_date", skew_safe=True, value=value).select(*a.columns)
         assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
