@@ -34,6 +34,20 @@ def _failures() -> Column:
     return F.count_if(~F.col("success"))
 
 
+# Durations are summed as exact integers of 1e-6 ms, so averages do not depend
+# on summation order and round identically everywhere.
+MICRO = 10**6
+
+
+def micro_sum(c: str = "duration") -> Column:
+    return F.sum(F.round(F.col(c) * MICRO).cast("decimal(38,0)"))
+
+
+def micro_ratio(total: Column, n: Column, digits: int = 4) -> Column:
+    """``round(total_micro / (n * 1e6), digits)`` exactly."""
+    return ratio(total, n.cast("decimal(38,0)") * MICRO, digits)
+
+
 def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame:
     """Per queryType: requests, failures, error rate, average and p95 duration.
 
@@ -44,7 +58,7 @@ def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame
     base = ev.groupBy("queryType").agg(
         F.count(F.lit(1)).alias("requests"),
         _failures().alias("failures"),
-        F.round(F.avg("duration"), 4).alias("avg_duration"),
+        micro_ratio(micro_sum(), F.count("duration")).alias("avg_duration"),
         F.max("duration").alias("max_duration"),
     ).withColumn("error_rate", ratio("failures", "requests", 4))
     if exact:
@@ -62,14 +76,14 @@ def window_metrics(df: DataFrame, window: str = "1 hour") -> DataFrame:
     agg = df.groupBy(F.window("ts", window).alias("w"), "queryType").agg(
         F.count(F.lit(1)).alias("requests"),
         _failures().alias("failures"),
-        F.sum("duration").alias("total_duration"),
+        micro_sum().alias("total_micro"),
         F.max("duration").alias("max_duration"),
     )
     return agg.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "queryType", "requests", "failures", ratio("failures", "requests", 4).alias("error_rate"),
-        F.round(F.col("total_duration") / F.col("requests"), 4).alias("avg_duration"), "max_duration",
+        micro_ratio(F.col("total_micro"), F.col("requests")).alias("avg_duration"), "max_duration",
     )
 
 
@@ -112,8 +126,8 @@ def top_statements(t: Tables, n: int = 10) -> DataFrame:
     ev = t["request_events"].withColumn("queryid", statement_id())
     agg = ev.groupBy("queryid").agg(
         F.count(F.lit(1)).alias("calls"),
-        F.round(F.sum("duration"), 4).alias("total_exec_time"),
-        F.round(F.avg("duration"), 4).alias("mean_exec_time"),
+        micro_ratio(micro_sum(), F.lit(1)).alias("total_exec_time"),
+        micro_ratio(micro_sum(), F.count("duration")).alias("mean_exec_time"),
         F.count_if(F.col("success")).alias("rows"),
     )
     return agg.orderBy(F.col("total_exec_time").desc(), "queryid").limit(n)
