@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.dialect import after_year, avg_round, date_text_or_present, is_open, like_contains, ratio
 from tenure.functions.neighbors import with_adjacent_dates
-from tenure.functions.strings import ordered_concat
+from tenure.functions.strings import chunked_concat, ordered_concat
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.operators.paging import with_row_index
 from tenure.operators.reports_perf import dept_avg_all_members
@@ -88,20 +88,20 @@ def admin_department_details(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
 def admin_employee_details(t: Tables, as_of: dt.date = AS_OF, emp_no: int | None = 10001) -> DataFrame:
     """Current detail with ordered title and department histories (one employee, or all when ``None``).
 
-    Histories are per-employee aggregates: the group is one person's rows.
+    Histories are per-employee aggregates. When the checked bound says one
+    employee may hold a huge history, the strings are built per start year
+    first and only those parts meet (``chunked_concat``).
     """
     e, ti, de = t["employees"], t["titles"], t["dept_emp"]
     if emp_no is not None:
         e, ti, de = (x.filter(F.col("emp_no") == emp_no) for x in (e, ti, de))
-    th = ti.groupBy("emp_no").agg(
-        ordered_concat(F.col("title"), [F.col("from_date"), F.col("title")], ", ").alias("title_history")
-    )
     entry = F.concat(
         F.col("dept_name"), F.lit(": "), F.col("from_date").cast("string"), F.lit(" to "), date_text_or_present("to_date"),
     )
-    dh = with_dept_name(t, de.select("emp_no", "dept_no", "from_date", "to_date")).groupBy("emp_no").agg(
-        ordered_concat(entry, [F.col("from_date"), F.col("dept_no")], "; ").alias("department_history")
-    )
+    dept_rows = with_dept_name(t, de.select("emp_no", "dept_no", "from_date", "to_date"))
+    th = _history(ti, t.skew_safe("titles"), "title_history", F.col("title"), [F.col("from_date"), F.col("title")], ", ")
+    dh = _history(dept_rows, t.skew_safe("dept_emp"), "department_history", entry,
+                  [F.col("from_date"), F.col("dept_no")], "; ")
     s = snapshot(t, employees=e, emp_cols=["emp_no", "first_name", "last_name", "hire_date"])
     s = s.join(th, "emp_no", "left").join(dh, "emp_no", "left")
     return s.select(
@@ -111,6 +111,13 @@ def admin_employee_details(t: Tables, as_of: dt.date = AS_OF, emp_no: int | None
     )
 
 
+def _history(rows: DataFrame, skew_safe: bool, name: str, value, order: list, sep: str) -> DataFrame:
+    """One ordered history string per employee; chunked by start year when one employee may be huge."""
+    if not skew_safe:
+        return rows.groupBy("emp_no").agg(ordered_concat(value, order, sep).alias(name))
+    return chunked_concat(rows, ["emp_no"], {name: value}, order, [F.year("from_date")], sep)
+
+
 def admin_salary_audit(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """Current salary, the most recently closed salary and the department average (past members included)."""
     prev = (

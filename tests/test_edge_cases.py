@@ -209,6 +209,8 @@ def test_reports_agree_on_both_neighbour_plans(spark, tables):
     forced = tables.with_tables()
     for name in ("dept_emp", "titles", "salaries"):
         forced._bounds[(f"{name}#emp_no", 1_000_000)] = False
-    for fn in (admin_transfer_audit, perf_career_progression):
+    from tenure.operators.reports_admin import admin_employee_details
+
+    for fn in (admin_transfer_audit, perf_career_progression, lambda t: admin_employee_details(t, emp_no=None)):
         x, y = fn(tables), fn(forced)
         assert x.count() == y.count() and x.exceptAll(y).count() == 0
