@@ -31,7 +31,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = set(sys.argv[1:])
-    spark = local_session(cores=cpus, shuffle_partitions=2 * cpus, app="tenure-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    spark = local_session(cores=cpus, shuffle_partitions=parts, app="tenure-bench")
     t0 = time.perf_counter()
     stored = materialize_tables(hr_tables(spark, sf_dir), scratch_path(spark, "bench-tables"))
     load = time.perf_counter() - t0
