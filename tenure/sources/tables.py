@@ -37,12 +37,12 @@ class Tables(dict):
 
     def keys_at_most(self, name: str, key: str, n: int | None = None) -> bool:
         """No ``key`` value of table ``name`` has more than ``n`` rows (memoised check, one job)."""
-        from tenure.functions.neighbors import MAX_KEY_ROWS, keys_bounded
+        from tenure.functions import neighbors
 
-        n = MAX_KEY_ROWS if n is None else n
+        n = neighbors.MAX_KEY_ROWS if n is None else n
         k = (f"{name}#{key}", n)
         if k not in self._bounds:
-            self._bounds[k] = keys_bounded(self[name], key, n)
+            self._bounds[k] = neighbors.keys_bounded(self[name], key, n)
         return self._bounds[k]
 
     def skew_safe(self, name: str, key: str = "emp_no") -> bool:

@@ -214,3 +214,34 @@ def test_reports_agree_on_both_neighbour_plans(spark, tables):
     for fn in (admin_transfer_audit, perf_career_progression, lambda t: admin_employee_details(t, emp_no=None)):
         x, y = fn(tables), fn(forced)
         assert x.count() == y.count() and x.exceptAll(y).count() == 0
+
+
+def test_hot_employee_switches_to_the_skew_safe_plan(spark, monkeypatch):
+    """One employee holds most salary rows: the checked bound fails and the row-index plan is chosen."""
+    from tenure.functions import neighbors
+    from tenure.operators.reports_perf import perf_career_progression
+    from tenure.plans.inspect import plan_text
+
+    hot = [(1, 1000 + i, D(1990, 1, 1) + dt.timedelta(days=i), D(1990, 1, 1) + dt.timedelta(days=i + 1))
+           for i in range(300)]
+    hot[-1] = (1, 99, hot[-1][2], END)
+    others = [(e, 500 * e, D(1995, 1, 1), D(1999, 1, 1)) for e in range(2, 40)] + [
+        (e, 600 * e, D(1999, 1, 1), END) for e in range(2, 40)]
+    t = make_tables(
+        spark,
+        employees=[emp(e) for e in range(1, 40)],
+        departments=[("d001", "One")],
+        dept_emp=[(e, "d001", D(1990, 1, 1), END) for e in range(1, 40)],
+        salaries=hot + others,
+        titles=[(e, "Staff", D(1990, 1, 1), END) for e in range(1, 40)],
+    )
+    monkeypatch.setattr(neighbors, "MAX_KEY_ROWS", 100)
+    assert t.skew_safe("salaries") and not t.skew_safe("titles")
+    safe = perf_career_progression(t)
+    assert "row_index" in plan_text(safe)
+    window_t = t.with_tables()  # same tables, bound forced to the window plan
+    window_t._bounds[("salaries#emp_no", 100)] = True
+    window = perf_career_progression(window_t)
+    assert safe.exceptAll(window).count() == 0 and window.exceptAll(safe).count() == 0
+    r = safe.filter("emp_no = 1").first()
+    assert (r.current_salary, r.previous_salary) == (99, 1298)

@@ -67,3 +67,16 @@ def test_emp_no_joins_reuse_one_partitioning(spark, stored):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert text.count("Exchange hashpartitioning(emp_no") == 3
+
+
+def test_department_figures_combine_map_side(stored):
+    """Few, possibly hot, departments: partial aggregation runs before the department shuffle."""
+    text = plan_text(reports_pay.pay_department_avg(stored))
+    assert "partial_sum" in text and "partial_max" in text
+
+
+def test_slow_request_samples_limit_before_the_shuffle(spark, stored):
+    from tenure.operators.telemetry import slow_requests
+
+    text = plan_text(slow_requests(stored, threshold_ms=0.0), "simple")
+    assert "WindowGroupLimit" in text
