@@ -121,3 +121,24 @@ def materialize_tables(t: Tables, path: str, names: list[str] | None = None) ->
         w.write.mode("overwrite").parquet(target)
         out[name] = spark.read.parquet(target)
     return Tables(out)
+
+
+def store_bucketed(t: Tables, path: str, buckets: int, prefix: str, names: list[str] | None = None) -> Tables:
+    """Store the ``emp_no``-keyed tables bucketed (and sorted) by ``emp_no`` as catalog tables.
+
+    Tables bucketed the same way join on ``emp_no`` without any shuffle: the
+    current-state joins of every report then run bucket by bucket. Other
+    tables are stored plainly. Data lives under ``path`` (external tables),
+    so the location follows the shared storage the caller names.
+    """
+    spark = next(iter(t.values())).sparkSession
+    out = {}
+    for name in names or list(t):
+        df = t[name]
+        table = f"{prefix}_{name}"
+        w = df.write.mode("overwrite").option("path", f"{path.rstrip('/')}/{name}")
+        if "emp_no" in df.columns:
+            w = w.bucketBy(buckets, "emp_no").sortBy("emp_no")
+        w.saveAsTable(table)
+        out[name] = spark.table(table)
+    return Tables(out)

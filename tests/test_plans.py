@@ -80,3 +80,20 @@ def test_slow_request_samples_limit_before_the_shuffle(spark, stored):
 
     text = plan_text(slow_requests(stored, threshold_ms=0.0), "simple")
     assert "WindowGroupLimit" in text
+
+
+def test_bucketed_tables_join_without_exchange(spark, tables):
+    from tenure.operators.current import snapshot
+    from tenure.sources.sinks import store_bucketed
+
+    b = store_bucketed(tables, scratch_path(spark, "bucketed"), 8, "tb",
+                       ["employees", "titles", "salaries", "dept_emp", "departments"])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(snapshot(b, dept=False), "simple")
+        rows = snapshot(b).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange hashpartitioning(emp_no" not in text and "SortMergeJoin" in text
+    assert rows == snapshot(tables).count()
