@@ -1,30 +1,44 @@
-"""Exact per-group percentiles without holding a group in one task.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here the rows are range-partitioned and sorted by
-(group, value); a distributed row index gives each row its rank in the
-group (global index minus the group's start, from a table with one row per
-group), and only the two rows around the target rank are kept for the
-linear interpolation (the definition of SQL ``percentile_cont``).
+"""Exact per-group percentiles (``percentile_cont``: linear interpolation between ranks).
+
+Two plans, chosen by a checked bound on the group size (``bounded``):
+
+* groups proven small: rank rows with a window per group (one task sorts one
+  group, at most ``MAX_KEY_ROWS`` rows);
+* otherwise no group may sit in one task: rows are range-partitioned and
+  sorted by (group, value); a distributed row index gives each row its rank
+  in the group (global index minus the group's start, from a table with one
+  row per group).
+
+Either way only the two rows around the target rank are kept and
+interpolated, with the same arithmetic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.paging import with_row_index
 
 
-def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
+def percentile_cont(
+    df: DataFrame, group: list[str], value: str, p: float, name: str, bounded: bool = False,
+) -> DataFrame:
     """Per group: the ``p`` quantile of ``value`` with linear interpolation (NULLs ignored)."""
     rows = df.select(*group, value).filter(F.col(value).isNotNull())
-    idx = with_row_index(rows, [*group, value])
-    sizes = idx.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("row_index").alias("_start"))
     pos = (F.col("_n") - 1) * F.lit(p)
-    targets = sizes.select(*group, "_start", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
-                           (pos - F.floor(pos)).alias("_frac"))
-    ranked = idx.join(targets, group).withColumn("_r", F.col("row_index") - F.col("_start"))
+    if bounded:
+        w = Window.partitionBy(*group)
+        ranked = rows.select(
+            *group, value,
+            (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"),
+        ).select("*", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"), (pos - F.floor(pos)).alias("_frac"))
+    else:
+        idx = with_row_index(rows, [*group, value])
+        sizes = idx.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("row_index").alias("_start"))
+        targets = sizes.select(*group, "_start", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
+                               (pos - F.floor(pos)).alias("_frac"))
+        ranked = idx.join(targets, group).withColumn("_r", F.col("row_index") - F.col("_start"))
     picked = ranked.filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
     lo = F.max(F.when(F.col("_r") == F.col("_lo"), F.col(value)))
     hi = F.max(F.when(F.col("_r") == F.col("_hi"), F.col(value)))

@@ -51,8 +51,9 @@ def micro_ratio(total: Column, n: Column, digits: int = 4) -> Column:
 def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame:
     """Per queryType: requests, failures, error rate, average and p95 duration.
 
-    ``exact=True`` computes the percentile with a distributed rank (no group
-    in one task); ``exact=False`` uses Spark's bounded-memory sketch.
+    ``exact=True`` ranks rows exactly: per group when a checked bound proves
+    every group small, else with a distributed rank (no group in one task);
+    ``exact=False`` uses Spark's bounded-memory sketch.
     """
     ev = t["request_events"]
     base = ev.groupBy("queryType").agg(
@@ -62,7 +63,8 @@ def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame
         F.max("duration").alias("max_duration"),
     ).withColumn("error_rate", ratio("failures", "requests", 4))
     if exact:
-        p95 = percentile_cont(ev, ["queryType"], "duration", p, "p95_duration")
+        bounded = t.keys_at_most("request_events", "queryType")
+        p95 = percentile_cont(ev, ["queryType"], "duration", p, "p95_duration", bounded)
     else:
         p95 = ev.groupBy("queryType").agg(F.percentile_approx("duration", p, 10000).alias("p95_duration"))
     return base.join(p95, "queryType", "left").select(

@@ -245,3 +245,13 @@ def test_hot_employee_switches_to_the_skew_safe_plan(spark, monkeypatch):
     assert safe.exceptAll(window).count() == 0 and window.exceptAll(safe).count() == 0
     r = safe.filter("emp_no = 1").first()
     assert (r.current_salary, r.previous_salary) == (99, 1298)
+
+
+def test_percentile_plans_agree(spark, tables):
+    from tenure.functions.quantiles import percentile_cont
+
+    ev = tables["request_events"]
+    for p in (0.0, 0.5, 0.95, 1.0):
+        a = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=True)
+        b = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=False)
+        assert sorted(a.collect()) == sorted(b.collect())
