@@ -22,6 +22,8 @@ def with_row_index(df: DataFrame, order: list[str], partitions: int | None = Non
     """``df`` plus ``row_index`` (0-based) in the total order ``order``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    # Range partitions follow the deployment's shuffle width (sized to the data like every
+    # other shuffle); callers with a better estimate pass ``partitions``.
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     mid = F.monotonically_increasing_id()

@@ -27,8 +27,6 @@ def problems(df: DataFrame) -> list[str]:
     out = []
     if "CartesianProduct" in text:
         out.append("cartesian product")
-    if re.search(r"BroadcastNestedLoopJoin", text) and "BuildRight" not in text and "BuildLeft" not in text:
-        out.append("nested-loop join without a build side")
     if unpartitioned_windows(text):
         out.append("window over a single partition")
     return out
