@@ -119,6 +119,23 @@ def ratio(num, den, digits: int = 4) -> Column:
     return ratio_scaled(num, den, digits) / F.lit(10**digits)
 
 
+def ratio_scaled_small(num, den, digits: int) -> Column:
+    """``ratio_scaled`` for per-row use on small integers (|num * 2 * 10**digits| < 2**53).
+
+    Long arithmetic only: the division is of an exact multiple, so the double
+    quotient is exact. No wide decimals per row.
+    """
+    num, den = col_(num).cast("long"), col_(den).cast("long")
+    n = num * F.lit(2 * 10**digits) + den
+    d = den * F.lit(2)
+    return F.when(den > 0, ((n - F.pmod(n, d)) / d).cast("long"))
+
+
+def ratio_small(num, den, digits: int = 4) -> Column:
+    """Per-row ``round(num / den, digits)`` for small integers (e.g. days / 365)."""
+    return ratio_scaled_small(num, den, digits) / F.lit(10**digits)
+
+
 def avg_round(c, digits: int = 4) -> Column:
     """``ROUND(AVG(int_col), digits)`` computed from the exact integer sum."""
     c = col_(c)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round, days_since, is_open, like_contains, ratio
+from tenure.functions.dialect import avg_round, days_since, is_open, like_contains, ratio_small
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.plans.sizing import one_row
 from tenure.schema import AS_OF
@@ -110,7 +110,7 @@ def hr_employee_performance(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     s = snapshot(t, ["emp_no", "first_name", "last_name", "hire_date"], dept=False)
     return s.select(
         "emp_no", "first_name", "last_name", "title", "salary",
-        ratio(days_since("hire_date", as_of), F.lit(365), 4).alias("years_employed"),
+        ratio_small(days_since("hire_date", as_of), F.lit(365), 4).alias("years_employed"),
     )
 
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled
+from tenure.functions.dialect import avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled_small, ratio_small
 from tenure.functions.neighbors import with_adjacent_dates
 from tenure.operators.current import current, snapshot, with_dept_name
 from tenure.plans.sizing import dim
@@ -22,7 +22,7 @@ from tenure.sources.tables import Tables
 
 def years_of_service(as_of: dt.date) -> Column:
     """``DATEDIFF(as_of, hire_date) / 365`` with MySQL's four-digit decimal result."""
-    return ratio(days_since("hire_date", as_of), F.lit(365), 4)
+    return ratio_small(days_since("hire_date", as_of), F.lit(365), 4)
 
 
 def title_counts(t: Tables, distinct: bool) -> DataFrame:
@@ -130,7 +130,7 @@ def perf_department_comparison(t: Tables, as_of: dt.date = AS_OF, senior_prefix:
         .join(current(t, "titles", ["emp_no", "title"]), "emp_no")
         .join(current(t, "salaries", ["emp_no", "salary"]), "emp_no")
     )
-    years_scaled = ratio_scaled(days_since("hire_date", as_of), F.lit(365), 4)
+    years_scaled = ratio_scaled_small(days_since("hire_date", as_of), F.lit(365), 4)
     agg = rows.groupBy("dept_no").agg(
         F.count_distinct("emp_no").alias("employee_count"),
         avg_round("salary", 4).alias("avg_salary"),
