@@ -112,6 +112,3 @@ def hr_employee_performance(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
         "emp_no", "first_name", "last_name", "title", "salary",
         ratio_small(days_since("hire_date", as_of), F.lit(365), 4).alias("years_employed"),
     )
-
-
-__all__ = [n for n in dir() if n.startswith("hr_")]
