@@ -136,6 +136,18 @@ def ratio_small(num, den, digits: int = 4) -> Column:
     return ratio_scaled_small(num, den, digits) / F.lit(10**digits)
 
 
+def avg_truncated(c) -> Column:
+    """SQL Server ``AVG(int_col)``: an integer, truncated toward zero (non-negative data)."""
+    c = col_(c)
+    return ratio_trunc(F.sum(c.cast("long")), F.count(c))
+
+
+def ratio_trunc(num, den) -> Column:
+    """Integer quotient of non-negative integers, exact (decimal arithmetic)."""
+    num, den = _dec(col_(num)), _dec(col_(den))
+    return F.when(den > 0, ((num - F.pmod(num, den)) / den).cast("long"))
+
+
 def avg_round(c, digits: int = 4) -> Column:
     """``ROUND(AVG(int_col), digits)`` computed from the exact integer sum."""
     c = col_(c)

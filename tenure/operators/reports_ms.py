@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import col_, like, ratio
+from tenure.functions.dialect import col_, like, ratio, ratio_trunc
 from tenure.functions.strings import chunked_concat
 from tenure.operators.current import EMP_COLS, current, with_dept_name
 from tenure.plans.sizing import dim, one_row
@@ -18,7 +18,7 @@ EMP_CHUNK = 1024  # employees per partial string in chunked concatenation
 
 
 def ms_hierarchy_salary(
-    t: Tables, as_of: dt.date = AS_OF, depth: int = 3, salaries: str = "salaries_multi",
+    t: Tables, as_of: dt.date = AS_OF, depth: int = 3, salaries: str = "salaries_multi", int_avg: bool = False,
 ) -> DataFrame:
     """Department averages of the source's self-joining recursive CTE, in closed form.
 
@@ -28,7 +28,8 @@ def ms_hierarchy_salary(
     level n. Summing the levels gives a weight w = 1 + kq + ... + (kq)^(depth-1)
     per employee: one aggregate per employee replaces (kq)^depth rows.
     HAVING compares with the average of all current salaries exactly
-    (cross-multiplied integers).
+    (cross-multiplied integers). ``int_avg=True`` is the SQL Server reading:
+    both averages are truncated integers.
     """
     de = t["dept_emp"].select("emp_no", "dept_no").join(
         dim(t, "departments", t["departments"].select("dept_no")), "dept_no", "left_semi"
@@ -47,10 +48,15 @@ def ms_hierarchy_salary(
         F.count_distinct("emp_no").alias("emp_count"), F.sum("ws").alias("num"), F.sum("wq").alias("den"),
     )
     g = one_row(cur.agg(F.sum(F.col("salary").cast("long")).alias("gsum"), F.count(F.lit(1)).alias("gcnt")))
-    keep = col_("num") * F.col("gcnt").cast("decimal(38,0)") > F.col("gsum").cast("decimal(38,0)") * col_("den")
+    if int_avg:
+        keep = ratio_trunc("num", "den") > ratio_trunc("gsum", "gcnt")
+        avg = ratio_trunc("num", "den")
+    else:
+        keep = col_("num") * F.col("gcnt").cast("decimal(38,0)") > F.col("gsum").cast("decimal(38,0)") * col_("den")
+        avg = ratio("num", "den", 4)
     out = agg.crossJoin(g).filter(keep)
     return with_dept_name(t, out).select(
-        "dept_name", "emp_count", ratio("num", "den", 4).alias("avg_salary"), F.lit(depth).alias("hierarchy_depth"),
+        "dept_name", "emp_count", avg.alias("avg_salary"), F.lit(depth).alias("hierarchy_depth"),
     )
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round
+from tenure.functions.dialect import avg_round, avg_truncated
 from tenure.operators.current import current, with_dept_name
 from tenure.schema import AS_OF, OPEN_END
 from tenure.sources.tables import Tables
@@ -23,8 +23,11 @@ def employee_stats(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
 
 
-def salary_metrics(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
-    """Per (department, start year of the current salary) over all assignments: sample stddev."""
+def salary_metrics(t: Tables, as_of: dt.date = AS_OF, int_avg: bool = False) -> DataFrame:
+    """Per (department, start year of the current salary) over all assignments: sample stddev.
+
+    ``int_avg=True`` gives the SQL Server form of the view (``AVG`` of an int column truncates).
+    """
     rows = (
         t["employees"].select("emp_no")
         .join(t["dept_emp"].select("emp_no", "dept_no"), "emp_no")
@@ -32,7 +35,7 @@ def salary_metrics(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
     agg = rows.groupBy("dept_no", F.year("from_date").alias("year")).agg(
         F.count_distinct("emp_no").alias("employee_count"),
-        avg_round("salary", 4).alias("avg_salary"),
+        (avg_truncated("salary") if int_avg else avg_round("salary", 4)).alias("avg_salary"),
         F.max("salary").alias("max_salary"),
         F.min("salary").alias("min_salary"),
         F.round(F.stddev_samp("salary"), 2).alias("salary_stddev"),

@@ -255,3 +255,16 @@ def test_percentile_plans_agree(spark, tables):
         a = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=True)
         b = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=False)
         assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_sql_server_integer_average(spark):
+    t = make_tables(
+        spark,
+        employees=[emp(1), emp(2)],
+        departments=[("d001", "One")],
+        dept_emp=[(1, "d001", D(1990, 1, 1), END), (2, "d001", D(1990, 1, 1), END)],
+        salaries=[(1, 50001, D(2000, 1, 1), END), (2, 50002, D(2000, 6, 1), END)],
+    )
+    pg = {r.year: r.avg_salary for r in views.salary_metrics(t).collect()}
+    ms = {r.year: r.avg_salary for r in views.salary_metrics(t, int_avg=True).collect()}
+    assert pg == {2000: 50001.5} and ms == {2000: 50001}
