@@ -33,6 +33,8 @@ def main() -> None:
     only = set(sys.argv[1:])
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
     spark = local_session(cores=cpus, shuffle_partitions=parts, app="tenure-bench")
+    if os.environ.get("BENCH_BROADCAST_MB"):  # planner threshold for sides it can size (AQE re-checks at run time)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", f"{os.environ['BENCH_BROADCAST_MB']}MB")
     t0 = time.perf_counter()
     layout = os.environ.get("BENCH_LAYOUT", "plain")
     derived = hr_tables(spark, sf_dir)
