@@ -225,11 +225,11 @@ def log_maintenance(
 ) -> DataFrame:
     """New ``maintenance_log`` with one appended entry (id = max id + 1) and derived ``duration``."""
     spark = log.sparkSession
-    nxt = log.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")
+    nxt = log.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))  # one row
     row = spark.createDataFrame(
-        [(operation, start_time, end_time, success)], "operation string, start_time timestamp, end_time timestamp, success boolean",
+        [(operation, start_time, end_time, success)],
+        "operation string, start_time timestamp, end_time timestamp, success boolean",
     )
-    new = F.broadcast(nxt.select(F.col(nxt.columns[0]).cast("long").alias("id"))).crossJoin(row)
-    base = log.select("id", "operation", "start_time", "end_time", "success")
-    out = base.unionByName(new.select("id", "operation", "start_time", "end_time", "success"))
+    cols = ["id", "operation", "start_time", "end_time", "success"]
+    out = log.select(*cols).unionByName(F.broadcast(nxt).crossJoin(row).select(*cols))
     return out.withColumn("duration", F.col("end_time") - F.col("start_time"))
