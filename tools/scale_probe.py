@@ -1,6 +1,6 @@
 """Scale probe: generate an HR dataset of N employees on the executors, load it, time reports.
 
-Usage: python tools/scale_probe.py N [cpus]
+Usage: python tools/scale_probe.py N [cpus] [report ...]
 
 Uses the loader-shaped generator (employees, 5 departments, one assignment and
 1-4 open salaries per employee), loads employees with insert-if-absent (the
@@ -37,6 +37,7 @@ REPORTS = {
     "dept_stats": views.dept_stats,
     "chg_salary_adjust": changes.salary_adjust,
     "chg_transfer": changes.transfer,
+    "ms_history_strings": reports_ms.ms_history_strings,
 }
 
 
@@ -53,7 +54,10 @@ def main() -> None:
     load = time.perf_counter() - t0
     rows = {k: stored[k].count() for k in ("employees", "dept_emp", "salaries")}
     times = {}
+    only = set(sys.argv[3:])
     for name, fn in REPORTS.items():
+        if only and name not in only:
+            continue
         t = time.perf_counter()
         fn(stored).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t, 3)
