@@ -12,7 +12,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.dialect import avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled_small, ratio_small
+from tenure.functions.dialect import (
+    avg_round, days_since, in_years, is_open, like_contains, like_prefix, ratio, ratio_scaled_small, ratio_small,
+)
 from tenure.functions.neighbors import with_adjacent_dates
 from tenure.operators.current import current, snapshot, with_dept_name
 from tenure.plans.sizing import dim
