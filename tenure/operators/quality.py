@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.schema import DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
@@ -134,8 +134,18 @@ def dq_table_counts(t: Tables, names: list[str] | None = None) -> DataFrame:
     ])
 
 
-def dq_interval_overlaps(t: Tables, name: str, keys: list[str]) -> DataFrame:
-    """Rows of one key whose validity interval overlaps the next row's (after a change, none should)."""
-    w = Window.partitionBy(*keys).orderBy("from_date", "to_date")
-    nxt = t[name].withColumn("_next_from", F.lead("from_date").over(w))
-    return nxt.filter(F.col("_next_from") < F.col("to_date")).drop("_next_from")
+def dq_interval_overlaps(t: Tables, name: str, key: str = "emp_no") -> DataFrame:
+    """Rows whose validity interval overlaps another row of the same key (after a change, none should).
+
+    A row overlaps when the key's next distinct start date falls before its
+    end, or when another row starts on the same day. Neighbour dates come from
+    ``with_adjacent_dates`` (window, or the skew-safe row index for huge keys).
+    """
+    from tenure.functions.neighbors import with_adjacent_dates
+
+    df = t[name]
+    ann = with_adjacent_dates(df, key, "from_date", t.skew_safe(name, key))
+    same_day = df.groupBy(key, "from_date").agg((F.count(F.lit(1)) > 1).alias("_same_day"))
+    out = ann.join(same_day, [key, "from_date"])
+    hit = (F.col("next_date").isNotNull() & (F.col("next_date") < F.col("to_date"))) | F.col("_same_day")
+    return out.filter(hit).select(*df.columns)

@@ -80,7 +80,9 @@ def test_changes_keep_one_open_row_per_key(spark, tables):
     new_titles = changes.bulk_title_update(tables)
     assert open_per_key(new_titles, ["emp_no", "title"]) == 0
     t2 = tables.with_tables(salaries=changes.update_salary(tables, emp_no=10003, salary=1))
-    assert quality.dq_interval_overlaps(t2, "salaries", ["emp_no"]).count() == 0
+    assert quality.dq_interval_overlaps(t2, "salaries").count() == 0
+    bad = tables.with_tables(salaries=tables["salaries"].withColumn("to_date", F.lit(OPEN_END)))
+    assert quality.dq_interval_overlaps(bad, "salaries").count() > 0
 
 
 def test_update_salary_seeded_pick_is_reproducible(spark, tables):
