@@ -54,3 +54,24 @@ class Tables(dict):
         out = Tables({**self, **frames})
         out._bounds = {k: v for k, v in self._bounds.items() if k[0].split("#")[0] not in frames}
         return out
+
+
+HR_TABLES = ("employees", "departments", "dept_emp", "salaries", "titles", "dept_manager", "request_events")
+
+
+def stored_tables(spark: SparkSession, path: str, names: tuple[str, ...] = HR_TABLES) -> Tables:
+    """HR tables stored as ``<path>/<name>`` parquet directories (those present are loaded).
+
+    ``salaries_multi`` (the hierarchy report's input) defaults to ``salaries``.
+    """
+    from pyspark.errors import AnalysisException
+
+    out = {}
+    for name in names:
+        try:
+            out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        except AnalysisException:  # table not present in this store
+            continue
+    if "salaries" in out:
+        out.setdefault("salaries_multi", out["salaries"])
+    return Tables(out)
