@@ -1,4 +1,4 @@
-"""Run registered reports as a Spark job: ``spark-submit -m tenure.cli`` or ``python -m tenure.cli``.
+"""Run registered reports as a Spark job: ``spark-submit --py-files tenure.zip tenure/cli.py`` or ``python -m tenure.cli``.
 
 Examples::
 
