@@ -45,22 +45,38 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder: ``spark.checkpoint.dir`` from the session.
 
     On a cluster the deployment sets it to a shared filesystem and we use it
-    as is. Only when it is unset (local tests) do we create one.
+    as is. Only when it is unset (local tests) do we pick a folder, and then
+    only on this SparkContext (the setting itself cannot change at run time).
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tenure-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; the server uses the setting
-        pass
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns checkpointing
+        return path or _fallback_dir()
+    current = sc.getCheckpointDir()
+    if path:
+        if not current:
+            sc.setCheckpointDir(path)
+        return path
+    if current:
+        return current
+    path = _fallback_dir()
+    sc.setCheckpointDir(path)
     return path
 
 
+_FALLBACK: list[str] = []
+
+
+def _fallback_dir() -> str:
+    if not _FALLBACK:
+        _FALLBACK.append(tempfile.mkdtemp(prefix="tenure-ckpt-"))
+    return _FALLBACK[0]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
