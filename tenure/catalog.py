@@ -77,16 +77,19 @@ REPORTS: dict[str, Report] = {
     "ms_hierarchy_salary": ms.ms_hierarchy_salary,
     "ms_employee_scan": ms.ms_employee_scan,
     "ms_history_strings": ms.ms_history_strings,
+    "ms_hierarchy_salary_tsql": lambda t: ms.ms_hierarchy_salary(t, int_avg=True),
     # views
     "employee_stats": views.employee_stats,
     "salary_metrics": views.salary_metrics,
     "dept_stats": views.dept_stats,
+    "salary_metrics_tsql": lambda t: views.salary_metrics(t, int_avg=True),
     "high_salaries": views.high_salaries,
     "current_assignments": views.current_assignments,
     # table changes: each returns the whole new version of one table
     "chg_bulk_title_update": chg.bulk_title_update,
     "chg_salary_adjust": chg.salary_adjust,
     "chg_transfer": chg.transfer,
+    "chg_transfer_conflicts": chg.transfer_conflicts,
     "chg_update_salary": chg.update_salary,
     "chg_append_suffix": chg.append_suffix,
     "chg_dept_budget_raise": chg.dept_budget_raise,
