@@ -27,6 +27,7 @@ SHOW = {
     "admin_transfer_audit": "consecutive assignments: range-frame window + equi joins, no range join",
     "ms_hierarchy_salary": "depth-3 recursion in closed form: per-employee weights, no (kq)^3 rows",
     "pay_salary_by_year": "YEAR() rewritten to a date range that reaches the parquet scan",
+    "perf_department_comparison": "two per-employee DISTINCTs as a per-(department, employee) step: no Expand",
 }
 
 
