@@ -29,6 +29,8 @@ def problems(df: DataFrame) -> list[str]:
         out.append("cartesian product")
     if unpartitioned_windows(text):
         out.append("window over a single partition")
+    if re.search(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas", text):
+        out.append("python code in the plan")
     return out
 
 
