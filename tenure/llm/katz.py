@@ -35,8 +35,9 @@ from tenure.llm.tables import shuffle_parts
 from tenure.llm.words import mix, word_hashes
 
 K = 5  # largest discounted count
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 BLOCK_ROWS = 32_000
+HOT_ROWS = 2_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -66,7 +67,7 @@ def hot_contexts(docs: DataFrame, parts: int) -> np.ndarray:
     def run(batches):
         kept, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         total = 0
-        for batch in batches:
+        for batch in (b.slice(i, HOT_ROWS) for b in batches for i in range(0, b.num_rows, HOT_ROWS)):
             h = [word_hashes(t) for t in batch.column("text").to_pylist()]
             u, n = np.unique(np.concatenate(h) if h else kept[:0], return_counts=True)
             total += int(n.sum())
