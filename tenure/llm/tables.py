@@ -31,7 +31,7 @@ def held_out_fold(doc_id: Column | str, folds: int, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % F.lit(folds) == F.lit(fold), F.lit(False))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from the files.
 
     The folder is ``spark.checkpoint.dir``, which every executor sees, so a lost
@@ -39,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -77,7 +77,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK_I
     files = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at")).mapInArrow(
         run, "file long, block long, ids binary, first long, doc_ids array<long>"
     )
-    files = staged(files, "flat")
+    files = staged(files, "flat", "zstd")
     return files.filter("block is not null").select("file", "block", "ids"), files.filter("first is not null").select("file", "first", "doc_ids")
 
 
