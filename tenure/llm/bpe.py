@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Fixed: the pre-split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 150_000
-RUN_CHARS = 1 << 21
+CACHED_WORDS = 80_000
+RUN_CHARS = 1 << 20
+ROWS = 500  # rows decoded from Arrow at once
 NEVER = 1 << 40
 
 
@@ -45,9 +46,12 @@ def _byte_letters() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Tables:
+    """The compiled automaton as plain lists and arrays."""
+
     labels: list[bytes]  # of each token id; special tokens too
-    made: list[tuple[int, int, int]]  # (left, right, time) of each id; (-1, -1, -1) for bytes
-    cut: dict[int, int]  # left * size + right -> time of the merge that joins them
+    made: tuple[np.ndarray, np.ndarray, np.ndarray]  # left part, right part, time of each id; -1 for bytes
+    cut: tuple[np.ndarray, np.ndarray]  # left * size + right, ascending, and the time of the merge that joins them
+    trie: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # node * 256 + byte, ascending; next node; token of node; next shorter token
     special: dict[str, int]
 
 
@@ -76,8 +80,28 @@ def compile_merges(labels: list[bytes], made: list[tuple[int, int, int]], merges
         if arc(a, b, time, made, cut, size) and made[c][2] < 0:
             cut[a * size + b] = time
             made[c] = (a, b, time)
-    usable = {c for _, _, c in merges}
-    return Tables([x if len(x) == 1 or i not in usable or made[i][2] >= 0 else b"" for i, x in enumerate(labels)], made, cut, special)
+    joined = {c for _, _, c in merges}
+    marked = set(special.values())
+    live = [i for i, x in enumerate(labels) if x and i not in marked and (len(x) == 1 or i not in joined or made[i][2] >= 0)]
+    step: dict[int, int] = {}  # byte trie
+    token = [-1]
+    for i in live:
+        node = 0
+        for byte in labels[i]:
+            node = step.setdefault(node << 8 | byte, len(token))
+            if node == len(token):
+                token.append(-1)
+        token[node] = i
+    shorter = np.full(size, -1)  # the longest token that is a proper prefix
+    for i in live:
+        node = 0
+        for byte in labels[i][:-1]:
+            node = step[node << 8 | byte]
+            if token[node] >= 0:
+                shorter[i] = token[node]
+    end = [(1 << 62, 0)]
+    cuts, edges = (np.array(sorted(d.items()) + end, dtype=np.int64).T.copy() for d in (cut, step))
+    return Tables(labels, tuple(np.array(made, dtype=np.int64).T.copy()), tuple(cuts), (*edges, np.array(token, dtype=np.int64), shorter), special)
 
 
 def arc(u: int, v: int, time: int, made: list[tuple[int, int, int]], cut: dict[int, int], size: int) -> bool:
@@ -104,39 +128,16 @@ class Automaton:
 
     def __init__(self, tables: Tables, special: bool = True) -> None:
         """special: whether special tokens' strings in a text become their ids, or are plain text."""
-        self.labels, self.made, self.cut, self.size = tables.labels, tables.made, tables.cut, len(tables.labels)
+        self.labels, self.size = tables.labels, len(tables.labels)
+        self.left, self.right, self.born = tables.made
+        self.cut_key, self.cut_time = tables.cut
+        self.edge, self.to, self.token, self.shorter = tables.trie
         self.special = tables.special if special else {}
         self.split = regex.compile(PATTERN).findall
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        marked = set(tables.special.values())
-        self.ids = {x: i for i, x in enumerate(self.labels) if x and i not in marked}
         self.words: dict[str, tuple[tuple[int, ...], bytes]] = {}
         self.names = [b"%d" % i for i in range(self.size)]
         self.lengths = np.array([len(x) for x in self.labels], dtype=np.int64)
-        self.left, self.right, self.born = (np.array(x, dtype=np.int64) for x in zip(*self.made))
-        cut = sorted(self.cut.items())
-        self.cut_key = np.array([k for k, _ in cut] + [2**62], dtype=np.int64)
-        self.cut_time = np.array([t for _, t in cut] + [NEVER], dtype=np.int64)
-        step: dict[int, int] = {}  # byte trie: node * 256 + byte -> node
-        token = [-1]
-        for x, i in self.ids.items():
-            node = 0
-            for byte in x:
-                node = step.setdefault(node << 8 | byte, len(token))
-                if node == len(token):
-                    token.append(-1)
-            token[node] = i
-        self.shorter = np.full(self.size, -1)  # the longest token that is a proper prefix
-        for x, i in self.ids.items():
-            node = 0
-            for byte in x[:-1]:
-                node = step[node << 8 | byte]
-                if token[node] >= 0:
-                    self.shorter[i] = token[node]
-        edges = sorted(step.items())
-        self.token = np.array(token, dtype=np.int64)
-        self.edge = np.array([k for k, _ in edges] + [2**62], dtype=np.int64)
-        self.to = np.array([n for _, n in edges] + [0], dtype=np.int64)
 
     def follows(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """``arc`` after all gadgets, for many pairs."""
@@ -269,10 +270,17 @@ def _runs(texts: list[str | None]):
         yield run
 
 
+def small(batches):
+    """Arrow batches cut to ``ROWS`` rows: what is decoded to Python objects at once stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def shared_tables(spark: SparkSession, path: str):
     """The tables of a vocabulary file as a broadcast variable (bounded by the vocabulary)."""
     t = read_tables(path)
-    return spark.sparkContext.broadcast((t.labels, t.made, t.cut, t.special))  # plain types: workers have no Tables class
+    return spark.sparkContext.broadcast((t.labels, t.made, t.cut, t.trie, t.special))  # plain types: workers have no Tables class
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
@@ -281,7 +289,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         automaton = Automaton(Tables(*tables.value))
-        for batch in batches:
+        for batch in small(batches):
             ids = automaton.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -294,7 +302,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         automaton = Automaton(Tables(*tables.value))
-        for batch in batches:
+        for batch in small(batches):
             texts = [automaton.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
@@ -307,7 +315,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         automaton = Automaton(Tables(*tables.value))
-        for batch in batches:
+        for batch in small(batches):
             n, ids_hash, text_hash = [], [], []
             for pieces in automaton.pieces(batch.column("text").to_pylist()):
                 ids = list(chain.from_iterable([p[0] for p in pieces]))

@@ -51,9 +51,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK_I
                 "doc_ids": pa.array([*[None] * len(ids), *lists], pa.list_(pa.int64())),
             })
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in bpe.small(batches):
             if name is None:
                 name = batch.column("at")[0].as_py() >> 33
             doc_ids = batch.column("doc_id").to_pylist()
