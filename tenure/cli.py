@@ -2,7 +2,7 @@
 
 Examples::
 
-    python -m tenure.cli --tables s3a://hr/current --out s3a://hr/reports pay_department_avg dept_stats
+    python -m tenure.cli --tables /data/hr --out /data/reports pay_department_avg dept_stats
     python -m tenure.cli --fixture /root/testdata/sf0.01 --out /tmp/reports --all
 
 Each report is written as parquet under ``<out>/<report>``; nothing is

@@ -1,76 +1,30 @@
-"""Previous / next distinct date per key, safe for keys of any size.
+"""Previous / next distinct date per key.
 
 Validity-interval work needs, per row, the neighbouring *distinct* dates of
 its key (the next salary start closes the current one; the previous title is
-the one held on the previous start date). A window partitioned by the key
-does that in one shuffle, but puts all rows of one key in one task. So the
-choice is checked, like a broadcast:
-
-* ``keys_bounded``: one pass over the key column (partial aggregation)
-  proves no key holds more than ``MAX_KEY_ROWS`` rows; then range-frame
-  windows annotate the rows directly (one exchange, no join).
-* otherwise the distinct (key, date) pairs get a global row index through a
-  range-partitioned sort (a hot key is spread over many partitions by date),
-  neighbours are equi-joins on ``row_index +- 1`` (unique join keys, no hot
-  partition), and the result is joined back on (key, date).
+the one held on the previous start date). One plan at every size: the distinct
+(key, date) pairs, reduced on the map side and bounded for each key by the calendar, get
+their neighbours from a window, and the rows join them on (key, date).
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.operators.paging import with_row_index
-
-# Rows per key a single task may sort for a window (one person's history is far below this).
-MAX_KEY_ROWS = 1_000_000
-_EPOCH = dt.date(1970, 1, 1)
-
-
-def keys_bounded(df: DataFrame, key: str, max_rows: int = MAX_KEY_ROWS) -> bool:
-    """True when no value of ``key`` has more than ``max_rows`` rows (one early-stopping job)."""
-    big = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    return big.limit(1).count() == 0
-
-
-def _day(order: str) -> Column:
-    return F.datediff(F.col(order), F.lit(_EPOCH))
-
 
-def with_adjacent_dates(
-    df: DataFrame, key: str, order: str, skew_safe: bool, value: str | None = None,
-) -> DataFrame:
+def with_adjacent_dates(df: DataFrame, key: str, order: str, value: str | None = None) -> DataFrame:
     """``df`` plus ``prev_date`` / ``next_date`` (previous / next distinct ``order`` of the same key),
     ``pos_from_end`` (1 = latest distinct date) and, with ``value``, ``prev_value``: the largest
     ``value`` on ``prev_date``.
     """
-    if not skew_safe:
-        w = Window.partitionBy(key).orderBy(_day(order))
-        before = w.rangeBetween(Window.unboundedPreceding, -1)
-        after = w.rangeBetween(1, Window.unboundedFollowing)
-        cols = [
-            F.max(order).over(before).alias("prev_date"),
-            F.min(order).over(after).alias("next_date"),
-            F.dense_rank().over(Window.partitionBy(key).orderBy(F.col(order).desc())).alias("pos_from_end"),
-        ]
-        if value is not None:
-            cols.append(F.max(F.struct(F.col(order), F.col(value))).over(before)[value].alias("prev_value"))
-        return df.select("*", *cols)
-    dates = df.select(key, order).distinct()
-    idx = with_row_index(dates, [key, order])
-    nxt = idx.select((F.col("row_index") - 1).alias("row_index"), F.col(key).alias("_nk"), F.col(order).alias("_nd"))
-    prv = idx.select((F.col("row_index") + 1).alias("row_index"), F.col(key).alias("_pk"), F.col(order).alias("_pd"))
-    last = idx.groupBy(key).agg(F.max("row_index").alias("_last"))  # one row per key
-    adj = idx.join(nxt, "row_index", "left").join(prv, "row_index", "left").join(last, key).select(
-        key, order,
-        F.when(F.col("_pk") == F.col(key), F.col("_pd")).alias("prev_date"),
-        F.when(F.col("_nk") == F.col(key), F.col("_nd")).alias("next_date"),
-        (F.col("_last") - F.col("row_index") + 1).cast("int").alias("pos_from_end"),
-    )
-    out = df.join(adj, [key, order], "left")
-    if value is not None:
-        at = df.groupBy(key, order).agg(F.max(value).alias("prev_value")).withColumnRenamed(order, "prev_date")
-        out = out.join(at, [key, "prev_date"], "left")
-    return out
+    dates = df.groupBy(key, order).agg(F.max(value).alias("_v")) if value else df.select(key, order).distinct()
+    w = Window.partitionBy(key).orderBy(order)
+    cols = [
+        F.lag(order).over(w).alias("prev_date"),
+        F.lead(order).over(w).alias("next_date"),
+        F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())).alias("pos_from_end"),
+    ]
+    if value:
+        cols.append(F.lag("_v").over(w).alias("prev_value"))
+    return df.join(dates.select(key, order, *cols), [key, order], "left").select(*df.columns, "prev_date", "next_date", "pos_from_end", *(["prev_value"] if value else []))

@@ -1,16 +1,8 @@
 """Exact per-group percentiles (``percentile_cont``: linear interpolation between ranks).
 
-Two plans, chosen by a checked bound on the group size (``bounded``):
-
-* groups proven small: rank rows with a window per group (one task sorts one
-  group, at most ``MAX_KEY_ROWS`` rows);
-* otherwise no group may sit in one task: rows are range-partitioned and
-  sorted by (group, value); a distributed row index gives each row its rank
-  in the group (global index minus the group's start, from a table with one
-  row per group).
-
-Either way only the two rows around the target rank are kept and
-interpolated, with the same arithmetic.
+One plan at every size: rows are counted by distinct value (partial sums on the map side), the
+counts by whole-number range of the value, and a running sum over those ranges tells in
+which ranges the two target ranks fall. Only the values of these ranges are ordered.
 """
 
 from __future__ import annotations
@@ -18,29 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.operators.paging import with_row_index
 
-
-def percentile_cont(
-    df: DataFrame, group: list[str], value: str, p: float, name: str, bounded: bool = False,
-) -> DataFrame:
+def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Per group: the ``p`` quantile of ``value`` with linear interpolation (NULLs ignored)."""
-    rows = df.select(*group, value).filter(F.col(value).isNotNull())
-    pos = (F.col("_n") - 1) * F.lit(p)
-    if bounded:
-        w = Window.partitionBy(*group)
-        ranked = rows.select(
-            *group, value,
-            (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"),
-        ).select("*", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"), (pos - F.floor(pos)).alias("_frac"))
-    else:
-        idx = with_row_index(rows, [*group, value])
-        sizes = idx.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("row_index").alias("_start"))
-        targets = sizes.select(*group, "_start", F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"),
-                               (pos - F.floor(pos)).alias("_frac"))
-        ranked = idx.join(targets, group).withColumn("_r", F.col("row_index") - F.col("_start"))
-    picked = ranked.filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    lo = F.max(F.when(F.col("_r") == F.col("_lo"), F.col(value)))
-    hi = F.max(F.when(F.col("_r") == F.col("_hi"), F.col(value)))
-    return picked.groupBy(*group).agg((lo + (hi - lo) * F.first("_frac")).alias(name))
-
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_range", F.floor(value))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pos = (F.sum("_c").over(whole) - 1) * F.lit(p)
+    ranges = counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_c")).select(
+        *group, "_range", F.col("_c").alias("_size"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), pos.alias("_pos"))
+    ranges = ranges.select("*", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"), (F.col("_pos") - F.floor("_pos")).alias("_frac"))
+    ranges = ranges.filter((F.col("_lo") < F.col("_start") + F.col("_size")) & (F.col("_hi") >= F.col("_start")))
+    near = counts.join(ranges, [*group, "_range"])
+    upto = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
+
+    def at(rank: str):
+        return F.max(F.when((F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("_c")), F.col(value)))
+
+    lo, hi = at("_lo"), at("_hi")
+    return near.groupBy(*group).agg((lo + (hi - lo) * F.first("_frac")).alias(name))

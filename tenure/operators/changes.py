@@ -147,7 +147,9 @@ def update_salary(
             updates = latest.select("emp_no", F.floor(F.col("cur") * (1 + u * 0.2)).cast("int").alias("salary"))
         else:
             updates = emp.select("emp_no", F.lit(int(salary)).alias("salary"))
-    updates = updates.select(F.col("emp_no").cast("int"), F.col("salary").cast("int"))
+    # One update an employee (the largest salary given), and none for ids without an employee.
+    updates = updates.select(F.col("emp_no").cast("int"), F.col("salary").cast("int")).groupBy("emp_no").agg(F.max("salary").alias("salary"))
+    updates = updates.join(t["employees"].select("emp_no"), "emp_no", "left_semi")
     opened = updates.select("emp_no", "salary", F.lit(as_of).alias("from_date"), F.lit(OPEN_END).alias("to_date"))
     return scd2_close_open(s, ["emp_no"], updates, opened, as_of)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.schema import DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
@@ -16,7 +16,7 @@ from tenure.sources.tables import Tables
 
 
 def _key_text(cols: list[str]) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +75,8 @@ def dq_duplicate_keys(t: Tables) -> DataFrame:
                 _key_text(keys).alias("key_value"), "n"))
     for name, groups in UNIQUE_KEYS.items():
         for keys in groups:
-            parts.append(duplicate_keys(t[name], keys).select(
+            # UNIQUE lets rows with a NULL in the key repeat, as in SQL.
+            parts.append(duplicate_keys(t[name].dropna(subset=keys), keys).select(
                 F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
                 _key_text(keys).alias("key_value"), "n"))
     return reduce(DataFrame.unionByName, parts)
@@ -137,15 +138,15 @@ def dq_table_counts(t: Tables, names: list[str] | None = None) -> DataFrame:
 def dq_interval_overlaps(t: Tables, name: str, key: str = "emp_no") -> DataFrame:
     """Rows whose validity interval overlaps another row of the same key (after a change, none should).
 
-    A row overlaps when the key's next distinct start date falls before its
-    end, or when another row starts on the same day. Neighbour dates come from
-    ``with_adjacent_dates`` (window, or the skew-safe row index for huge keys).
+    A row overlaps when the key's next distinct start date falls before its end, when another
+    row starts on the same day, or when a row that started earlier ends after its start. The
+    dates are reduced to one row per (key, start) first.
     """
-    from tenure.functions.neighbors import with_adjacent_dates
-
     df = t[name]
-    ann = with_adjacent_dates(df, key, "from_date", t.skew_safe(name, key))
-    same_day = df.groupBy(key, "from_date").agg((F.count(F.lit(1)) > 1).alias("_same_day"))
-    out = ann.join(same_day, [key, "from_date"])
-    hit = (F.col("next_date").isNotNull() & (F.col("next_date") < F.col("to_date"))) | F.col("_same_day")
-    return out.filter(hit).select(*df.columns)
+    days = df.groupBy(key, "from_date").agg((F.count(F.lit(1)) > 1).alias("_same_day"), F.max("to_date").alias("_end"))
+    w = Window.partitionBy(key).orderBy("from_date")
+    days = days.select(
+        key, "from_date", "_same_day", F.lead("from_date").over(w).alias("_next"),
+        F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_open_until"))
+    hit = F.col("_same_day") | (F.col("_next") < F.col("to_date")) | (F.col("_open_until") > F.col("from_date"))
+    return df.join(days, [key, "from_date"]).filter(hit).select(*df.columns)

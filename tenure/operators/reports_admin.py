@@ -99,8 +99,8 @@ def admin_employee_details(t: Tables, as_of: dt.date = AS_OF, emp_no: int | None
         F.col("dept_name"), F.lit(": "), F.col("from_date").cast("string"), F.lit(" to "), date_text_or_present("to_date"),
     )
     dept_rows = with_dept_name(t, de.select("emp_no", "dept_no", "from_date", "to_date"))
-    th = _history(ti, t.skew_safe("titles"), "title_history", F.col("title"), [F.col("from_date"), F.col("title")], ", ")
-    dh = _history(dept_rows, t.skew_safe("dept_emp"), "department_history", entry,
+    th = _history(ti, "title_history", F.col("title"), [F.col("from_date"), F.col("title")], ", ")
+    dh = _history(dept_rows, "department_history", entry,
                   [F.col("from_date"), F.col("dept_no")], "; ")
     s = snapshot(t, employees=e, emp_cols=["emp_no", "first_name", "last_name", "hire_date"])
     s = s.join(th, "emp_no", "left").join(dh, "emp_no", "left")
@@ -111,10 +111,8 @@ def admin_employee_details(t: Tables, as_of: dt.date = AS_OF, emp_no: int | None
     )
 
 
-def _history(rows: DataFrame, skew_safe: bool, name: str, value, order: list, sep: str) -> DataFrame:
-    """One ordered history string per employee; chunked by start year when one employee may be huge."""
-    if not skew_safe:
-        return rows.groupBy("emp_no").agg(ordered_concat(value, order, sep).alias(name))
+def _history(rows: DataFrame, name: str, value, order: list, sep: str) -> DataFrame:
+    """One ordered history string per employee, built by start year."""
     return chunked_concat(rows, ["emp_no"], {name: value}, order, [F.year("from_date")], sep)
 
 
@@ -144,14 +142,14 @@ def admin_transfer_audit(t: Tables, as_of: dt.date = AS_OF, min_count: int = 1)
 
     A pair (a, b) of one employee's assignments is consecutive when b starts
     on the next *distinct* start date after a; ``with_adjacent_dates`` gives that
-    date (a window, or a skew-safe row index when one employee is huge).
+    date.
     Rows are first counted per (employee, start date, department), so the
     pairs are built between those counts (at most departments^2 per date
     step) and weighted, never row by row: no range join, no all-pairs
     expansion.
     """
     de = t["dept_emp"].select("emp_no", "dept_no", "from_date")
-    ann = with_adjacent_dates(de, "emp_no", "from_date", t.skew_safe("dept_emp")).filter(F.col("next_date").isNotNull())
+    ann = with_adjacent_dates(de, "emp_no", "from_date").filter(F.col("next_date").isNotNull())
     # Grouping right after the per-employee window reuses its partitioning (no extra exchange).
     a = ann.groupBy("emp_no", "from_date", "next_date", "dept_no").agg(F.count(F.lit(1)).alias("n_a"))
     b = de.groupBy("emp_no", "from_date", "dept_no").agg(F.count(F.lit(1)).alias("n_b")).select(

@@ -12,10 +12,6 @@ from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.schema import AS_OF
 from tenure.sources.tables import Tables
 
-# Point-lookup lists up to this size become an IN filter pushed to the scan;
-# longer key lists are joined as a DataFrame (left semi join).
-MAX_IN_LIST = 1000
-
 
 def pay_salary_by_employee(t: Tables, as_of: dt.date = AS_OF, emp_no: int = 10001) -> DataFrame:
     """One employee's current salary interval, department and title."""
@@ -80,18 +76,14 @@ def pay_search_by_salary(t: Tables, as_of: dt.date = AS_OF, low: int = 70000, hi
 def pay_lookup_many(t: Tables, as_of: dt.date = AS_OF, emp_nos: list[int] | DataFrame | None = None) -> DataFrame:
     """Many point lookups as one query: employees with their current salary.
 
-    A short id list is an IN filter (pushed to parquet); a DataFrame of keys
-    is a left semi join.
+    The ids, a list of any length or a DataFrame, are a key table that both
+    sides meet in a left semi join.
     """
     if emp_nos is None:
         emp_nos = [10001 + i for i in range(20)]
     e, s = t["employees"], current(t, "salaries", ["emp_no", "salary"])
-    if isinstance(emp_nos, DataFrame):
-        keys = emp_nos.select(F.col(emp_nos.columns[0]).cast("int").alias("emp_no"))
-        e = e.join(keys, "emp_no", "left_semi")
-    elif len(emp_nos) <= MAX_IN_LIST:
-        e = e.filter(F.col("emp_no").isin(list(emp_nos)))
-        s = s.filter(F.col("emp_no").isin(list(emp_nos)))
-    else:
-        raise ValueError("pass long key lists as a DataFrame")
+    if not isinstance(emp_nos, DataFrame):
+        emp_nos = e.sparkSession.createDataFrame([(int(i),) for i in emp_nos], "emp_no long")
+    keys = emp_nos.select(F.col(emp_nos.columns[0]).cast("int").alias("emp_no"))
+    e, s = (x.join(keys, "emp_no", "left_semi") for x in (e, s))
     return e.join(s, "emp_no").select(*EMP_COLS, "salary")

@@ -62,7 +62,7 @@ def previous_at(t: Tables, name: str, value: str) -> DataFrame:
     Ties on that date resolve to the largest value (deterministic).
     """
     hist = t[name].select("emp_no", "from_date", "to_date", value)
-    out = with_adjacent_dates(hist, "emp_no", "from_date", t.skew_safe(name), value=value)
+    out = with_adjacent_dates(hist, "emp_no", "from_date", value=value)
     return out.filter(is_open()).select("emp_no", "from_date", value, F.col("prev_value").alias(f"previous_{value}"))
 
 

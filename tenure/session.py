@@ -55,7 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server owns checkpointing
-        return path or _fallback_dir()
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the server and all executors share") from None
+        return path
     current = sc.getCheckpointDir()
     if path:
         if not current:
@@ -63,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = _fallback_dir()
     sc.setCheckpointDir(path)
     return path

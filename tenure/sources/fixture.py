@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.functions.neighbors import keys_bounded, with_adjacent_dates
+from tenure.functions.neighbors import with_adjacent_dates
 from tenure.schema import AS_OF, BUDGET_TYPE, DEFAULT_BUDGET, OPEN_END
 from tenure.sources.tables import Tables, read_table
 
@@ -126,15 +126,15 @@ def _salary_points(orders: DataFrame) -> DataFrame:
     )
 
 
-def salaries(orders: DataFrame, skew_safe: bool = False) -> DataFrame:
+def salaries(orders: DataFrame) -> DataFrame:
     """Each salary runs until the customer's next order day (open if none)."""
-    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date", skew_safe)
+    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date")
     return pts.select("emp_no", "salary", "from_date", F.coalesce("next_date", F.lit(OPEN_END)).alias("to_date"))
 
 
-def salaries_multi(orders: DataFrame, skew_safe: bool = False) -> DataFrame:
+def salaries_multi(orders: DataFrame) -> DataFrame:
     """Variant with 1 + k % 4 open rows per employee (the loader's multi-current shape)."""
-    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date", skew_safe)
+    pts = with_adjacent_dates(_salary_points(orders), "emp_no", "from_date")
     return pts.select(
         "emp_no", "salary", "from_date",
         F.when(F.col("pos_from_end") <= F.col("n_open"), F.lit(OPEN_END))
@@ -172,15 +172,13 @@ def hr_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Table
     """All HR tables as lazy DataFrames derived from the driver tables under ``sf_dir``."""
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    # Orders per customer bound the salary rows per employee: check once which plan is safe.
-    safe = not keys_bounded(orders.select("o_custkey"), "o_custkey")
     return Tables({
         "employees": employees(customer),
         "departments": departments(read_table(spark, sf_dir, "nation")),
         "dept_emp": dept_emp(customer, as_of),
         "titles": titles(customer, as_of),
-        "salaries": salaries(orders, safe),
-        "salaries_multi": salaries_multi(orders, safe),
+        "salaries": salaries(orders),
+        "salaries_multi": salaries_multi(orders),
         "dept_manager": dept_manager(read_table(spark, sf_dir, "supplier")),
         "request_events": request_events(read_table(spark, sf_dir, "events")),
     })

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from helpers import END, D, emp, make_tables
@@ -191,36 +193,9 @@ def test_hierarchy_closed_form_equals_the_recursion(spark):
     assert got == want and got
 
 
-def test_skew_safe_neighbours_equal_the_window(spark, tables):
-    from tenure.functions.neighbors import with_adjacent_dates
-
-    for name, value in (("salaries", "salary"), ("dept_emp", "dept_no"), ("titles", "title")):
-        df = tables[name]
-        a = with_adjacent_dates(df, "emp_no", "from_date", skew_safe=False, value=value)
-        b = with_adjacent_dates(df, "emp_no", "from_date", skew_safe=True, value=value).select(*a.columns)
-        assert a.count() == b.count() and a.exceptAll(b).count() == 0
-
-
-def test_reports_agree_on_both_neighbour_plans(spark, tables):
-    """Force the skew-safe path through the Tables bound and compare whole results."""
-    from tenure.operators.reports_admin import admin_transfer_audit
-    from tenure.operators.reports_perf import perf_career_progression
-
-    forced = tables.with_tables()
-    for name in ("dept_emp", "titles", "salaries"):
-        forced._bounds[(f"{name}#emp_no", 1_000_000)] = False
-    from tenure.operators.reports_admin import admin_employee_details
-
-    for fn in (admin_transfer_audit, perf_career_progression, lambda t: admin_employee_details(t, emp_no=None)):
-        x, y = fn(tables), fn(forced)
-        assert x.count() == y.count() and x.exceptAll(y).count() == 0
-
-
-def test_hot_employee_switches_to_the_skew_safe_plan(spark, monkeypatch):
-    """One employee holds most salary rows: the checked bound fails and the row-index plan is chosen."""
-    from tenure.functions import neighbors
+def test_neighbour_dates_and_a_hot_employee(spark):
+    """One employee holds most salary rows; the previous value is that of the previous distinct date."""
     from tenure.operators.reports_perf import perf_career_progression
-    from tenure.plans.inspect import plan_text
 
     hot = [(1, 1000 + i, D(1990, 1, 1) + dt.timedelta(days=i), D(1990, 1, 1) + dt.timedelta(days=i + 1))
            for i in range(300)]
@@ -235,26 +210,67 @@ def test_hot_employee_switches_to_the_skew_safe_plan(spark, monkeypatch):
         salaries=hot + others,
         titles=[(e, "Staff", D(1990, 1, 1), END) for e in range(1, 40)],
     )
-    monkeypatch.setattr(neighbors, "MAX_KEY_ROWS", 100)
-    assert t.skew_safe("salaries") and not t.skew_safe("titles")
-    safe = perf_career_progression(t)
-    assert "row_index" in plan_text(safe)
-    window_t = t.with_tables()  # same tables, bound forced to the window plan
-    window_t._bounds[("salaries#emp_no", 100)] = True
-    window = perf_career_progression(window_t)
-    assert safe.exceptAll(window).count() == 0 and window.exceptAll(safe).count() == 0
-    r = safe.filter("emp_no = 1").first()
-    assert (r.current_salary, r.previous_salary) == (99, 1298)
-
-
-def test_percentile_plans_agree(spark, tables):
+    rows = {r.emp_no: (r.current_salary, r.previous_salary) for r in perf_career_progression(t).collect()}
+    assert rows == {1: (99, 1298)} | {e: (600 * e, 500 * e) for e in range(2, 40)}
+
+
+def test_percentiles_equal_numpy(spark, tables):
+    import numpy as np
+
     from tenure.functions.quantiles import percentile_cont
 
     ev = tables["request_events"]
+    values = ev.select("queryType", "duration").toPandas().dropna().groupby("queryType").duration
     for p in (0.0, 0.5, 0.95, 1.0):
-        a = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=True)
-        b = percentile_cont(ev, ["queryType"], "duration", p, "q", bounded=False)
-        assert sorted(a.collect()) == sorted(b.collect())
+        got = {r.queryType: r.q for r in percentile_cont(ev, ["queryType"], "duration", p, "q").collect()}
+        assert got == pytest.approx({k: np.quantile(v, p) for k, v in values})
+
+
+def test_no_job_while_percentiles_and_neighbours_are_built(spark, tables):
+    from tenure.operators.reports_perf import previous_at
+    from tenure.operators.telemetry import request_metrics
+
+    spark.sparkContext.setJobGroup("build-only", "")
+    previous_at(tables, "titles", "title")
+    request_metrics(tables)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")
+    spark.sparkContext.setJobGroup("rest", "")
+
+
+def test_lookup_takes_any_number_of_ids(spark, tables):
+    from tenure.operators.reports_pay import pay_lookup_many
+
+    few = pay_lookup_many(tables, emp_nos=list(range(10001, 10021))).count()
+    assert 0 < few <= pay_lookup_many(tables, emp_nos=list(range(10001, 15001))).count()
+
+
+def test_counter_samples_within_a_second(spark):
+    from tenure.operators.telemetry import counter_rate
+
+    at = [dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 0, 0, 0, 250_000), dt.datetime(2024, 1, 1, 0, 0, 0, 250_000)]
+    series = spark.createDataFrame([("a", t, v) for t, v in zip(at, (10, 15, 15))], "k string, ts timestamp, v long")
+    assert sorted((r.rate for r in counter_rate(series, "k", "ts", "v").collect()), key=str) == [20.0, None, None]
+
+
+def test_overlap_check_returns_both_rows(spark):
+    from tenure.operators.quality import dq_duplicate_keys, dq_interval_overlaps
+
+    t = make_tables(
+        spark,
+        employees=[emp(1), emp(2)],
+        departments=[("d001", "One"), ("d002", "Two")],
+        salaries=[(1, 1, D(2000, 1, 1), D(2000, 12, 31)), (1, 2, D(2000, 5, 1), D(2000, 6, 1)), (1, 3, D(2001, 1, 1), END), (2, 4, D(2000, 1, 1), END)],
+    )
+    assert sorted(r.salary for r in dq_interval_overlaps(t, "salaries").collect()) == [1, 2]
+    t = t.with_tables(departments=t["departments"].withColumn("dept_name", F.lit(None).cast("string")))
+    assert dq_duplicate_keys(t).filter("key_columns = 'dept_name'").count() == 0  # UNIQUE ignores NULL
+
+
+def test_repeated_and_unknown_salary_updates(spark):
+    t = make_tables(spark, employees=[emp(1)], salaries=[(1, 50, D(2000, 1, 1), END)])
+    updates = spark.createDataFrame([(1, 60), (1, 70), (9, 80)], "emp_no int, salary int")
+    rows = changes.update_salary(t, updates=updates).filter(f"to_date = date'{END}'").collect()
+    assert [(r.emp_no, r.salary) for r in rows] == [(1, 70)]
 
 
 def test_sql_server_integer_average(spark):

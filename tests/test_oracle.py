@@ -10,9 +10,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from tenure.catalog import REPORTS
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: q for name, q in entry.queries().items() if name in REPORTS}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in REPORTS}
 
 
 def _norm(v):
