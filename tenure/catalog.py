@@ -77,6 +77,7 @@ REPORTS: dict[str, Report] = {
     "ms_hierarchy_salary": ms.ms_hierarchy_salary,
     "ms_employee_scan": ms.ms_employee_scan,
     "ms_history_strings": ms.ms_history_strings,
+    "ms_history_chunks": ms.ms_history_chunks,
     "ms_hierarchy_salary_tsql": lambda t: ms.ms_hierarchy_salary(t, int_avg=True),
     # views
     "employee_stats": views.employee_stats,
@@ -84,6 +85,7 @@ REPORTS: dict[str, Report] = {
     "dept_stats": views.dept_stats,
     "salary_metrics_tsql": lambda t: views.salary_metrics(t, int_avg=True),
     "high_salaries": views.high_salaries,
+    "high_salaries_100k": lambda t: views.high_salaries(t, threshold=100000),
     "current_assignments": views.current_assignments,
     # table changes: each returns the whole new version of one table
     "chg_bulk_title_update": chg.bulk_title_update,
@@ -102,6 +104,11 @@ REPORTS: dict[str, Report] = {
     "dq_domain_violations": dq.dq_domain_violations,
     "dq_table_counts": dq.dq_table_counts,
     "dq_employees_with_defaults": dq.employees_with_defaults,
+    # the same checks over tables with planted violations
+    "dq_duplicate_keys_planted": lambda t: dq.dq_duplicate_keys(dq.with_planted_violations(t)),
+    "dq_foreign_key_orphans_planted": lambda t: dq.dq_foreign_key_orphans(dq.with_planted_violations(t)),
+    "dq_domain_violations_planted": lambda t: dq.dq_domain_violations(dq.with_planted_violations(t)),
+    "dq_interval_overlaps": lambda t: dq.dq_interval_overlaps(t, "salaries_multi"),
     # request telemetry
     "tel_request_metrics": tel.request_metrics,
     "tel_request_metrics_windowed": tel.request_metrics_windowed,
@@ -111,19 +118,26 @@ REPORTS: dict[str, Report] = {
     "tel_active_sessions": tel.active_sessions,
     "tel_counter_rate": tel.request_counter_rate,
     "tel_slow_requests": tel.slow_requests,
+    "tel_slow_requests_100ms": lambda t: tel.slow_requests(t, threshold_ms=100.0),
+    "tel_request_metrics_15s": tel.request_metrics_windowed_p95,
+    "tel_slo_run": tel.slo_run,
+    "tel_slo_run_mysql": lambda t: tel.slo_run(t, p95_max_ms=tel.P95_MAX_MS_MYSQL),
+    "tel_statement_rates": tel.statement_rates,
     "tel_request_log": tel.request_log,
     "tel_endpoint_mix": tel.endpoint_mix,
 }
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+# Tables of the session last seen; another session starts a new memo.
+_MEMO: list = [None, {}]
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """HR tables derived from ``sf_dir`` (lazy DataFrames, memoised per session)."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = hr_tables(spark, sf_dir)
-    return _TABLES[key]
+    if _MEMO[0] is not spark:
+        _MEMO[:] = [spark, {}]
+    if sf_dir not in _MEMO[1]:
+        _MEMO[1][sf_dir] = hr_tables(spark, sf_dir)
+    return _MEMO[1][sf_dir]
 
 
 def oracle() -> dict[str, str]:

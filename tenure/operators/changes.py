@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.dialect import is_open, scale_decimal, scale_to_int
 from tenure.operators.current import current
-from tenure.plans.sizing import dim
+from tenure.plans.sizing import dim, dim_agg
 from tenure.schema import AS_OF, OPEN_END
 from tenure.sources.tables import Tables
 
@@ -103,12 +103,13 @@ def transfer(
 ) -> DataFrame:
     """New ``dept_emp``: movers close every open assignment and open one in ``to_dept``.
 
-    One set-based pass instead of 1 + 2n statements. A mover who held
-    ``to_dept`` before would repeat the key (emp_no, dept_no); see
-    ``transfer_conflicts``.
+    One set-based pass instead of 1 + 2n statements. A candidate who held ``to_dept`` before
+    would repeat the key (emp_no, dept_no): the source's insert fails there, here the candidate is
+    left as is and reported by ``transfer_conflicts``.
     """
     de = t["dept_emp"].select("emp_no", "dept_no", "from_date", "to_date")
-    movers = transfer_candidates(t, from_dept, to_dept, n)
+    held = de.filter(F.col("dept_no") == to_dept).select("emp_no")
+    movers = transfer_candidates(t, from_dept, to_dept, n).join(held, "emp_no", "left_anti")
     opened = movers.select(
         "emp_no", F.lit(to_dept).alias("dept_no"), F.lit(as_of).alias("from_date"), F.lit(OPEN_END).alias("to_date"),
     )
@@ -158,7 +159,7 @@ def append_suffix(t: Tables, as_of: dt.date = AS_OF, suffix: str = "-updated", n
     """New ``employees``: the first ``n`` employees by emp_no get ``suffix`` on their last name."""
     e = t["employees"]
     first = e.select("emp_no").orderBy("emp_no").limit(n).withColumn(_HIT, F.lit(True))
-    j = e.join(F.broadcast(first), "emp_no", "left")  # at most n rows: bounded by the parameter
+    j = e.join(first, "emp_no", "left")
     return j.withColumn(
         "last_name", F.when(F.col(_HIT), F.concat("last_name", F.lit(suffix))).otherwise(F.col("last_name"))
     ).select(*e.columns)
@@ -179,7 +180,7 @@ def dept_budget_raise(
     flags = rows.groupBy("dept_no").agg(*[
         F.max(F.when(F.col("gender") == g, 1).otherwise(0)).alias(f"g_{g}") for g in sorted(set(genders))
     ])
-    d = t["departments"].join(dim(t, "departments", flags), "dept_no", "left")
+    d = t["departments"].join(dim_agg(t, "departments", flags, "dept_no"), "dept_no", "left")
     # One projection per pass: each pass reads the previous pass's column, so
     # the expression stays linear in the number of passes.
     for g in genders:

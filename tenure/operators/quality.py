@@ -150,3 +150,17 @@ def dq_interval_overlaps(t: Tables, name: str, key: str = "emp_no") -> DataFrame
         F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_open_until"))
     hit = F.col("_same_day") | (F.col("_next") < F.col("to_date")) | (F.col("_open_until") > F.col("from_date"))
     return df.join(days, [key, "from_date"]).filter(hit).select(*df.columns)
+
+
+def with_planted_violations(t: Tables) -> Tables:
+    """The tables with violations of each declared constraint, so that the checks have something to find.
+
+    Repeated employees (emp_no divisible by 7), an unknown gender (by 11), assignments to an unknown
+    department (by 13) and a department whose name another one has.
+    """
+    e, de, d = t["employees"], t["dept_emp"], t["departments"]
+    e = e.unionByName(e.filter("emp_no % 7 = 0"))
+    e = e.withColumn("gender", F.when(F.col("emp_no") % 11 == 0, "X").otherwise(F.col("gender")))
+    de = de.withColumn("dept_no", F.when(F.col("emp_no") % 13 == 0, "d999").otherwise(F.col("dept_no")))
+    d = d.unionByName(d.filter("dept_no = 'd003'").withColumn("dept_no", F.lit("x003")))
+    return t.with_tables(employees=e, dept_emp=de, departments=d)

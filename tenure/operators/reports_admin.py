@@ -13,7 +13,7 @@ from tenure.functions.strings import chunked_concat, ordered_concat
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.operators.paging import with_row_index
 from tenure.operators.reports_perf import dept_avg_all_members
-from tenure.plans.sizing import dim
+from tenure.plans.sizing import dim, dim_agg
 from tenure.schema import AS_OF
 from tenure.sources.tables import Tables
 
@@ -70,9 +70,9 @@ def admin_department_details(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
     d = t["departments"].select("dept_no", "dept_name")
     out = (
-        d.join(dim(t, "departments", members), "dept_no", "left")
-        .join(dim(t, "departments", managers), "dept_no", "left")
-        .join(dim(t, "departments", past), "dept_no", "left")
+        d.join(dim_agg(t, "departments", members, "dept_no"), "dept_no", "left")
+        .join(dim_agg(t, "departments", managers, "dept_no"), "dept_no", "left")
+        .join(dim_agg(t, "departments", past, "dept_no"), "dept_no", "left")
     )
     return out.select(
         "dept_no", "dept_name",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.dialect import col_, like, ratio, ratio_trunc
-from tenure.functions.strings import chunked_concat
+from tenure.functions.strings import ordered_concat
 from tenure.operators.current import EMP_COLS, current, with_dept_name
 from tenure.plans.sizing import dim, one_row
 from tenure.schema import AS_OF
@@ -74,31 +74,47 @@ def ms_employee_scan(
     ).orderBy(F.col("salary").desc(), "emp_no", "from_date", "dept_no")
 
 
-def ms_history_strings(t: Tables, as_of: dt.date = AS_OF, n: int = 1000) -> DataFrame:
-    """Per (gender, birth year): first names, salaries and department names as ordered lists.
+def ms_history_chunks(t: Tables, as_of: dt.date = AS_OF, width: int = EMP_CHUNK) -> DataFrame:
+    """Per (gender, birth year): first names, salaries and department names as ordered lists, in pieces.
 
-    Rows are employee x salary-history x assignment. Ties in the source's
-    sort keys are broken by (emp_no, salary from_date, dept_no). Groups grow
-    with the data, so lists are built in employee-range chunks first.
+    Rows are employee x salary-history x assignment. Ties in the source's sort keys are broken by
+    (emp_no, salary from_date, dept_no). A piece (``items``) holds the ``n`` entries of one range
+    of ``width`` employee numbers, for department_history of one department too (dept_no is empty
+    elsewhere); a list is its pieces in the order (dept_no, emp_range). The fan-out is
+    joined once, and no group that grows with the data meets in one task.
     """
     rows = (
         t["employees"].select("emp_no", "first_name", "gender", F.year("birth_date").alias("birth_year"))
         .join(t["salaries"].select("emp_no", "salary", F.col("from_date").alias("s_from")), "emp_no")
         .join(t["dept_emp"].select("emp_no", "dept_no"), "emp_no")
     )
-    rows = with_dept_name(t, rows)
-    g = ["gender", "birth_year"]
-    by_emp = [F.col("emp_no"), F.col("s_from"), F.col("dept_no")]
-    chunk = [F.floor(F.col("emp_no") / EMP_CHUNK)]
-    # The first two lists share one order, so one aggregation builds both.
-    by_emp_lists = chunked_concat(
-        rows, g, {"employee_data": F.col("first_name"), "salary_history": F.col("salary")}, by_emp, chunk, ", ",
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("list"), F.lit("").alias("in_dept"), F.col(c).cast("string").alias("entry"))
+          for n, c in (("employee_data", "first_name"), ("salary_history", "salary"))],
+        F.struct(F.lit("department_history").alias("list"), F.col("dept_no").alias("in_dept"), F.col("dept_name").alias("entry")),
+    )
+    rows = with_dept_name(t, rows).select(
+        "gender", "birth_year", "emp_no", "s_from", "dept_no", F.floor(F.col("emp_no") / width).alias("emp_range"), F.inline(entries),
     )
-    depts = chunked_concat(
-        rows, g, {"department_history": F.col("dept_name")}, [F.col("dept_no"), F.col("emp_no"), F.col("s_from")],
-        [F.col("dept_no"), F.floor(F.col("emp_no") / EMP_CHUNK)], ", ",
+    order = [F.col("emp_no"), F.col("s_from"), F.col("dept_no")]
+    return rows.groupBy("gender", "birth_year", "list", F.col("in_dept").alias("dept_no"), "emp_range").agg(
+        F.count("entry").alias("n"), ordered_concat(F.col("entry"), order, ", ").alias("items"),
     )
-    out = by_emp_lists.join(depts, g)
-    return out.select(*g, "employee_data", "salary_history", "department_history").orderBy(
-        "employee_data", "salary_history", "gender", "birth_year"
-    ).limit(n)
+
+
+def ms_history_strings(t: Tables, as_of: dt.date = AS_OF, n: int = 1000) -> DataFrame:
+    """The source's form of ``ms_history_chunks``: each list as one string, the first ``n`` rows by their lists.
+
+    One value holds a whole group, as in the source, so this form ends where a string of 2 GB
+    does; ``ms_history_chunks`` has no such end.
+    """
+    g = ["gender", "birth_year"]
+    pieces = F.struct("dept_no", "emp_range", "items")
+
+    def joined(name: str):
+        held = F.array_sort(F.collect_list(F.when(F.col("list") == name, pieces)))
+        return F.array_join(F.transform(held, lambda s: s["items"]), ", ").alias(name)
+
+    lists = ["employee_data", "salary_history", "department_history"]
+    out = ms_history_chunks(t, as_of).groupBy(*g).agg(*[joined(name) for name in lists])
+    return out.orderBy("employee_data", "salary_history", *g).limit(n)

@@ -17,7 +17,7 @@ from tenure.functions.dialect import (
 )
 from tenure.functions.neighbors import with_adjacent_dates
 from tenure.operators.current import current, snapshot, with_dept_name
-from tenure.plans.sizing import dim
+from tenure.plans.sizing import dim_agg
 from tenure.schema import AS_OF
 from tenure.sources.tables import Tables
 
@@ -36,12 +36,12 @@ def title_counts(t: Tables, distinct: bool) -> DataFrame:
 def dept_avg_all_members(t: Tables) -> DataFrame:
     """Average current salary of everyone ever assigned to a department (past members included).
 
-    Partial aggregation per department before the shuffle; the result has
-    one row per department, so it is joined back as a bounded broadcast.
+    Partial aggregation per department before the shuffle; the result is cut to the known
+    departments, so it is joined back as a bounded broadcast.
     """
     rows = current(t, "salaries", ["emp_no", "salary"]).join(t["dept_emp"].select("emp_no", "dept_no"), "emp_no")
     agg = rows.groupBy("dept_no").agg(avg_round("salary", 4).alias("dept_avg_salary"))
-    return dim(t, "departments", agg)
+    return dim_agg(t, "departments", agg, "dept_no")
 
 
 def perf_employee_list(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
@@ -104,7 +104,7 @@ def perf_department_score(t: Tables, as_of: dt.date = AS_OF, senior_prefix: str
         current(t, "dept_emp", ["emp_no", "dept_no"]).join(seniors, "emp_no", "left_semi")
         .groupBy("dept_no").agg(F.count_distinct("emp_no").alias("senior_employees"))
     )
-    out = agg.join(dim(t, "departments", senior), "dept_no", "left")
+    out = agg.join(dim_agg(t, "departments", senior, "dept_no"), "dept_no", "left")
     return with_dept_name(t, out).select(
         "dept_name", "employee_count", "avg_salary", "max_salary", "min_salary", "title_diversity", "avg_tenure_days",
         F.coalesce("senior_employees", F.lit(0)).alias("senior_employees"),
@@ -153,11 +153,11 @@ def perf_department_comparison(t: Tables, as_of: dt.date = AS_OF, senior_prefix:
         t["titles"].select("emp_no", "title").join(t["dept_emp"].select("emp_no", "dept_no"), "emp_no")
         .groupBy("dept_no").agg(F.count_distinct("title").alias("unique_roles"))
     )
-    out = agg.join(dim(t, "departments", roles), "dept_no", "left")
+    out = agg.join(dim_agg(t, "departments", roles, "dept_no"), "dept_no", "left")
     return with_dept_name(t, out).select(
         "dept_name", "employee_count", "avg_salary", "avg_years_of_service", "senior_employee_count",
         F.coalesce("unique_roles", F.lit(0)).alias("unique_roles"), "salary_range",
-    ).orderBy(F.col("avg_salary").desc())
+    ).orderBy(F.col("avg_salary").desc(), "dept_name")
 
 
 def perf_top_performers(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:

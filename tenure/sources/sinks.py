@@ -9,11 +9,14 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.schema import SALARY_ERA_BOUNDARY
-from tenure.sources.tables import Tables
+from tenure.sources.tables import Tables, missing_path
+
+MAX_FILE_ROWS = 20_000_000
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -49,16 +52,18 @@ def era(col: str | Column, boundaries: list[dt.date] | None = None) -> Column:
 
 def write_range_partitioned(
     df: DataFrame, path: str, date_col: str = "from_date", boundaries: list[dt.date] | None = None,
-    partition_col: str = "era",
+    partition_col: str = "era", spread_cols: tuple[str, ...] = ("emp_no",),
 ) -> None:
     """Write ``df`` partitioned by date ranges, so predicates on the era prune whole directories.
 
     Dynamic partition overwrite replaces only the eras present in ``df``.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = df.withColumn(partition_col, era(date_col, boundaries))
-    out.repartition(partition_col, date_col).write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    # The spread columns cut a date that holds very many rows into several ranges.
+    spread = [c for c in spread_cols if c in df.columns]
+    out = out.repartitionByRange(partition_col, date_col, *spread)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_FILE_ROWS)
+    writer.partitionBy(partition_col).parquet(path)
 
 
 def refresh_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
@@ -72,15 +77,20 @@ def refresh_snapshot(df: DataFrame, base: str, version: int | None = None) -> st
 
 def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
     """The most recent snapshot written by ``refresh_snapshot``."""
-    return spark.read.parquet(f"{base.rstrip('/')}/v={_next_version(spark, base) - 1}")
+    after = _next_version(spark, base)
+    if not after:
+        raise FileNotFoundError(f"no snapshot below {base}")
+    return spark.read.parquet(f"{base.rstrip('/')}/v={after - 1}")
 
 
 def _next_version(spark: SparkSession, base: str) -> int:
     """Next version number, from the listed file paths (no data is read)."""
     try:
         files = spark.read.parquet(base).inputFiles()
-    except Exception:  # noqa: BLE001 - no snapshot yet
-        return 0
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return 0  # no snapshot yet
     vs = {int(m.group(1)) for f in files if (m := re.search(r"/v=(\d+)/", f))}
     return max(vs, default=-1) + 1
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = (
@@ -42,6 +43,11 @@ class Tables(dict):
         return out
 
 
+def missing_path(e: AnalysisException) -> bool:
+    """Whether a read failed because its path is absent or holds no data yet."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 HR_TABLES = ("employees", "departments", "dept_emp", "salaries", "titles", "dept_manager", "request_events")
 
 
@@ -50,14 +56,13 @@ def stored_tables(spark: SparkSession, path: str, names: tuple[str, ...] = HR_TA
 
     ``salaries_multi`` (the hierarchy report's input) defaults to ``salaries``.
     """
-    from pyspark.errors import AnalysisException
-
     out = {}
     for name in names:
         try:
             out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except AnalysisException:  # table not present in this store
-            continue
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise  # present but unreadable
     if "salaries" in out:
         out.setdefault("salaries_multi", out["salaries"])
     return Tables(out)

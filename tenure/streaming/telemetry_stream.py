@@ -40,13 +40,14 @@ def start_to_parquet(df: DataFrame, path: str, checkpoint: str, available_now: b
 # --- active sessions as a stateful stream -------------------------------------------------
 
 SESSION_OUT = "user_id long, active boolean, last_ts timestamp, ended boolean"
-SESSION_STATE = "last_ts timestamp, last_ok boolean"
+SESSION_STATE = "last_ts timestamp, last_id long, last_ok boolean"
 
 
 def session_tracker(idle_ms: int):
     """Per-user state function for ``applyInPandasWithState``.
 
-    The state holds two values per user (latest event time, latest success).
+    The state holds the latest event of each user: time, id (the larger one wins a tie, as in the
+    batch gauge) and success.
     An event-time timeout ends a session that saw no event for ``idle_ms``;
     it is emitted once as ended and its state is dropped, so state size
     follows the live users only.
@@ -57,16 +58,16 @@ def session_tracker(idle_ms: int):
 
         (user_id,) = key
         if state.hasTimedOut:
-            last_ts, _ = state.get
+            last_ts = state.get[0]
             state.remove()
             yield pd.DataFrame({"user_id": [user_id], "active": [False], "last_ts": [last_ts], "ended": [True]})
             return
-        last_ts, last_ok = state.get if state.exists else (None, None)
+        last_ts, last_id, last_ok = state.get if state.exists else (None, None, None)
         for pdf in batches:
             row = pdf.sort_values(["ts", "event_id"]).iloc[-1]
-            if last_ts is None or row["ts"] >= last_ts:
-                last_ts, last_ok = row["ts"], bool(row["success"])
-        state.update((last_ts, last_ok))
+            if last_ts is None or (row["ts"], row["event_id"]) >= (last_ts, last_id):
+                last_ts, last_id, last_ok = row["ts"], int(row["event_id"]), bool(row["success"])
+        state.update((last_ts, last_id, last_ok))
         state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + idle_ms)
         yield pd.DataFrame({"user_id": [user_id], "active": [last_ok], "last_ts": [last_ts], "ended": [False]})
 
