@@ -13,6 +13,7 @@ from helpers import END, D, emp, make_tables
 from tenure.operators import changes, quality, reports_admin, reports_hr, reports_perf, reports_rep, views
 from tenure.operators.telemetry import counter_rate
 from tenure.sources.sinks import insert_if_absent
+from tenure.plans.sizing import dim_agg
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -80,9 +81,17 @@ def test_transfer_into_formerly_held_department_is_a_conflict(spark):
     )
     new = changes.transfer(t, AS_OF)
     assert sorted((r.emp_no, r.dept_no, r.to_date) for r in new.collect() if r.from_date == AS_OF) == [
-        (1, "d001", END), (2, "d001", END)]
+        (2, "d001", END)]
+    assert (1, "d005", END) in {(r.emp_no, r.dept_no, r.to_date) for r in new.collect()}  # left as is
     assert [r.emp_no for r in changes.transfer_conflicts(t).collect()] == [1]
-    assert quality.duplicate_keys(new, ["emp_no", "dept_no"]).count() == 1
+    assert quality.duplicate_keys(new, ["emp_no", "dept_no"]).count() == 0
+
+
+def test_orphan_departments_are_not_broadcast(spark):
+    t = make_tables(spark, departments=[("d001", "One")])
+    child = spark.range(1000).selectExpr("concat('o', id) AS dept_no").union(spark.sql("SELECT 'd001'"))
+    side = dim_agg(t, "departments", child.groupBy("dept_no").count(), "dept_no")
+    assert [r.dept_no for r in side.collect()] == ["d001"]
 
 
 def test_two_open_titles_fan_out(spark):
