@@ -125,6 +125,8 @@ REPORTS: dict[str, Report] = {
     "tel_statement_rates": tel.statement_rates,
     "tel_request_log": tel.request_log,
     "tel_endpoint_mix": tel.endpoint_mix,
+    "tel_endpoint_mix_declared": lambda t: tel.endpoint_mix(t, tel.ENDPOINT_WEIGHTS, tel.ENDPOINT_OF_TYPE),
+    "tel_endpoint_mix_script": lambda t: tel.endpoint_mix(t, tel.SCRIPT_WEIGHTS, tel.SCRIPT_ENDPOINT_OF_TYPE),
 }
 
 # Tables of the session last seen; another session starts a new memo.

@@ -29,6 +29,16 @@ ENDPOINT_WEIGHTS = {
     "memory_pressure": 0.15,
     "memory_pressure_generate_memory_pressure": 0.15,
 }
+SCRIPT_WEIGHTS = {"complex": 0.4, "lock": 0.3, "stats": 0.3}  # the load script's own mix
+# The given events name no endpoint: each event type stands for one endpoint of a mix.
+ENDPOINT_OF_TYPE = {
+    "view": "slow_query",
+    "click": "slow_query_force_table_scan",
+    "purchase": "lock_contention",
+    "error": "lock_contention_salaries",
+    "signup": "memory_pressure",
+}
+SCRIPT_ENDPOINT_OF_TYPE = {"view": "complex", "click": "complex", "purchase": "lock", "error": "lock", "signup": "stats"}
 
 
 def _failures() -> Column:
@@ -235,22 +245,28 @@ def request_log(t: Tables, service: str = "hr-portal", method: str = "GET") -> D
     return ev.select("event_id", line.alias("line"))
 
 
-def endpoint_mix(t: Tables, weights: dict[str, float] | None = None) -> DataFrame:
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def endpoint_mix(t: Tables, weights: dict[str, float] | None = None, endpoint_of: dict[str, str] | None = None) -> DataFrame:
     """Observed share of each queryType against its declared weight.
 
     ``weights`` maps queryType to its declared share (e.g. ``ENDPOINT_WEIGHTS``);
-    without it every observed type is declared equally likely. Full outer
+    without it every observed type is declared equally likely. ``endpoint_of`` names the endpoint
+    that an event's type stands for; a type it does not name stands for itself. Full outer
     join: a declared type never seen, or a seen type never declared, shows.
     """
     ev = t["request_events"]
+    if endpoint_of:
+        ev = ev.withColumn("queryType", F.coalesce(F.try_element_at(_literal_map(endpoint_of), F.col("queryType")), "queryType"))
     counts = ev.groupBy("queryType").agg(F.count(F.lit(1)).alias("requests"))
     total = F.broadcast(counts.agg(F.sum("requests").alias("_total"), F.count(F.lit(1)).alias("_types")))  # one row
     obs = counts.crossJoin(total)
     if weights is None:
-        obs = obs.withColumn("declared_weight", F.lit(1.0) / F.col("_types"))
-        out = obs
+        out = obs.withColumn("declared_weight", F.lit(1.0) / F.col("_types"))
     else:
-        declared = ev.sparkSession.createDataFrame(sorted(weights.items()), "queryType string, declared_weight double")
+        declared = ev.sparkSession.range(1).select(F.explode(_literal_map(weights)).alias("queryType", "declared_weight"))
         out = obs.join(declared, "queryType", "full_outer")
     share = F.coalesce(ratio("requests", "_total", 4), F.lit(0.0))
     return out.select(
