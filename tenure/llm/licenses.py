@@ -1,24 +1,29 @@
 """Licence scan: Dice coefficient over word bigrams between normalised text and licence templates.
 
-Text is lower-cased and everything but a-z, 0-9 and line ends becomes a blank. Its segments are the lines,
-the paragraphs (between blank lines) and the whole text, so a one-line notice in a long document counts
-like a licence file. With n and m bigrams (repeats included), Dice = 2 |common| / (n + m) <=
-2 min(n, m) / (n + m): a template is compared only if its size lets it reach the threshold, found
-by bisection in the templates sorted by size.
-
-Defined cases: null and empty texts, and segments under two words, match nothing; equal segments of a
-document count once; ties between templates are all reported; repeated rows are reported repeatedly.
+Text is lower-cased and everything but a-z, 0-9 becomes a blank. Every run of consecutive words is a window
+(so every line, paragraph and the whole text is one): a notice counts wherever it stands, in a comment, on
+a line with other words or before code. With n and m bigrams (repeats included), Dice = 2 |common| / (n + m)
+with |common| <= min(n, m), so a window that reaches the threshold t has at least t m / (2 - t) bigrams of
+the template and at most (2 - t) m / t in all. Only places that dense in a template's bigrams are
+searched; there the best window from each start is found exactly.
+
+Defined cases: null and empty texts, and texts under two words, match nothing; of overlapping windows of a licence
+the best counts, and equal windows of a document count once; ties between templates are all reported;
+repeated rows are reported repeatedly.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, insort
 from collections import Counter
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 THRESHOLD = 0.8
+CHUNK = 1 << 19  # starts x window ends looked at together
 # Fixed: notices and short texts of public licences.
 TEMPLATES = {
     "Apache-2.0": [
@@ -67,57 +72,89 @@ def normalised(text: str | None) -> bytes:
 
 
 class Scanner:
-    """Templates by size, ready to be compared."""
+    """Templates as rows over the bigrams that occur in any of them, ready to be compared."""
 
     def __init__(self, templates: dict[str, list[str]], threshold: float) -> None:
-        rows = [(normalised(t).split(), name) for name, texts in templates.items() for t in texts]
-        self.rows = sorted(((len(w) - 1, name, _bigrams(w)) for w, name in rows if len(w) > 1), key=lambda r: r[:2])
-        self.sizes = [r[0] for r in self.rows]
+        rows = [(name, normalised(t).split()) for name, texts in templates.items() for t in texts]
+        rows = [(name, _bigrams(words)) for name, words in rows if len(words) > 1]
         self.threshold = threshold
-        self.least, self.most = (threshold / (2 - threshold), (2 - threshold) / threshold)
-
-    def segments(self, text: str | None):
-        """Distinct word lists of the segments."""
-        plain = normalised(text)
-        seen = set()
-        lines = plain.split(b"\n")
-        paragraph: list[bytes] = []
-        for line in [*lines, b""]:
-            words = line.split()
-            if words:
-                paragraph += words
-                yield from self._once(words, seen)
-            elif paragraph:
-                yield from self._once(paragraph, seen)
-                paragraph = []
-        yield from self._once(plain.split(), seen)
-
-    def _once(self, words: list[bytes], seen: set):
-        size = len(words) - 1
-        if size < 1 or not self.sizes or size > self.most * self.sizes[-1] or size < self.least * self.sizes[0]:
+        self.names = [name for name, _ in rows]
+        self.sizes = np.array([g.total() for _, g in rows], dtype=np.int64)
+        self.need = np.maximum(np.ceil(threshold * self.sizes / (2 - threshold) - 1e-9), 1).astype(np.int64)
+        self.most = np.floor((2 - threshold) * self.sizes / threshold + 1e-9).astype(np.int64)
+        grams = sorted({g for _, counts in rows for g in counts})
+        self.words = {w: i for i, w in enumerate(sorted({w for g in grams for w in g}))}
+        self.none = len(self.words)
+        # Number of each pair of words: its bigram, or -1.
+        self.pairs = np.full((self.none + 1, self.none + 1), -1, dtype=np.int32)
+        for i, (x, y) in enumerate(grams):
+            self.pairs[self.words[x], self.words[y]] = i
+        self.times = np.array([[counts[g] for _, counts in rows] for g in grams], dtype=np.int64).reshape(len(grams), len(rows))
+
+    def windows(self, gram: np.ndarray, at: np.ndarray, which: int):
+        """(start, end, Dice) of the best window from each start that reaches the threshold, ends included.
+
+        ``gram`` and ``at`` are the template's bigrams in the text and their places. The best window begins and ends
+        with one: without the others at its ends it would score more.
+        """
+        m, need, most = int(self.sizes[which]), int(self.need[which]), int(self.most[which])
+        if len(at) < need:
             return
-        key = b" ".join(words)
-        if key not in seen:
-            seen.add(key)
-            yield words
+        starts = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < most)
+        if not len(starts):
+            return
+        # A bigram that the template has c times counts in a window unless c equal ones precede it there.
+        order = np.argsort(gram, kind="stable")
+        place = np.arange(len(gram)) - np.searchsorted(gram[order], gram[order], side="left")
+        times = self.times[gram[order], which]
+        before = np.full(len(gram), -1, dtype=np.int64)
+        late = np.flatnonzero(place >= times)
+        before[order[late]] = order[late - times[late]]
+        steps = np.arange(int((np.searchsorted(at, at[starts] + most) - starts).max()))
+        size = max(1, CHUNK // len(steps))
+        for first in (starts[i : i + size, None] for i in range(0, len(starts), size)):
+            last = np.minimum(first + steps, len(at) - 1)
+            inside = first + steps < len(at)
+            common = np.cumsum((before[last] < first) & inside, axis=1)
+            n = at[last] - at[first] + 1
+            score = np.where(inside & (2 * common >= self.threshold * (n + m)), 2 * common / (n + m), 0.0)
+            best = score.argmax(axis=1)
+            score = score[np.arange(len(best)), best]
+            for i in np.flatnonzero(score):
+                yield int(at[first[i, 0]]), int(at[last[i, best[i]]]), float(score[i])
 
     def scan(self, text: str | None) -> dict[str, tuple[float, int]]:
-        """licence -> (best Dice, segments that reach the threshold)."""
-        found: dict[str, tuple[float, int]] = {}
-        for words in self.segments(text):
-            n = len(words) - 1
-            low, high = bisect_left(self.sizes, self.least * n - 1e-9), bisect_right(self.sizes, self.most * n + 1e-9)
-            if low == high:
-                continue
-            mine, hits = _bigrams(words), {}
-            for m, name, theirs in self.rows[low:high]:
-                common = sum(min(c, theirs[g]) for g, c in mine.items() if g in theirs)
-                if 2 * common >= self.threshold * (n + m):
-                    hits[name] = max(hits.get(name, 0.0), 2 * common / (n + m))
-            for name, score in hits.items():
-                best, times = found.get(name, (0.0, 0))
-                found[name] = (max(best, score), times + 1)
-        return found
+        """licence -> (best Dice, separate windows that reach the threshold)."""
+        words = normalised(text).split()
+        if len(words) < 2 or not self.names:
+            return {}
+        number = np.fromiter(map(self.words.get, words, repeat(self.none)), dtype=np.int32, count=len(words))
+        gram = self.pairs[number[:-1], number[1:]]
+        at = np.flatnonzero(gram >= 0)
+        if len(at) < self.need.min():
+            return {}
+        gram = gram[at]
+        many = np.bincount(gram, minlength=len(self.times)) @ (self.times > 0)
+        places: dict[str, list] = {}
+        for which in np.flatnonzero(many >= self.need):
+            mine = self.times[gram, which] > 0
+            places.setdefault(self.names[which], []).extend(self.windows(gram[mine], at[mine], which))
+        return {name: _separate(words, found) for name, found in places.items() if found}
+
+
+def _separate(words: list[bytes], found: list[tuple[int, int, float]]) -> tuple[float, int]:
+    """(best Dice, distinct windows): the best window, the best of those that share no word with it, and so on."""
+    found.sort(key=lambda w: (-w[2], w[0] - w[1], w[0]))
+    taken: list[tuple[int, int]] = []
+    seen = set()
+    for start, end, _ in found:
+        i = bisect_left(taken, (start, end))
+        # Bigram ``end`` covers the words up to end + 1.
+        if (i and taken[i - 1][1] + 1 >= start) or (i < len(taken) and taken[i][0] <= end + 1):
+            continue
+        insort(taken, (start, end))
+        seen.add(b" ".join(words[start : end + 2]))
+    return found[0][2], len(seen)
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
