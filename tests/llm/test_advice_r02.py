@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from tenure.llm import licenses
+from tenure.llm import ann, licenses
 
 APACHE = """# Copyright 2020 The Foo Authors. All rights reserved.
 #
@@ -86,3 +87,37 @@ def test_windows_equal_every_run_of_words(threshold, monkeypatch):
         best = {name: max((licenses.dice(run, t.encode().split()) for t in texts for run in runs), default=0) for name, texts in templates.items()}
         want = {name: round(score, 9) for name, score in best.items() if score >= threshold}
         assert {name: round(score, 9) for name, (score, _) in scanner.scan(" ".join(words)).items()} == want
+
+
+def test_neighbours_among_many_copies(spark, monkeypatch):
+    """A cell of copies is cut into slices and blocks; the result is that of brute force."""
+    monkeypatch.setattr(ann, "SLICE", 50)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    x = np.random.default_rng(3).standard_normal((900, 8)).round(3)
+    x[300:700] = x[300]
+    ids = [*range(890), *[889] * 10]
+    x[889:] = x[889]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    groups = []
+    monkeypatch.setattr(ann, "_counted", lambda r, count=ann._counted: groups.append(count(r)) or groups[-1])
+    got = {}
+    for r in ann.search(rows, rows.filter("vec_id >= 300 and vec_id < 420 or vec_id = 889"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert groups[0].max() >= 400 and groups[1].max() >= 100  # hot cells on both sides
+    for q in [*range(300, 420), 889]:
+        s = (x * x[q]).sum(axis=1)
+        want = sorted((-s[i], ids[i]) for i in range(900) if ids[i] != q)[:5]
+        assert [(i, v) for i, v, _ in sorted(got[q])] == [(n + 1, i) for n, (_, i) in enumerate(want)]
+
+
+def test_only_copies_that_can_be_neighbours_are_compared(monkeypatch):
+    x = np.repeat(np.random.default_rng(4).standard_normal((3, 4)), [5000, 3, 40], axis=0)
+    ids = np.concatenate((np.arange(5000)[::-1], [7, 7, 7], np.full(40, 9)))
+    kept = ann._spared(x, ids, 4)
+    assert sorted(ids[kept].tolist()) == sorted([*range(8), 7, 7, 7, 9, 9, 9, 9])
+    monkeypatch.setattr(ann, "PAIRS", 1000)
+    monkeypatch.setattr(ann, "GATHER", 10)
+    full = ann._best(x[[0, 5001]], np.array([2, 9]), x, ids, 4)
+    less = ann._best(x[[0, 5001]], np.array([2, 9]), x[kept], ids[kept], 4)
+    assert ids[full[1]].tolist() == ids[kept][less[1]].tolist() and full[2].tolist() == less[2].tolist()
