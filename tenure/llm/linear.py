@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LOOKUP_BITS = 20
+
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by hashed feature (only those that are not 0) and an intercept. Size: at most ``dim`` entries."""
+    """Weights by hashed feature (below ``dim``; only those that are not 0) and an intercept. Size: at most ``dim`` entries."""
 
     dim: int
     index: np.ndarray
@@ -27,13 +29,38 @@ class Model:
         return out
 
 
-def train_in_one_task(sample: DataFrame, features: Callable, fit: Callable, dim: int, share: float) -> Model:
+class Lookup:
+    """Weights by full hash: a table of upper bits leaves out most hashes, a search in the sorted keys settles the rest."""
+
+    def __init__(self, index: np.ndarray, weight: np.ndarray) -> None:
+        order = np.argsort(index, kind="stable")
+        self.key, self.weight = index[order], weight[order]
+        self.maybe = np.zeros(1 << LOOKUP_BITS, dtype=bool)
+        self.maybe[self.key >> (63 - LOOKUP_BITS)] = True
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Places (in ``weight``) of those of ``hashes`` that have a weight."""
+        hashes = hashes[self.maybe[hashes >> (63 - LOOKUP_BITS)]]
+        if not len(hashes):
+            return np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
+        return at[self.key[at] == hashes]
+
+
+class HashedModel(Model):
+    """A model whose index holds 63-bit hashes, too many to be places of a table."""
+
+    def dense(self) -> Lookup:
+        return Lookup(self.index, self.weight)
+
+
+def train_in_one_task(sample: DataFrame, features: Callable, fit: Callable, dim: int, share: float, kind: type[Model] = Model) -> Model:
     """Extract the features of the bounded (text, y) sample in parallel, fit in one task.
 
     The rows are put in the order of their ids first, so the model does not depend on the layout.
     """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>" if kind is HashedModel else "array<int>")
     def extract(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
@@ -51,7 +78,7 @@ def train_in_one_task(sample: DataFrame, features: Callable, fit: Callable, dim:
     if len(rows) == 1 and not intercept:
         intercept = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     rows = rows[rows["index"] >= 0]
-    return Model(dim, rows["index"].to_numpy(), rows.weight.to_numpy(dtype=np.float32), float(intercept))
+    return kind(dim, rows["index"].to_numpy(), rows.weight.to_numpy(dtype=np.float32), float(intercept))
 
 
 def scorer(model: Model, log_odds: Callable):

@@ -1,16 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is lower-cased, white space runs become one blank, and every 3- to 6-gram of its
-characters (with a blank at both ends) is hashed to one of 2^20 features, present or
-absent. Feature f has the ratio r[f] = log((df1 + a) / (n1 + 2a)) - log((df0 + a) / (n0 + 2a))
+characters (with a blank at both ends) is a feature, present or absent, named by a 63-bit hash: with
+a small table the many n-grams of a very long text would fall on the features of others. Feature f has the ratio r[f] = log((df1 + a) / (n1 + 2a)) - log((df0 + a) / (n0 + 2a))
 of its document frequencies in the two classes; a logistic regression is trained on the
 features scaled by r. Only ratios more
 than ``MIN_Z`` standard errors from 0 are kept. Both steps see a bounded labelled sample (``SAMPLE_PER_CLASS`` rows of
-each class); the model is one weight per feature, of fixed size, and is broadcast.
+each class); the model is one weight per feature kept, bounded by the sample, and is sent with the scoring function.
 
 Defined cases: null and empty texts have no features and get the intercept's score; one
 class only, or no labels at all, gives the (smoothed) class share to every text; texts of
-any length are read whole, in blocks of ``BLOCK`` characters.
+any length are read whole, in equal pieces of at most ``BLOCK`` characters, and score as their most
+toxic piece: presence does not tell a long text from a dense one, so pieces keep to lengths that training knows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 
 from tenure.llm import linear
 from tenure.llm.labelled import labelled_texts
+from tenure.llm.words import mix
 
-DIM_BITS = 20
+DIM_BITS = 63
 GRAMS = (3, 4, 5, 6)
 SAMPLE_PER_CLASS = 2000
 MIN_DF = 3
@@ -30,38 +32,41 @@ SMOOTH = 1.0
 L2 = 1e-2
 STEPS = 120
 THRESHOLD = 0.3
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+RANGES = 32  # of hashes, counted one after the other
 
 
 def gram_blocks(text: str | None):
-    """Hashed features of every n-gram of ``text``, repeats included, one array per block and n."""
+    """Hashed features of every n-gram of ``text``, repeats included: for each piece, an array for each n."""
     words = (text or "").lower().split()
     if not words:
         return
     chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    for at in range(0, len(chars), BLOCK):
-        part = chars[at : at + BLOCK + max(GRAMS) - 1]
-        h = np.full(len(part), 2166136261, dtype=np.uint32)
+    size = -(-len(chars) // -(-len(chars) // BLOCK))
+    for at in range(0, len(chars), size):
+        part = chars[at : at + size + max(GRAMS) - 1]
+        found = []
+        part = part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = np.full(len(part), 0xCBF29CE484222325, dtype=np.uint64)
         for n in range(1, max(GRAMS) + 1):
             if len(part) < n:
                 break
-            h = (h[: len(part) - n + 1] * np.uint32(0x9E3779B1)) ^ (part[n - 1 :] * np.uint32(0x85EBCA6B))
+            h = (h[: len(part) - n + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ part[n - 1 :]
             if n in GRAMS:
-                yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - DIM_BITS)
+                found.append((mix(h) >> np.uint64(64 - DIM_BITS)).view(np.int64))
+        yield found
 
 
 def features(text: str | None) -> np.ndarray:
     """The distinct features of ``text``."""
-    blocks = [np.unique(f) for f in gram_blocks(text)]
-    return np.unique(np.concatenate(blocks)).astype(np.int32) if blocks else np.empty(0, dtype=np.int32)
+    blocks = [np.unique(f) for piece in gram_blocks(text) for f in piece]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype=np.int64)
 
 
-def log_odds(text: str | None, weights: np.ndarray, intercept: float) -> float:
-    """Sum of the weights of the distinct features of ``text``; only features that have a weight are kept."""
-    hits = [f[weights[f] != 0] for f in gram_blocks(text)]
-    if not hits:
-        return intercept
-    return intercept + float(weights[np.unique(np.concatenate(hits))].sum(dtype=np.float64))
+def log_odds(text: str | None, weights: linear.Lookup, intercept: float) -> float:
+    """Sum of the weights of the distinct features of ``text``, the largest of its pieces; only features that have a weight are kept."""
+    pieces = [np.unique(np.concatenate([weights.known(f) for f in piece])) for piece in gram_blocks(text) if piece]
+    return intercept + max((float(weights.weight[p].sum(dtype=np.float64)) for p in pieces), default=0.0)
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -74,17 +79,28 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> tuple[np.ndarray
     prior = min(max(share, 1e-3), 1 - 1e-3)
     if not n1 or not n0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32), float(np.log(prior / (1 - prior)))
-    df0, df1 = np.zeros(1 << DIM_BITS, dtype=np.int32), np.zeros(1 << DIM_BITS, dtype=np.int32)
-    for f, label in zip(rows, y):
-        (df1 if label else df0)[f] += 1
-    ratio = np.log((df1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((df0 + SMOOTH) / (n0 + 2 * SMOOTH))
-    # A ratio within MIN_Z standard errors of 0 is chance: with a million features, thousands would be kept.
-    error = np.sqrt(1 / (df1 + SMOOTH) + 1 / (df0 + SMOOTH))
-    ratio[(df0 + df1 < MIN_DF) | (np.abs(ratio) < MIN_Z * error)] = 0.0
-    kept = [f[ratio[f] != 0] for f in rows]
+    # The rows are sorted, so each range of hashes is a slice of each; one range at a time bounds the memory.
+    edges = np.linspace(0, 1 << DIM_BITS, RANGES + 1)[1:-1].astype(np.int64)
+    cuts = [np.concatenate(([0], np.searchsorted(f, edges), [len(f)])) for f in rows]
+    used, ratio = [np.empty(0, np.int64)], [np.empty(0)]
+    for i in range(RANGES):
+        parts = [f[c[i] : c[i + 1]] for f, c in zip(rows, cuts)]
+        key, place = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(place, minlength=len(key))
+        df1 = np.bincount(place, weights=np.repeat(y, [len(p) for p in parts]), minlength=len(key))
+        df0 = df - df1
+        r = np.log((df1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((df0 + SMOOTH) / (n0 + 2 * SMOOTH))
+        # A ratio within MIN_Z standard errors of 0 is chance: with a million features, thousands would be kept.
+        error = np.sqrt(1 / (df1 + SMOOTH) + 1 / (df0 + SMOOTH))
+        keep = (df >= MIN_DF) & (r != 0) & (np.abs(r) >= MIN_Z * error)
+        used.append(key[keep])
+        ratio.append(r[keep])
+    used, ratio = np.concatenate(used), np.concatenate(ratio)
+    found = linear.Lookup(used, ratio)
+    kept = [found.known(f) for f in rows]
     doc = np.repeat(np.arange(len(kept)), [len(f) for f in kept])
-    used, col = np.unique(np.concatenate(kept), return_inverse=True)
-    x = ratio[used][col]
+    col = np.concatenate(kept)
+    x = ratio[col]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample: smooth, no learning-rate search
@@ -96,13 +112,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> tuple[np.ndarray
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w -= move[:-1]
         b -= move[-1]
-    return used.astype(np.int64), (w * ratio[used]).astype(np.float32), float(b + np.log(prior / (1 - prior)) - np.log(n1 / n0))
+    return used, (w * ratio).astype(np.float32), float(b + np.log(prior / (1 - prior)) - np.log(n1 / n0))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, seed: int = 1) -> linear.Model:
     """Fit on the bounded sample: features in parallel, then one task over at most 2 x ``per_class`` rows."""
     sample, share = labelled_texts(docs, labels, label, per_class, seed)
-    return linear.train_in_one_task(sample, features, lambda rows, y: fit(rows, y, share), 1 << DIM_BITS, share)
+    return linear.train_in_one_task(sample, features, lambda rows, y: fit(rows, y, share), 1 << DIM_BITS, share, linear.HashedModel)
 
 
 def score(text: Column, model: linear.Model) -> Column:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from tenure.llm import ann, licenses
+from tenure.llm import ann, licenses, toxicity
+
+MED = "/root/testdata/sf0.1"
 
 APACHE = """# Copyright 2020 The Foo Authors. All rights reserved.
 #
@@ -121,3 +124,18 @@ def test_only_copies_that_can_be_neighbours_are_compared(monkeypatch):
     full = ann._best(x[[0, 5001]], np.array([2, 9]), x, ids, 4)
     less = ann._best(x[[0, 5001]], np.array([2, 9]), x[kept], ids[kept], 4)
     assert ids[full[1]].tolist() == ids[kept][less[1]].tolist() and full[2].tolist() == less[2].tolist()
+
+
+def test_very_long_clean_texts_are_not_toxic(spark):
+    """Held-out clean texts joined to 1, 2 and 4 MB; as bigger the text, the more n-grams fall on those of a small table."""
+    docs, labels = spark.read.parquet(f"{MED}/documents.parquet"), spark.read.parquet(f"{MED}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    weights = model.dense()
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").select("doc_id", "text").orderBy("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    rng = random.Random(2)
+    for size in (1, 2, 4):
+        for _ in range(5):
+            rng.shuffle(clean)
+            text = "\n\n".join(clean * 4)[: size * 1_000_000]
+            assert len(text) == size * 1_000_000
+            assert 1 / (1 + np.exp(-toxicity.log_odds(text, weights, model.intercept))) < toxicity.THRESHOLD
