@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tenure.llm import ann, licenses, toxicity
+from tenure.llm import ann, fingerprints, licenses, toxicity
 
 MED = "/root/testdata/sf0.1"
 
@@ -139,3 +139,23 @@ def test_very_long_clean_texts_are_not_toxic(spark):
             text = "\n\n".join(clean * 4)[: size * 1_000_000]
             assert len(text) == size * 1_000_000
             assert 1 / (1 + np.exp(-toxicity.log_odds(text, weights, model.intercept))) < toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("true", [0.6, 0.8])
+def test_sketch_errors_at_the_size_of_the_query(true):
+    """200 pairs of texts of 2,000 words with a common start: errors as the README says."""
+    k, n, rng = fingerprints.K, 2000, np.random.default_rng(6)
+    common = round(2 * true / (1 + true) * n)
+    off, counts = [], []
+    for _ in range(200):
+        word = rng.integers(1 << 40, size=2 * n).astype(str).tolist()
+        a, b = word[:n], word[:common] + word[n : 2 * n - common]
+        sa, sb = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        x, y = (fingerprints.sketch(" ".join(t)) for t in (a, b))
+        assert len(x) == k
+        off.append(fingerprints.resemblance(x, y) - len(sa & sb) / len(sa | sb))
+        counts.append(fingerprints.distinct_shingles(x) / len(sa) - 1)
+    error = (true * (1 - true) / k) ** 0.5
+    assert abs(np.mean(off)) < 0.3 * error and 0.8 * error < np.std(off) < 1.2 * error
+    assert (np.abs(off) < 2 * error).mean() > 0.9
+    assert abs(np.mean(counts)) < 0.04 and 0.1 < np.std(counts) < 0.16
