@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, fingerprints, katz, licenses, mixing, quality_classifier, simhash, token_counts, toxicity
+from tenure.llm import ann, bpe, fingerprints, katz, licenses, mixing, quality_classifier, simhash, token_counts, toxicity, urls
 from tenure.llm.labelled import FOLDS
 from tenure.llm.tables import held_out_fold, table
 
@@ -67,6 +67,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
+# Rules of op13_urls: (verdict, host, path).
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = str(Path(__file__).resolve().parents[2])
     if top not in sys.path:
@@ -79,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, pipeline,
+        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, op13_urls, pipeline,
     )
 }
 
@@ -129,4 +137,17 @@ taken AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 EN
 SELECT doc_id, domain, lang0 AS lang, source0 AS source, unnest(range(1, times + 1))::INTEGER AS epoch, n AS n_tokens FROM taken
 """
 
-ORACLE_SQL = {"op5_mixing": MIXING_SQL}
+URLS_SQL = f"""
+WITH rules(verdict, rhost, rpath) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (
+  SELECT s.*, r.*, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost) DESC, length(rpath) DESC, verdict DESC) AS place
+  FROM (SELECT DISTINCT * FROM split) s JOIN rules r ON (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath))
+SELECT s.page_id, s.host, s.path, f.rhost || f.rpath AS rule, coalesce(f.verdict, '{urls.ALLOW}') AS verdict
+FROM split s LEFT JOIN fit f ON f.place = 1 AND f.page_id IS NOT DISTINCT FROM s.page_id AND f.host = s.host AND f.path = s.path
+"""
+
+ORACLE_SQL = {"op5_mixing": MIXING_SQL, "op13_urls": URLS_SQL}
