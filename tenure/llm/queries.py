@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, fingerprints, katz, licenses, mixing, quality_classifier, simhash, token_counts, toxicity, urls
+from tenure.llm import ann, bpe, fingerprints, katz, licenses, merkle, mixing, quality_classifier, simhash, token_counts, toxicity, urls
 from tenure.llm.labelled import FOLDS
 from tenure.llm.tables import held_out_fold, table
 
@@ -67,6 +67,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    rows = merkle.verify(docs, merkle.tampered_fold("doc_id"), {"n_chars": F.col("n_chars") + 1})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 # Rules of op13_urls: (verdict, host, path).
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -87,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, op13_urls, pipeline,
+        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, op11_merkle, op13_urls, pipeline,
     )
 }
 
@@ -137,6 +143,54 @@ taken AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 EN
 SELECT doc_id, domain, lang0 AS lang, source0 AS source, unnest(range(1, times + 1))::INTEGER AS epoch, n AS n_tokens FROM taken
 """
 
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC32 = "xor(list_reduce(list_concat([4294967295], list_transform(range(length({0})), lambda i: ascii({0}[i + 1])::BIGINT)), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(n_chars if f == 'n_chars' else f) for f in merkle.FIELDS)})"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+d AS MATERIALIZED (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS other,
+    coalesce({_CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0, FALSE) AS tampered FROM documents, crc_table),
+placed AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+low(lang, height, pos, n, node) AS (
+  SELECT lang, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, height + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, height, pos // 2),
+tops AS MATERIALIZED (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(height, pos, n, node) AS (
+  SELECT 0, pos, n, subroot FROM tops
+  UNION ALL
+  SELECT height + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY height, pos // 2),
+path AS MATERIALIZED (
+  SELECT id, height, (p.pos >> height) & 1 AS side, b.node AS sibling
+  FROM placed p, (SELECT DISTINCT height FROM low WHERE n > 1) JOIN low a USING (height) LEFT JOIN low b ON b.height = a.height AND b.lang IS NOT DISTINCT FROM a.lang AND b.pos = xor(a.pos, 1)
+  WHERE a.lang IS NOT DISTINCT FROM p.lang AND a.pos = p.pos >> height AND a.n > 1
+  UNION ALL
+  SELECT id, 1000 + a.height, (t.pos >> a.height) & 1, b.node
+  FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang JOIN high a ON a.n > 1 AND a.pos = t.pos >> a.height LEFT JOIN high b ON b.height = a.height AND b.pos = xor(a.pos, 1)),
+steps AS MATERIALIZED (SELECT id, list(sibling ORDER BY height) AS siblings, list(side ORDER BY height) AS sides FROM path GROUP BY id),
+folds(id, step, node) AS (
+  SELECT id, 0, CASE WHEN tampered AND other IS NOT NULL THEN other ELSE leaf END FROM placed
+  UNION ALL
+  SELECT f.id, step + 1, sha256(CASE WHEN siblings[step + 1] IS NULL THEN node WHEN sides[step + 1] = 1 THEN siblings[step + 1] || node ELSE node || siblings[step + 1] END)
+  FROM folds f JOIN steps USING (id) WHERE step < len(siblings))
+SELECT p.doc_id, p.leaf, t.subroot, r.node AS root, sha256(coalesce(array_to_string(list_filter(s.siblings, lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
+  f.node AS folded_root, f.node = r.node AS verified
+FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang LEFT JOIN steps s USING (id) JOIN folds f ON f.id = p.id AND f.step = coalesce(len(s.siblings), 0)
+CROSS JOIN (SELECT node FROM high WHERE n = 1) r
+"""
+
 URLS_SQL = f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {", ".join(map(repr, URL_RULES))}),
 cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -150,4 +204,4 @@ SELECT s.page_id, s.host, s.path, f.rhost || f.rpath AS rule, coalesce(f.verdict
 FROM split s LEFT JOIN fit f ON f.place = 1 AND f.page_id IS NOT DISTINCT FROM s.page_id AND f.host = s.host AND f.path = s.path
 """
 
-ORACLE_SQL = {"op5_mixing": MIXING_SQL, "op13_urls": URLS_SQL}
+ORACLE_SQL = {"op5_mixing": MIXING_SQL, "op11_merkle": MERKLE_SQL, "op13_urls": URLS_SQL}
