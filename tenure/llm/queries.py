@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, fingerprints, katz, licenses, merkle, mixing, quality_classifier, simhash, token_counts, toxicity, urls
+from tenure.llm import ann, bpe, fingerprints, katz, licenses, merkle, mixing, quality_classifier, ranked, simhash, token_counts, toxicity, urls
 from tenure.llm.labelled import FOLDS
 from tenure.llm.tables import held_out_fold, table
 
@@ -73,6 +73,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 # Rules of op13_urls: (verdict, host, path).
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -93,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, op11_merkle, op13_urls, pipeline,
+        op1_toxicity, op2_licenses, op3_fingerprints, op4_quality, op5_mixing, op6_simhash, op7_neighbours, op8_token_counts, op9_katz, op10_bpe, op11_merkle, op12_ranked, op13_urls, pipeline,
     )
 }
 
@@ -191,6 +195,21 @@ FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang LEFT JOIN steps
 CROSS JOIN (SELECT node FROM high WHERE n = 1) r
 """
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+RANKED_SQL = f"""
+WITH words AS (SELECT row_no, doc_id, {_TERMS} FROM (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents)),
+tf AS MATERIALIZED (SELECT row_no, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words GROUP BY row_no, term),
+size AS (SELECT row_no, sum(tf)::BIGINT AS n FROM tf GROUP BY row_no),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM size),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+item AS (SELECT DISTINCT item_id, {_TERMS} FROM benchmark),
+scored AS (
+  SELECT item_id, row_no, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (row_no), total GROUP BY item_id, row_no),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= {ranked.K}
+"""
+
 URLS_SQL = f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {", ".join(map(repr, URL_RULES))}),
 cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -204,4 +223,4 @@ SELECT s.page_id, s.host, s.path, f.rhost || f.rpath AS rule, coalesce(f.verdict
 FROM split s LEFT JOIN fit f ON f.place = 1 AND f.page_id IS NOT DISTINCT FROM s.page_id AND f.host = s.host AND f.path = s.path
 """
 
-ORACLE_SQL = {"op5_mixing": MIXING_SQL, "op11_merkle": MERKLE_SQL, "op13_urls": URLS_SQL}
+ORACLE_SQL = {"op5_mixing": MIXING_SQL, "op11_merkle": MERKLE_SQL, "op12_ranked": RANKED_SQL, "op13_urls": URLS_SQL}
