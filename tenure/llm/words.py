@@ -28,8 +28,9 @@ def _block(data: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, size)
     power = _POWERS[place & 63]
-    if size.max() > 64:  # later 64-byte pieces of a long word are weighted by their number
-        power = power * mix((place >> 6).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    if size.max() > 64:  # later 64-byte pieces of a long word are weighted by their number, with odd weights
+        later = np.flatnonzero(place >= 64)
+        power[later] *= mix((place[later] >> 6).astype(np.uint64)) | np.uint64(1)
     return mix(np.add.reduceat((_LOWER[data] + np.uint64(1)) * power, starts) + size.astype(np.uint64))
 
 

@@ -180,7 +180,7 @@ def _tokens(text):
 
 @pytest.mark.parametrize("parts", [3, 64])  # the commonest words are split by the word after them
 def test_katz_equals_plain_version(spark, docs, odd, parts):
-    rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("text not like '%é%' or text is null"))
+    rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
