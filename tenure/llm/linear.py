@@ -38,13 +38,15 @@ class Lookup:
         self.maybe = np.zeros(1 << LOOKUP_BITS, dtype=bool)
         self.maybe[self.key >> (63 - LOOKUP_BITS)] = True
 
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Places (in ``weight``) of those of ``hashes`` that have a weight."""
-        hashes = hashes[self.maybe[hashes >> (63 - LOOKUP_BITS)]]
-        if not len(hashes):
-            return np.empty(0, dtype=np.int64)
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``hashes`` that have a weight: their places in ``hashes``, and in ``weight``."""
+        here = np.flatnonzero(self.maybe[hashes >> (63 - LOOKUP_BITS)])
+        if not len(here):
+            return here, here
+        hashes = hashes[here]
         at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
-        return at[self.key[at] == hashes]
+        same = self.key[at] == hashes
+        return here[same], at[same]
 
 
 class HashedModel(Model):

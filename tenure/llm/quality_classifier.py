@@ -10,7 +10,9 @@ is scaled to length 1. The model is a fixed-size weight vector learned by FTRL-p
 a sparse dot product.
 
 Defined cases: null and empty texts have no features and get the intercept's score; one
-class only, or no labels, gives the class share to every text. Texts are read whole, in blocks of ``BLOCK`` words.
+class only, or no labels, gives the class share to every text; repeated rows and ties score alike, extra columns play no
+part. Texts of any length are read whole: their words are hashed in blocks of about ``BLOCK`` bytes that end at white
+space, and n-grams go over the ends of blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 
 from tenure.llm import linear
 from tenure.llm.labelled import labelled_texts
+from tenure.llm.words import blocks
 
 DIM_BITS = 18
 SAMPLE_PER_CLASS = 3000
@@ -49,23 +52,27 @@ def _runs_hash(codes: np.ndarray, starts: np.ndarray, powers: np.ndarray) -> np.
     return _mix(np.add.reduceat((codes + np.uint64(7)) * powers, starts))
 
 
-def _block_features(data: np.ndarray) -> np.ndarray:
+def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, and of their shapes."""
     kind = _KIND[data]
     edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(edge, np.diff(np.append(edge, len(data))))
     table = np.full(min(int(place.max()) + 1, 64), _P, dtype=np.uint64)
     table[0] = 1
-    powers = np.cumprod(table)[place % len(table)]
-    word = _runs_hash(data.astype(np.uint64), edge, powers)
+    powers = np.cumprod(table)
+    word = _runs_hash(data.astype(np.uint64), edge, powers[place % len(table)])
     sign = _SIGN[data]
     # A sign counts once in a run of equal signs, by its order of first appearance.
     new = np.concatenate(([True], sign[1:] != sign[:-1]))
     new[edge] = True
     step = np.cumsum(new)
     step = step - np.repeat(step[edge], np.diff(np.append(edge, len(data))))
-    shape = _runs_hash(np.where(new, sign + np.uint64(300), np.uint64(0)), edge, np.where(new, (step.astype(np.uint64) + np.uint64(1)) * _P, np.uint64(0)))
+    shape = _runs_hash(np.where(new, sign + np.uint64(300), np.uint64(0)), edge, np.where(new, powers[step % len(table)], np.uint64(0)))
     keep = kind[edge] != 0
-    word, shape = word[keep], shape[keep]
+    return word[keep], shape[keep]
+
+
+def _features(word: np.ndarray, shape: np.ndarray) -> np.ndarray:
     grams = [word, shape ^ np.uint64(0x5851F42D4C957F2D)]
     if len(word) > 1:
         # A word said twice is one feature, whichever word it is.
@@ -81,8 +88,8 @@ def sparse_row(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not len(data) or not (_KIND[data] != 0).any():
         return np.empty(0, dtype=np.int64), np.empty(0)
-    parts = [_block_features(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)]
-    f, n = np.unique(np.concatenate(parts), return_counts=True)
+    parts = [_block_words(data[i:j]) for i, j in blocks(data, BLOCK)]
+    f, n = np.unique(_features(*(np.concatenate(x) for x in zip(*parts))), return_counts=True)
     x = np.sqrt(n)
     return f, x / np.sqrt(n.sum())
 

@@ -34,6 +34,21 @@ def _block(data: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat((_LOWER[data] + np.uint64(1)) * power, starts) + size.astype(np.uint64))
 
 
+def blocks(data: np.ndarray, size: int):
+    """(start, end) of blocks of about ``size`` bytes that end at white space (or with the text)."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data):
+            gaps = np.flatnonzero(_GAP[data[max(at, end - size) : end]])
+            if len(gaps):
+                end = max(at, end - size) + int(gaps[-1]) + 1
+                break
+            end += size
+        yield at, min(end, len(data))
+        at = end
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash for each word ([^ \\t-\\r]+, A-Z as a-z) of ``text``, in order.
 
@@ -41,15 +56,5 @@ def word_hashes(text: str | None) -> np.ndarray:
     result (8 bytes a word).
     """
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    found, at = [], 0
-    while at < len(data):
-        end = at + BLOCK
-        while end < len(data):
-            gaps = np.flatnonzero(_GAP[data[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-                break
-            end += BLOCK
-        found.append(_block(data[at:end]))
-        at = end
+    found = [_block(data[i:j]) for i, j in blocks(data, BLOCK)]
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
