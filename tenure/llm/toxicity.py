@@ -43,7 +43,7 @@ THRESHOLD = 0.3
 STEP = 1 << 13
 WINDOW = 2 * STEP
 BLOCK = 1 << 16
-KEEP = 1 << 21  # distinct hashes that a counting task holds at once
+KEEP = 1 << 19  # distinct hashes that a counting task holds at once
 
 
 def gram_blocks(text: str | None):
