@@ -19,6 +19,7 @@ from tenure.operators import reports_perf as perf
 from tenure.operators import reports_rep as rep
 from tenure.operators import changes as chg
 from tenure.operators import quality as dq
+from tenure.operators import stored
 from tenure.operators import telemetry as tel
 from tenure.operators import views
 from tenure.sources.fixture import hr_tables
@@ -97,6 +98,14 @@ REPORTS: dict[str, Report] = {
     "chg_dept_budget_raise": chg.dept_budget_raise,
     "chg_bracket_raise": chg.bracket_raise,
     "chg_touch_last_modified": chg.touch_last_modified,
+    "chg_update_salary_random": lambda t: chg.update_salary(t, emp_no=None, salary=None),
+    "chg_log_maintenance": lambda t: chg.log_maintenance(chg.maintenance_log(t), "VACUUM", *chg.MAINTENANCE),
+    # the rows that each change touches: kind, old and new values
+    **{f"chg_{name}_changes": change.changes for name, (change, _) in chg.CHANGES.items()},
+    # stored tables with versions
+    "snk_apply_salary_adjust": stored.apply_salary_adjust,
+    "snk_insert_if_absent": stored.insert_salaries_if_absent,
+    "snk_range_partitioned": stored.salary_eras,
     # data quality
     "dq_duplicate_keys": dq.dq_duplicate_keys,
     "dq_foreign_key_orphans": dq.dq_foreign_key_orphans,
@@ -119,6 +128,7 @@ REPORTS: dict[str, Report] = {
     "tel_counter_rate": tel.request_counter_rate,
     "tel_slow_requests": tel.slow_requests,
     "tel_slow_requests_100ms": lambda t: tel.slow_requests(t, threshold_ms=100.0),
+    "tel_slow_requests_windowed": lambda t: tel.slow_requests_windowed(t, threshold_ms=50.0, window="1 hour", max_samples=3),
     "tel_request_metrics_15s": tel.request_metrics_windowed_p95,
     "tel_slo_run": tel.slo_run,
     "tel_slo_run_mysql": lambda t: tel.slo_run(t, p95_max_ms=tel.P95_MAX_MS_MYSQL),

@@ -6,11 +6,19 @@ current table(s) to a new version of one table: rows to close get
 with a left semi / equi join against a distinct key set, so one pass over
 the table does the work of the source's per-row UPDATE/INSERT statements.
 The caller writes the result to a new path and switches readers to it.
+
+Each change is first a plan of *tracked* rows: ``old`` and ``new`` (structs of the table's columns; a row that is
+opened has no ``old``) and ``touched``. The new table version is all ``new`` rows; ``changed_rows`` are the
+touched ones, for which only the marked rows are joined (the outer join becomes an inner one).
+``CHANGES`` names both forms of each change; ``tenure.sources.versions`` applies changed rows to a stored
+table and rewrites only the buckets they fall in.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +32,52 @@ from tenure.sources.tables import Tables
 _HIT = "__close"
 
 
+def _row(cols: list[str]) -> Column:
+    return F.struct(*cols)
+
+
+def _tracked(df: DataFrame, cols: list[str], touched: Column, **new: Column) -> DataFrame:
+    """``df`` as tracked rows of ``cols``; where ``touched``, the columns in ``new`` get those values.
+
+    Rows that have these values already are not touched.
+    """
+    touched = touched & functools.reduce(Column.__or__, [~F.col(c).eqNullSafe(v) for c, v in new.items()])
+    changed = F.struct(*[F.when(touched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cols])
+    return df.select(_row(cols).alias("old"), changed.alias("new"), touched.alias("touched"))
+
+
+def _opened(tracked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``tracked`` and rows that were not there before."""
+    kind = tracked.schema["new"].dataType
+    new = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind])
+    made = rows.select(F.lit(None).cast(kind).alias("old"), new.alias("new"), F.lit(True).alias("touched"))
+    return tracked.unionByName(made)
+
+
+def new_version(tracked: DataFrame) -> DataFrame:
+    """The whole new table."""
+    return tracked.select("new.*")
+
+
+def changed_rows(tracked: DataFrame) -> DataFrame:
+    """The rows that a change touched: kind (update, insert), old_<column> (null for an insert), new_<column>."""
+    hit = tracked.filter(F.col("touched"))
+    cols = tracked.schema["new"].dataType.fieldNames()
+    return hit.select(
+        F.when(F.col("old").isNull(), "insert").otherwise("update").alias("kind"),
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in cols],
+    )
+
+
+def _marked(table: DataFrame, keys: list[str], close: DataFrame, as_of: dt.date, open_end: dt.date = OPEN_END, also: Column | None = None) -> DataFrame:
+    """``table`` as tracked rows: the open ones whose ``keys`` appear in ``close`` end at ``as_of``."""
+    marks = close.select(*keys).distinct().withColumn(_HIT, F.lit(True))
+    hit = F.coalesce(F.col(_HIT), F.lit(False)) & F.coalesce(is_open("to_date", open_end), F.lit(False))
+    if also is not None:
+        hit = hit & F.coalesce(also, F.lit(False))
+    return _tracked(table.join(marks, keys, "left"), table.columns, hit, to_date=F.lit(as_of))
+
+
 def scd2_close_open(
     table: DataFrame,
     keys: list[str],
@@ -39,20 +93,26 @@ def scd2_close_open(
     title). Marks are de-duplicated first, so a key listed twice never fans
     the table out.
     """
-    marks = close.select(*keys).distinct().withColumn(_HIT, F.lit(True))
-    j = table.join(marks, keys, "left")
-    hit = F.coalesce(F.col(_HIT), F.lit(False)) & is_open("to_date", open_end)
-    if also is not None:
-        hit = hit & also
-    closed = j.withColumn("to_date", F.when(hit, F.lit(as_of)).otherwise(F.col("to_date"))).drop(_HIT)
-    closed = closed.select(*table.columns)
-    return closed if opened is None else closed.unionByName(opened.select(*table.columns))
+    tracked = _marked(table, keys, close, as_of, open_end, also)
+    return new_version(tracked if opened is None else _opened(tracked, opened))
+
+
+def table_change(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A change from its plan of tracked rows: called, it gives the new table; ``.changes`` gives the changed rows."""
+
+    @functools.wraps(plan)
+    def run(*args, **options) -> DataFrame:
+        return new_version(plan(*args, **options))
+
+    run.changes = lambda *args, **options: changed_rows(plan(*args, **options))
+    return run
 
 
 def _members(t: Tables, dept_no: str) -> DataFrame:
     return current(t, "dept_emp", ["emp_no", "dept_no"]).filter(F.col("dept_no") == dept_no).select("emp_no")
 
 
+@table_change
 def bulk_title_update(
     t: Tables, as_of: dt.date = AS_OF, dept_no: str = "d005", old_title: str = "Engineer",
     new_title: str = "Senior Engineer",
@@ -64,14 +124,15 @@ def bulk_title_update(
     department rows; that is kept.
     """
     titles = t["titles"].select("emp_no", "title", "from_date", "to_date")
-    step1 = scd2_close_open(titles, ["emp_no"], _members(t, dept_no), None, as_of, also=F.col("title") == old_title)
+    step1 = _marked(titles, ["emp_no"], _members(t, dept_no), as_of, also=F.col("title") == old_title)
     de = current(t, "dept_emp", ["emp_no", "dept_no"]).filter(F.col("dept_no") == dept_no).select("emp_no")
-    opened = step1.filter(F.col("to_date") == F.lit(as_of)).select("emp_no").join(de, "emp_no").select(
+    opened = new_version(step1).filter(F.col("to_date") == F.lit(as_of)).select("emp_no").join(de, "emp_no").select(
         "emp_no", F.lit(new_title).alias("title"), F.lit(as_of).alias("from_date"), F.lit(OPEN_END).alias("to_date"),
     )
-    return step1.unionByName(opened)
+    return _opened(step1, opened)
 
 
+@table_change
 def salary_adjust(t: Tables, as_of: dt.date = AS_OF, dept_no: str = "d005", factor: str = "1.1") -> DataFrame:
     """New ``salaries``: everyone ever assigned to a department gets open salaries closed and re-opened raised.
 
@@ -81,12 +142,12 @@ def salary_adjust(t: Tables, as_of: dt.date = AS_OF, dept_no: str = "d005", fact
     """
     s = t["salaries"].select("emp_no", "salary", "from_date", "to_date")
     ever = t["dept_emp"].filter(F.col("dept_no") == dept_no).select("emp_no")
-    step1 = scd2_close_open(s, ["emp_no"], ever, None, as_of)
-    opened = step1.filter(F.col("to_date") == F.lit(as_of)).join(ever, "emp_no").select(
+    step1 = _marked(s, ["emp_no"], ever, as_of)
+    opened = new_version(step1).filter(F.col("to_date") == F.lit(as_of)).join(ever, "emp_no").select(
         "emp_no", scale_to_int("salary", factor).alias("salary"), F.lit(as_of).alias("from_date"),
         F.lit(OPEN_END).alias("to_date"),
     )
-    return step1.unionByName(opened)
+    return _opened(step1, opened)
 
 
 def transfer_candidates(t: Tables, from_dept: str = "d005", to_dept: str = "d001", n: int = 100) -> DataFrame:
@@ -98,6 +159,7 @@ def transfer_candidates(t: Tables, from_dept: str = "d005", to_dept: str = "d001
     return movers.select("emp_no").distinct().orderBy("emp_no").limit(n)
 
 
+@table_change
 def transfer(
     t: Tables, as_of: dt.date = AS_OF, from_dept: str = "d005", to_dept: str = "d001", n: int = 100,
 ) -> DataFrame:
@@ -113,7 +175,7 @@ def transfer(
     opened = movers.select(
         "emp_no", F.lit(to_dept).alias("dept_no"), F.lit(as_of).alias("from_date"), F.lit(OPEN_END).alias("to_date"),
     )
-    return scd2_close_open(de, ["emp_no"], movers, opened, as_of)
+    return _opened(_marked(de, ["emp_no"], movers, as_of), opened)
 
 
 def transfer_conflicts(t: Tables, from_dept: str = "d005", to_dept: str = "d001", n: int = 100) -> DataFrame:
@@ -122,11 +184,17 @@ def transfer_conflicts(t: Tables, from_dept: str = "d005", to_dept: str = "d001"
     return past.join(transfer_candidates(t, from_dept, to_dept, n), "emp_no", "left_semi")
 
 
+def seeded_hash(key: str, seed: int) -> Column:
+    """MD5 of ``seed:key`` as hex text: even and reproducible in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def pick_seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """The row whose ``xxhash64(key, seed)`` is smallest: a reproducible random pick (top-1, no sort)."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(1).drop("_h")
+    """The row whose MD5 of ``seed:key`` is smallest: a reproducible random pick (top-1, no sort)."""
+    return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(1).drop("_h")
 
 
+@table_change
 def update_salary(
     t: Tables, as_of: dt.date = AS_OF, updates: DataFrame | None = None, emp_no: int | None = 10001,
     salary: int | None = 88888, seed: int = 42,
@@ -142,7 +210,7 @@ def update_salary(
         emp = t["employees"].select("emp_no")
         emp = pick_seeded(emp, "emp_no", seed) if emp_no is None else emp.filter(F.col("emp_no") == emp_no)
         if salary is None:
-            u = (F.xxhash64(F.col("emp_no"), F.lit(seed + 1)).bitwiseAND(F.lit(0xFFFFFFFF))) / F.lit(float(2**32))
+            u = F.conv(F.substring(seeded_hash("emp_no", seed + 1), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
             cur = current(t, "salaries", ["emp_no", "salary", "from_date"]).join(emp, "emp_no")
             latest = cur.groupBy("emp_no").agg(F.max_by("salary", "from_date").alias("cur"))
             updates = latest.select("emp_no", F.floor(F.col("cur") * (1 + u * 0.2)).cast("int").alias("salary"))
@@ -152,19 +220,19 @@ def update_salary(
     updates = updates.select(F.col("emp_no").cast("int"), F.col("salary").cast("int")).groupBy("emp_no").agg(F.max("salary").alias("salary"))
     updates = updates.join(t["employees"].select("emp_no"), "emp_no", "left_semi")
     opened = updates.select("emp_no", "salary", F.lit(as_of).alias("from_date"), F.lit(OPEN_END).alias("to_date"))
-    return scd2_close_open(s, ["emp_no"], updates, opened, as_of)
+    return _opened(_marked(s, ["emp_no"], updates, as_of), opened)
 
 
+@table_change
 def append_suffix(t: Tables, as_of: dt.date = AS_OF, suffix: str = "-updated", n: int = 100) -> DataFrame:
     """New ``employees``: the first ``n`` employees by emp_no get ``suffix`` on their last name."""
     e = t["employees"]
     first = e.select("emp_no").orderBy("emp_no").limit(n).withColumn(_HIT, F.lit(True))
     j = e.join(first, "emp_no", "left")
-    return j.withColumn(
-        "last_name", F.when(F.col(_HIT), F.concat("last_name", F.lit(suffix))).otherwise(F.col("last_name"))
-    ).select(*e.columns)
+    return _tracked(j, e.columns, F.coalesce(F.col(_HIT), F.lit(False)), last_name=F.concat("last_name", F.lit(suffix)))
 
 
+@table_change
 def dept_budget_raise(
     t: Tables, as_of: dt.date = AS_OF, genders: tuple[str, ...] = ("M", "F", "M", "F", "M"), years: int = 20,
     factor: str = "1.1",
@@ -180,16 +248,19 @@ def dept_budget_raise(
     flags = rows.groupBy("dept_no").agg(*[
         F.max(F.when(F.col("gender") == g, 1).otherwise(0)).alias(f"g_{g}") for g in sorted(set(genders))
     ])
-    d = t["departments"].join(dim_agg(t, "departments", flags, "dept_no"), "dept_no", "left")
+    cols = ["dept_no", "dept_name", "manager_budget"]
+    d = t["departments"].select(*cols, _row(cols).alias("old")).join(dim_agg(t, "departments", flags, "dept_no"), "dept_no", "left")
     # One projection per pass: each pass reads the previous pass's column, so
     # the expression stays linear in the number of passes.
     for g in genders:
         hit = F.coalesce(F.col(f"g_{g}"), F.lit(0)) == 1
         d = d.withColumn("manager_budget", F.when(hit, scale_decimal("manager_budget", factor, 2))
                          .otherwise(F.col("manager_budget")).cast("decimal(15,2)"))
-    return d.select("dept_no", "dept_name", "manager_budget")
+    touched = ~F.col("manager_budget").eqNullSafe(F.col("old.manager_budget"))
+    return d.select("old", _row(cols).alias("new"), touched.alias("touched"))
 
 
+@table_change
 def bracket_raise(
     t: Tables, as_of: dt.date = AS_OF, passes: int = 10, base: int = 40000, step: int = 10000, width: int = 20000,
     factor: str = "1.1",
@@ -198,15 +269,19 @@ def bracket_raise(
     [base + i*step, base + i*step + width]; passes apply in index order.
     """
     s = t["salaries"].select("emp_no", "salary", "from_date", "to_date")
-    j = s.join(t["employees"].select("emp_no", "gender"), "emp_no", "left")
+    cols, touched = s.columns, F.lit(False)
+    j = s.withColumn("old", _row(cols)).join(t["employees"].select("emp_no", "gender"), "emp_no", "left")
     for i in range(passes):
         g = "M" if i % 2 == 0 else "F"
         lo = base + i * step
         hit = (F.col("gender") == g) & F.col("salary").between(lo, lo + width)
+        # The first raise is of the salary as it was: a row is touched if that is in any pass's bracket.
+        touched = touched | F.coalesce((F.col("gender") == g) & F.col("old.salary").between(lo, lo + width), F.lit(False))
         j = j.withColumn("salary", F.when(hit, scale_to_int("salary", factor)).otherwise(F.col("salary")))
-    return j.select("emp_no", "salary", "from_date", "to_date")
+    return j.select("old", _row(cols).alias("new"), touched.alias("touched"))
 
 
+@table_change
 def touch_last_modified(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """New ``employees`` with ``last_modified`` = as_of for everyone holding an assignment to a known department."""
     e = t["employees"]
@@ -217,9 +292,28 @@ def touch_last_modified(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     )
     hit = de.select("emp_no").distinct().withColumn(_HIT, F.lit(True))
     stamp = F.lit(as_of).cast("timestamp_ntz")
-    return e.join(hit, "emp_no", "left").withColumn(
-        "last_modified", F.when(F.col(_HIT), stamp).otherwise(F.col("last_modified"))
-    ).select(*e.columns)
+    return _tracked(e.join(hit, "emp_no", "left"), e.columns, F.coalesce(F.col(_HIT), F.lit(False)), last_modified=stamp)
+
+
+# The entry that chg_log_maintenance adds: start, end, success.
+MAINTENANCE = (dt.datetime(2001, 8, 1, 2), dt.datetime(2001, 8, 1, 2, 45, 30), True)
+CHANGES = {  # name: (change, the table it changes)
+    "bulk_title_update": (bulk_title_update, "titles"),
+    "salary_adjust": (salary_adjust, "salaries"),
+    "transfer": (transfer, "dept_emp"),
+    "update_salary": (update_salary, "salaries"),
+    "append_suffix": (append_suffix, "employees"),
+    "dept_budget_raise": (dept_budget_raise, "departments"),
+    "bracket_raise": (bracket_raise, "salaries"),
+    "touch_last_modified": (touch_last_modified, "employees"),
+}
+
+
+def maintenance_log(t: Tables) -> DataFrame:
+    """A maintenance log of the given events: one entry for each signup, as long as its request took."""
+    ev = t["request_events"].filter(F.col("queryType") == "signup")
+    took = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.round(F.col("duration")) / 1000).cast("decimal(18,6)"))
+    return ev.select(F.col("event_id").alias("id"), F.col("queryType").alias("operation"), F.col("ts").alias("start_time"), (F.col("ts") + took).alias("end_time"), "success")
 
 
 def log_maintenance(
