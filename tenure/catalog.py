@@ -99,7 +99,7 @@ REPORTS: dict[str, Report] = {
     "chg_bracket_raise": chg.bracket_raise,
     "chg_touch_last_modified": chg.touch_last_modified,
     "chg_update_salary_random": lambda t: chg.update_salary(t, emp_no=None, salary=None),
-    "chg_log_maintenance": lambda t: chg.log_maintenance(chg.maintenance_log(t), "VACUUM", *chg.MAINTENANCE),
+    "chg_log_maintenance": chg.maintenance_log_after,
     # the rows that each change touches: kind, old and new values
     **{f"chg_{name}_changes": change.changes for name, (change, _) in chg.CHANGES.items()},
     # stored tables with versions

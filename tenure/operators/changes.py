@@ -330,3 +330,11 @@ def log_maintenance(
     cols = ["id", "operation", "start_time", "end_time", "success"]
     out = log.select(*cols).unionByName(F.broadcast(nxt).crossJoin(row).select(*cols))
     return out.withColumn("duration", F.col("end_time") - F.col("start_time"))
+
+
+def maintenance_log_after(t: Tables) -> DataFrame:
+    """``maintenance_log`` with one more entry (``MAINTENANCE``); wall-clock times, ``duration`` in seconds."""
+    log = log_maintenance(maintenance_log(t), "VACUUM", *MAINTENANCE)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")]
+    seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1e6)
+    return log.select("id", "operation", *times, "success", seconds.alias("duration"))
