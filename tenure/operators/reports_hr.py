@@ -75,7 +75,7 @@ def hr_employees_sorted(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     return s.select(
         "emp_no", "first_name", "last_name", "hire_date", "title", "salary", "dept_name",
         days_since("hire_date", as_of).alias("days_employed"),
-    ).orderBy(F.col("days_employed").desc(), F.col("salary").desc())
+    ).orderBy(F.col("days_employed").desc(), F.col("salary").desc(), "emp_no")
 
 
 def hr_salary_distribution(t: Tables, as_of: dt.date = AS_OF, width: int = 10000) -> DataFrame:
@@ -101,7 +101,7 @@ def hr_salary_above_average(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
             "emp_no", "first_name", "last_name", "salary", "title", "dept_name",
             (F.col("salary") - F.col("avg_sal")).alias("difference_from_avg"),
         )
-        .orderBy(F.col("difference_from_avg").desc())
+        .orderBy(F.col("difference_from_avg").desc(), "emp_no")
     )
 
 

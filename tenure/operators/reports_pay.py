@@ -26,18 +26,18 @@ def pay_salary_by_range(t: Tables, as_of: dt.date = AS_OF, low: int = 50000, hig
     s = current(t, "salaries", ["emp_no", "salary"]).filter(F.col("salary").between(low, high))
     e = t["employees"].join(s, "emp_no")
     e = with_dept_name(t, e.join(current(t, "dept_emp", ["emp_no", "dept_no"]), "emp_no"))
-    return e.select(*EMP_COLS, "salary", "dept_name").orderBy(F.col("salary").desc())
+    return e.select(*EMP_COLS, "salary", "dept_name").orderBy(F.col("salary").desc(), "emp_no")
 
 
 def pay_list_by_salary(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """Current detail ordered by salary (range-partitioned global sort)."""
     s = snapshot(t, ["emp_no", "first_name", "last_name"])
-    return s.select("emp_no", "first_name", "last_name", "salary", "title", "dept_name").orderBy(F.col("salary").desc())
+    return s.select("emp_no", "first_name", "last_name", "salary", "title", "dept_name").orderBy(F.col("salary").desc(), "emp_no")
 
 
 def pay_highest_earners(t: Tables, as_of: dt.date = AS_OF) -> DataFrame:
     """All current employees by salary, highest first (no limit, as in the source)."""
-    return snapshot(t).select(*EMP_COLS, "salary", "dept_name", "title").orderBy(F.col("salary").desc())
+    return snapshot(t).select(*EMP_COLS, "salary", "dept_name", "title").orderBy(F.col("salary").desc(), "emp_no")
 
 
 def pay_salary_by_year(t: Tables, as_of: dt.date = AS_OF, year: int = 1995) -> DataFrame:

@@ -142,7 +142,7 @@ def rep_search_by_salary_range(t: Tables, as_of: dt.date = AS_OF, low: int = 600
     s = current(t, "salaries", ["emp_no", "salary"]).filter(F.col("salary").between(int(low), int(high)))
     e = t["employees"].select("emp_no", "first_name", "last_name").join(s, "emp_no")
     e = snapshot(t, employees=e, emp_cols=["emp_no", "first_name", "last_name", "salary"], salary=False)
-    return e.select("emp_no", "first_name", "last_name", "salary", "title", "dept_name").orderBy(F.col("salary").desc())
+    return e.select("emp_no", "first_name", "last_name", "salary", "title", "dept_name").orderBy(F.col("salary").desc(), "emp_no")
 
 
 def rep_search_by_name(
@@ -153,4 +153,4 @@ def rep_search_by_name(
         like_contains("first_name", first_like, case_sensitive) | like_contains("last_name", last_like, case_sensitive)
     )
     s = snapshot(t, employees=e, emp_cols=["emp_no", "first_name", "last_name"])
-    return s.select("emp_no", "first_name", "last_name", "title", "dept_name", "salary").orderBy("last_name", "first_name")
+    return s.select("emp_no", "first_name", "last_name", "title", "dept_name", "salary").orderBy("last_name", "first_name", "emp_no")
