@@ -120,6 +120,7 @@ REPORTS: dict[str, Report] = {
     "dq_interval_overlaps": lambda t: dq.dq_interval_overlaps(t, "salaries_multi"),
     # request telemetry
     "tel_request_metrics": tel.request_metrics,
+    "tel_request_metrics_narrowed": lambda t: tel.request_metrics(t, narrow=True),
     "tel_request_metrics_windowed": tel.request_metrics_windowed,
     "tel_slo_check": tel.slo_check,
     "tel_gauge_records": tel.gauge_records,

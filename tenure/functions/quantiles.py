@@ -1,13 +1,14 @@
 """Exact per-group percentiles (``percentile_cont``: linear interpolation between ranks).
 
-Two forms with the same result: ``percentile_cont`` narrows the range of values in which the wanted ranks lie, round
-after round, so no task orders a group; ``percentile_small`` is Spark's own aggregate, for groups
+Three forms with the same result: ``percentile_narrowed`` narrows the range of values in which the wanted ranks lie, round
+after round, so no task orders a group or a crowded range, at the price of jobs while the query is built;
+``percentile_cont`` is one lazy plan over ranges of width 1, for values that spread; ``percentile_small`` is Spark's own aggregate, for groups
 that are small by their definition (it holds a count of each distinct value of a group in one task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.session import ensure_checkpoint_dir
@@ -52,7 +53,7 @@ def _narrowed(histogram: DataFrame, group: list[str], state: DataFrame) -> DataF
     return w.select(*group, "_rank", F.col("_w.before").alias("_before"), F.col("_w.low").alias("_low"), F.col("_w.high").alias("_high"), F.col("_w.values").alias("_values"))
 
 
-def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
+def percentile_narrowed(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Per group: the ``p`` quantile of ``value`` with linear interpolation (NULLs ignored).
 
     Rows are counted by distinct value once. A round cuts the range that holds the wanted rank (all values, at
@@ -62,7 +63,7 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name:
     checkpointed; groups need not be few, only the bounds of each are kept.
     """
     if not group:
-        return percentile_cont(df.withColumn("_all", F.lit(1)), ["_all"], value, p, name).drop("_all")
+        return percentile_narrowed(df.withColumn("_all", F.lit(1)), ["_all"], value, p, name).drop("_all")
     # Null group keys must meet in joins, so a group goes by its values as text.
     ensure_checkpoint_dir(df.sparkSession)
     keyed = df.filter(F.col(value).isNotNull()).select(F.struct(*group).alias("_group"), F.col(value).cast("double").alias("_v"))
@@ -95,3 +96,28 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name:
 
     out = last.join(names, "_key").withColumn("_lo", at(F.col("_rank"))).withColumn("_hi", F.coalesce(at(F.col("_rank") + 1), F.col("_lo")))
     return out.select(*[F.col(f"_group.{g}").alias(g) for g in group], (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))).alias(name))
+
+
+def percentile_cont(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Per group: the ``p`` quantile of ``value`` with linear interpolation (NULLs ignored).
+
+    One lazy plan: counts by distinct value, then by whole number, and only the whole numbers of the wanted ranks are ordered.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_range", F.floor(value))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pos = (F.sum("_c").over(whole) - 1) * F.lit(p)
+    ranges = counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_c")).select(
+        *group, "_range", F.col("_c").alias("_size"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), pos.alias("_pos"))
+    ranges = ranges.select("*", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"), (F.col("_pos") - F.floor("_pos")).alias("_frac"))
+    ranges = ranges.filter((F.col("_lo") < F.col("_start") + F.col("_size")) & (F.col("_hi") >= F.col("_start")))
+    near = counts.join(ranges, [*group, "_range"])
+    upto = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
+
+    def at(rank: str):
+        return F.max(F.when((F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("_c")), F.col(value)))
+
+    lo, hi = at("_lo"), at("_hi")
+    return near.groupBy(*group).agg((lo + (hi - lo) * F.first("_frac")).alias(name))

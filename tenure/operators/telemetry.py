@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.dialect import ratio
-from tenure.functions.quantiles import percentile_cont, percentile_small
+from tenure.functions.quantiles import percentile_cont, percentile_narrowed, percentile_small
 from tenure.sources.tables import Tables
 
 # Fixed values of the source workload (thresholds, metric name, weights).
@@ -61,11 +61,11 @@ def micro_ratio(total: Column, n: Column, digits: int = 4) -> Column:
     return ratio(total, n.cast("long") * MICRO, digits)
 
 
-def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame:
+def request_metrics(t: Tables, p: float = 0.95, exact: bool = True, narrow: bool = False) -> DataFrame:
     """Per queryType: requests, failures, error rate, average and p95 duration.
 
     ``exact=True`` ranks rows exactly from counts of distinct values (no group in one task);
-    ``exact=False`` uses Spark's bounded-memory sketch.
+    ``narrow=True`` also holds when all durations crowd into one unit. ``exact=False`` uses Spark's bounded-memory sketch.
     """
     ev = t["request_events"]
     base = ev.groupBy("queryType").agg(
@@ -75,7 +75,7 @@ def request_metrics(t: Tables, p: float = 0.95, exact: bool = True) -> DataFrame
         F.max("duration").alias("max_duration"),
     ).withColumn("error_rate", ratio("failures", "requests", 4))
     if exact:
-        p95 = percentile_cont(ev, ["queryType"], "duration", p, "p95_duration")
+        p95 = (percentile_narrowed if narrow else percentile_cont)(ev, ["queryType"], "duration", p, "p95_duration")
     else:
         p95 = ev.groupBy("queryType").agg(F.percentile_approx("duration", p, 10000).alias("p95_duration"))
     return base.join(p95, "queryType", "left").select(

@@ -32,7 +32,7 @@ def test_narrowing_equals_a_plain_version(spark, monkeypatch, p):
     }
     rows = [(*g, v) for g, vs in groups.items() for v in vs] + [("nulls", 1, None), ("unit", 1, None)]
     df = spark.createDataFrame(rows, "a string, b int, v double").repartition(5)
-    got = {(r.a, r.b): r.q for r in quantiles.percentile_cont(df, ["a", "b"], "v", p, "q").collect()}
+    got = {(r.a, r.b): r.q for r in quantiles.percentile_narrowed(df, ["a", "b"], "v", p, "q").collect()}
     assert got.keys() == groups.keys()
     for g, vs in groups.items():
         assert got[g] == pytest.approx(plain(vs, p), rel=1e-12, abs=1e-15), g
