@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tenure.operators import changes
 from tenure.session import scratch_path
+from tenure.sources.maintained import MaintainedDeptStats
 from tenure.sources.sinks import write_range_partitioned
 from tenure.sources.tables import Tables
 from tenure.sources.versions import BucketedTable
@@ -57,3 +58,15 @@ def salary_eras(t: Tables) -> DataFrame:
     write_range_partitioned(t["salaries"], path, boundaries=ERA_BOUNDARIES)
     return spark.read.parquet(path).groupBy("era").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("from_date").alias("first_start"), F.max("from_date").alias("last_start"), F.sum("salary").alias("total"))
+
+
+def refreshed_dept_stats(t: Tables) -> DataFrame:
+    """``dept_stats`` made from the tables, then refreshed after C2 changed ``salaries`` and after C3 changed ``dept_emp``."""
+    spark = t["salaries"].sparkSession
+    view = MaintainedDeptStats(spark, scratch_path(spark, "maintained"))
+    view.create(t)
+    for name in ("salary_adjust", "transfer"):
+        change, table = changes.CHANGES[name]
+        view.inputs[table].apply(change.changes(t), batch=name)
+        view.refresh()
+    return view.read(t)

@@ -51,6 +51,14 @@ class BucketedTable:
     def has_batch(self, batch: str) -> bool:
         return self.version() >= 0 and not self.spark.read.parquet(f"{self.base}/manifest").filter(F.col("batch") == batch).isEmpty()
 
+    def batch_of(self, version: int) -> str | None:
+        """The id of the batch that made a version."""
+        return self.spark.read.parquet(f"{self.base}/manifest/v={version}").select("batch").first()[0]
+
+    def differing(self, version: int, other: int) -> set[int]:
+        """The buckets whose files are not the same in two versions; from the manifests alone."""
+        return {b for b, _ in set(self._entries(version)) ^ set(self._entries(other))}
+
     def read(self, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         """A version (the newest by default), or only some of its buckets: no other file is listed or read."""
         version = self.version() if version is None else version
@@ -115,3 +123,20 @@ class BucketedTable:
         new = firsts.join(self.read(now, hit).select(*self.keys), self.keys, "left_anti")
         written = self._write(new, now + 1)
         return self._publish(now + 1, set(self._entries(now)) | {(b, now + 1) for b in written}, batch)
+
+    def add(self, counts: list[str], delta: DataFrame | None, batch: str | None = None) -> int:
+        """The version in which the ``counts`` of each row of ``delta`` are added to those of the row that is equal otherwise.
+
+        Rows whose counts are all 0 then go. Only buckets that ``delta`` falls in are read and written.
+        """
+        now = self.version()
+        if batch is not None and self.has_batch(batch):
+            return now
+        hit = set() if delta is None else {r[0] for r in delta.select(self.bucket_of()).distinct().collect()}
+        if not hit:
+            return self._publish(now + 1, set(self._entries(now)), batch)
+        rest = [c for c in delta.columns if c not in counts]
+        sums = self.read(now, hit).unionByName(delta).groupBy(*rest).agg(*[F.sum(c).alias(c) for c in counts])
+        written = self._write(sums.filter(" or ".join(f"`{c}` <> 0" for c in counts)), now + 1)
+        entries = {(b, d) for b, d in self._entries(now) if b not in hit} | {(b, now + 1) for b in written}
+        return self._publish(now + 1, entries, batch)
