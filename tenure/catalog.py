@@ -106,6 +106,7 @@ REPORTS: dict[str, Report] = {
     "snk_apply_salary_adjust": stored.apply_salary_adjust,
     "snk_insert_if_absent": stored.insert_salaries_if_absent,
     "snk_range_partitioned": stored.salary_eras,
+    "snk_verified_load": stored.verified_load,
     "snk_dept_stats_refreshed": stored.refreshed_dept_stats,
     # data quality
     "dq_duplicate_keys": dq.dq_duplicate_keys,

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenure.plans.sizing import dim
 from tenure.schema import DOMAINS, FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
 from tenure.sources.tables import Tables
 
@@ -87,7 +88,8 @@ def dq_foreign_key_orphans(t: Tables) -> DataFrame:
 
     References to the same parent key are checked together: the tagged child
     keys are unioned and meet the parent's keys in one anti join (one shuffle
-    of the parent instead of one per child table).
+    of the parent instead of one per child table). A parent that is proven small is broadcast: children with few,
+    crowded keys (``dept_no``) are then not shuffled by them.
     """
     by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for name, fks in FOREIGN_KEYS.items():
@@ -101,7 +103,7 @@ def dq_foreign_key_orphans(t: Tables) -> DataFrame:
             for name, col in children
         ])
         parent_keys = t[parent].select(F.col(pcol).alias("_k")).distinct()
-        o = keys.join(parent_keys, "_k", "left_anti")
+        o = keys.join(dim(t, parent, parent_keys), "_k", "left_anti")
         parts.append(o.select("table_name", "column_name", F.lit(parent).alias("parent_table"),
                               F.col("_k").cast("string").alias("key_value")))
     return reduce(DataFrame.unionByName, parts)

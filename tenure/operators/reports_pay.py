@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.dialect import in_years, ratio
+from tenure.functions.keyfilter import in_ranges, ranges_of, ranges_of_list
 from tenure.operators.current import EMP_COLS, current, snapshot, with_dept_name
 from tenure.schema import AS_OF
 from tenure.sources.tables import Tables
@@ -73,17 +74,24 @@ def pay_search_by_salary(t: Tables, as_of: dt.date = AS_OF, low: int = 70000, hi
     return e.select("emp_no", "first_name", "last_name", "salary", "title")
 
 
+_INT = (-(2**31), 2**31 - 1)  # what an employee number can be
+
+
 def pay_lookup_many(t: Tables, as_of: dt.date = AS_OF, emp_nos: list[int] | DataFrame | None = None) -> DataFrame:
     """Many point lookups as one query: employees with their current salary.
 
-    The ids, a list of any length or a DataFrame, are a key table that both
-    sides meet in a left semi join.
+    The ids, a list of any length or a DataFrame, are a key table that both sides meet in a left semi
+    join. The ranges they fall in (at most ``keyfilter.MAX_RANGES``) go down to both scans. Ids that no employee number
+    can be find nothing.
     """
-    if emp_nos is None:
-        emp_nos = [10001 + i for i in range(20)]
     e, s = t["employees"], current(t, "salaries", ["emp_no", "salary"])
-    if not isinstance(emp_nos, DataFrame):
-        emp_nos = e.sparkSession.createDataFrame([(int(i),) for i in emp_nos], "emp_no long")
-    keys = emp_nos.select(F.col(emp_nos.columns[0]).cast("int").alias("emp_no"))
-    e, s = (x.join(keys, "emp_no", "left_semi") for x in (e, s))
+    if isinstance(emp_nos, DataFrame):
+        wide = emp_nos.select(F.col(emp_nos.columns[0]).cast("long").alias("emp_no")).filter(F.col("emp_no").between(*_INT))
+        ranges = ranges_of(wide, "emp_no")
+    else:
+        ids = [i for i in map(int, range(10001, 10021) if emp_nos is None else emp_nos) if _INT[0] <= i <= _INT[1]]
+        wide = e.sparkSession.createDataFrame([(i,) for i in ids], "emp_no long")
+        ranges = ranges_of_list(ids)
+    keys = wide.select(F.col("emp_no").cast("int").alias("emp_no"))
+    e, s = (x.filter(in_ranges("emp_no", ranges)).join(keys, "emp_no", "left_semi") for x in (e, s))
     return e.join(s, "emp_no").select(*EMP_COLS, "salary")

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.operators import changes
+from tenure.schema import NOT_NULL
 from tenure.session import scratch_path
 from tenure.sources.maintained import MaintainedDeptStats
-from tenure.sources.sinks import write_range_partitioned
+from tenure.sources.sinks import write_range_partitioned, write_verified
 from tenure.sources.tables import Tables
 from tenure.sources.versions import BucketedTable
 
@@ -70,3 +71,13 @@ def refreshed_dept_stats(t: Tables) -> DataFrame:
         view.inputs[table].apply(change.changes(t), batch=name)
         view.refresh()
     return view.read(t)
+
+
+def verified_load(t: Tables) -> DataFrame:
+    """Every table written once, with the counts seen while it was written: a row for its rows and one for each NOT NULL column."""
+    spark = t["salaries"].sparkSession
+    base, out = scratch_path(spark, "load"), []
+    for name, cols in NOT_NULL.items():
+        rows, nulls = write_verified(t[name], f"{base}/{name}", cols)
+        out += [(name, None, rows, None), *[(name, c, rows, nulls[c]) for c in cols]]
+    return spark.createDataFrame(out, "table_name string, column_name string, row_count long, null_count long")

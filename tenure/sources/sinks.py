@@ -10,7 +10,7 @@ import datetime as dt
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.schema import SALARY_ERA_BOUNDARY
@@ -95,6 +95,21 @@ def _next_version(spark: SparkSession, base: str) -> int:
     return max(vs, default=-1) + 1
 
 
+def write_verified(df: DataFrame, path: str, not_null: list[str]) -> tuple[int, dict[str, int]]:
+    """Write ``df`` and return what went through the writer: the row count and the NULL count of each ``not_null`` column.
+
+    The counts are observed while the rows are written, so a load is verified without a second scan. Nothing
+    is shuffled between the observation and the files: Spark counts each written partition once, also after a lost executor.
+    """
+    seen = Observation()
+    nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in not_null]
+    # An aggregate's name cannot clash with a column's: the nulls are one struct.
+    seen_rows = df.observe(seen, F.count(F.lit(1)).alias("row_count"), F.struct(F.lit(0).alias("_"), *nulls).alias("nulls"))
+    seen_rows.write.mode("errorifexists").parquet(path)
+    found = seen.get
+    return found["row_count"], {c: found["nulls"][c] for c in not_null}
+
+
 def write_pages(indexed: DataFrame, path: str, page_col: str = "page_no", block: int = 1000) -> None:
     """Paged export: rows sorted by page inside files, grouped into page blocks of ``block`` pages.
 
