@@ -9,17 +9,23 @@ than its share of what the fuller ones left. Shares are whole tokens, rounded do
 
 A leaf with quota q and t tokens takes floor(q / t) whole epochs of its rows and, in the
 next epoch, the prefix of the rows in that epoch's seeded order whose running token count stays within
-the rest. To find the prefix without sorting a leaf in one task, the rows are counted in
-``BUCKETS`` ranges of the seeded hash; only the range in which the quota ends is ordered.
+the rest. The order is by the MD5 of seed, epoch and id, then by token count, then by a hash of the whole row; rows
+equal in all of these come all or none. Where the prefix ends is found without texts and without sorting a leaf: tokens
+are summed by the first digits of the order, then by further digits within the range in which the quota ends, and so on
+down to the row hash (``_keys``), so neither a hot leaf nor one id of very many rows is ordered in one task.
 
 Everything is DataFrame operations. Defined cases: null domain, language or source labels are
-the label "(none)"; labels without a weight have weight ``OTHER``; null and empty texts count 0
+the label "(none)"; labels without a weight have the weight ``Weights.other``; null and empty texts count 0
 tokens and go along with any epoch of their leaf; repeated rows count repeatedly; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +33,30 @@ from tenure.llm.tables import free_name, staged
 
 SEED = 11
 MAX_EPOCHS = 3
-BUCKETS = 4096  # three hex digits of the order
+BUCKETS = 4096  # three hex digits of the order at a time
 OTHER = 5
-# Target weights (whole numbers). Domains are given by source; sources share their language's budget equally.
+# Target weights of the queries (whole numbers). Domains are given by source; sources share their language's budget equally.
 DOMAIN_OF = {f"src{i}": d for d, r in (("web", range(0, 8)), ("books", range(8, 13)), ("forum", range(13, 17)), ("reference", range(17, 20))) for i in r}
 DOMAIN_WEIGHTS = {"web": 45, "books": 25, "forum": 10, "reference": 20}
 LANGUAGE_WEIGHTS = {"en": 60, "de": 15, "fr": 15, "es": 10}
 BIG = "decimal(38,0)"
 
 
-def _lookup(column: Column, values: dict, default) -> Column:
+@dataclass(frozen=True)
+class Weights:
+    """Target weights: the domain of each source, the weights of domains and languages; ``other`` for those not named."""
+
+    domain_of: Mapping[str, str] = field(default_factory=lambda: DOMAIN_OF)
+    domains: Mapping[str, int] = field(default_factory=lambda: DOMAIN_WEIGHTS)
+    languages: Mapping[str, int] = field(default_factory=lambda: LANGUAGE_WEIGHTS)
+    other: int = OTHER
+
+    def __post_init__(self) -> None:
+        if min([self.other, *self.domains.values(), *self.languages.values()]) < 1:
+            raise ValueError("weights are whole numbers from 1")
+
+
+def _lookup(column: Column, values: Mapping, default) -> Column:
     out = F.lit(default)
     for key, value in values.items():
         out = F.when(column == key, F.lit(value)).otherwise(out)
@@ -48,10 +68,10 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
-def leaf_columns(source: Column, lang: Column) -> list[Column]:
+def leaf_columns(source: Column, lang: Column, weights: Weights) -> list[Column]:
     """domain, lang, source of a row."""
     return [
-        F.coalesce(_lookup(source, DOMAIN_OF, "(none)"), F.lit("(none)")).alias("domain"),
+        F.coalesce(_lookup(source, weights.domain_of, "(none)"), F.lit("(none)")).alias("domain"),
         F.coalesce(lang, F.lit("(none)")).alias("lang"),
         F.coalesce(source, F.lit("(none)")).alias("source"),
     ]
@@ -72,14 +92,14 @@ def fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     return rows.withColumn("quota", F.when(F.col("full"), F.col("limit")).otherwise(share)).drop("full", "used", "rest")
 
 
-def quotas(leaves: DataFrame, budget_percent: int = 100, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def quotas(leaves: DataFrame, budget_percent: int = 100, max_epochs: int = MAX_EPOCHS, weights: Weights = Weights()) -> DataFrame:
     """(domain, lang, source, tokens, quota) from (domain, lang, source, tokens): budget in percent of all tokens."""
     leaves = leaves.withColumn("limit", F.col("tokens") * max_epochs)
     total = leaves.agg(F.floor(F.sum("tokens") * budget_percent / 100).cast("long").alias("budget"))
     domains = leaves.groupBy("domain").agg(F.sum("limit").alias("limit")).crossJoin(F.broadcast(total))  # one row
-    domains = fill(domains.withColumn("weight", _lookup(F.col("domain"), DOMAIN_WEIGHTS, OTHER)).withColumn("root", F.lit(0)), ["root"], "domain")
+    domains = fill(domains.withColumn("weight", _lookup(F.col("domain"), weights.domains, weights.other)).withColumn("root", F.lit(0)), ["root"], "domain")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("limit").alias("limit")).join(domains.select("domain", F.col("quota").alias("budget")), "domain")
-    langs = fill(langs.withColumn("weight", _lookup(F.col("lang"), LANGUAGE_WEIGHTS, OTHER)), ["domain"], "lang")
+    langs = fill(langs.withColumn("weight", _lookup(F.col("lang"), weights.languages, weights.other)), ["domain"], "lang")
     rows = leaves.join(langs.select("domain", "lang", F.col("quota").alias("budget")), ["domain", "lang"])
     return fill(rows.withColumn("weight", F.lit(1)), ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "quota")
 
@@ -88,33 +108,52 @@ def _order(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, budget_percent: int = 100, max_epochs: int = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def _keys(doc_id: Column, epoch: Column, n: Column, row_hash: Column, seed: int, buckets: int) -> list[Column]:
+    """The seeded order as keys from coarse to fine; equal in all of them are only rows that are equal throughout."""
+    place = _order(doc_id, epoch, seed)
+    digits = [F.conv(F.substring(place, 1, 3 * k), 16, 10).cast("long") * F.lit(buckets**k) for k in (1, 2)]
+    ranges = [F.shiftright(d, 12 * k) for k, d in enumerate(digits, 1)]
+    return [*ranges, F.struct(place.alias("place"), n.alias("n")), F.shiftrightunsigned(row_hash, 48), row_hash]
+
+
+def _ends(small: DataFrame, plan: DataFrame, leaf: list[str], seed: int, buckets: int) -> DataFrame:
+    """``plan`` with the keys end_0, end_1, ... of the first row that the rest of its leaf has no room for (null: no rest)."""
+    plan = plan.withColumn("before", F.lit(0).cast("long"))
+    keys = _keys(F.col("doc_id"), F.col("whole") + 1, F.col("n"), F.col("row_hash"), seed, buckets)
+    ahead = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    for level, key in enumerate(keys):
+        within = functools.reduce(Column.__and__, [k == F.col(f"end_{i}") for i, k in enumerate(keys[:level])], F.col("rest") > 0)
+        groups = small.join(plan, leaf).filter(within).groupBy(*leaf, "rest", "before", key.alias("key")).agg(F.sum("n").alias("n"))
+        groups = groups.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        over = groups.filter(F.col("before") + F.col("n") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("key", "before")).alias("e"))
+        plan = staged(plan.drop("before").join(over.select(*leaf, F.col("e.key").alias(f"end_{level}"), F.col("e.before").alias("before")), leaf, "left"), "plan")
+    return plan.drop("before")
+
+
+def mix(
+    docs: DataFrame, budget_percent: int = 100, max_epochs: int = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS, weights: Weights = Weights(),
+) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, with three columns added (see ``mixed_names``).
+
+    ``buckets`` (at most 4096) is the number of ranges that tokens are summed by at a time; the result does not depend on it.
     """
     leaf = ["domain", "lang", "source"]
-    small = staged(docs.select("doc_id", *leaf_columns(F.col("source"), F.col("lang")), n_tokens(F.col("text")).alias("n")), "mixing")
-    plan = quotas(small.groupBy(*leaf).agg(F.sum("n").alias("tokens")), budget_percent, max_epochs)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash")
+    derived = [*leaf_columns(F.col("source"), F.col("lang"), weights), n_tokens(F.col("text")).alias("n"), row_hash]
+    small = staged(docs.select("doc_id", *derived), "mixing")
+    plan = quotas(small.groupBy(*leaf).agg(F.sum("n").alias("tokens")), budget_percent, max_epochs, weights)
     whole = F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(F.least(F.lit(1), F.lit(max_epochs))).cast("int")
-    plan = staged(plan.withColumn("whole", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("whole") * F.col("tokens")).otherwise(F.lit(0))), "quotas")
-    # Where the rest of each leaf ends: counted by ranges of the seeded order.
-    place = F.conv(F.substring(_order(F.col("doc_id"), F.col("whole") + 1, seed), 1, 3), 16, 10).cast("int")
-    ranges = small.join(plan, leaf).groupBy(*leaf, "rest", (place * buckets / 4096).cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    ends = ranges.filter(F.col("before") + F.col("n") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("bucket", "before")).alias("e"))
-    ends = ends.select(*leaf, F.col("e.bucket").alias("end_bucket"), F.col("e.before").alias("end_before"))
-    plan = staged(plan.join(ends, leaf, "left").select(*[F.col(c).alias(f"plan_{c}") for c in leaf], "whole", "rest", F.coalesce("end_bucket", F.lit(buckets)).alias("end_bucket"), "end_before"), "plan")
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("whole") * F.col("tokens")).otherwise(F.lit(0)))
+    plan = _ends(small, staged(plan.select(*leaf, "whole", "rest"), "quotas"), leaf, seed, buckets)
+    plan = plan.withColumnsRenamed({c: f"plan_{c}" for c in leaf})
     row, names = free_name(docs, "row"), mixed_names(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *leaf_columns(F.col("source"), F.col("lang")), n_tokens(F.col("text")).alias("n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *derived)
     rows = rows.join(plan, [F.col(c) == F.col(f"plan_{c}") for c in leaf])
-    rows = rows.withColumn("place", _order(F.col(f"{row}.doc_id"), F.col("whole") + 1, seed))
-    rows = rows.withColumn("bucket", (F.conv(F.substring("place", 1, 3), 16, 10).cast("int") * buckets / 4096).cast("int"))
-    edge = rows.filter(F.col("bucket") == F.col("end_bucket"))
-    running = Window.partitionBy(*leaf).orderBy("place", "n", row).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("extra", (F.col("end_before") + F.sum("n").over(running) <= F.col("rest")).cast("int"))
-    inner = rows.filter(F.col("bucket") != F.col("end_bucket")).withColumn("extra", ((F.col("rest") > 0) & (F.col("bucket") < F.col("end_bucket"))).cast("int"))
-    taken = edge.unionByName(inner).withColumn("times", F.col("whole") + F.col("extra")).filter("times > 0")
-    taken = taken.select(F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), row, "domain", F.col("n").alias("n"))
+    keys = _keys(F.col(f"{row}.doc_id"), F.col("whole") + 1, F.col("n"), F.col("row_hash"), seed, buckets)
+    ahead = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) < F.struct(*[F.col(f"end_{i}").alias(f"k{i}") for i in range(len(keys))])
+    times = F.col("whole") + ((F.col("rest") > 0) & ahead).cast("int")
+    taken = rows.withColumn("times", times).filter("times > 0")
+    taken = taken.select(F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch"), row, "domain", "n")
     return taken.select(f"{row}.*", F.col("domain").alias(names[0]), F.col("epoch").alias(names[1]), F.col("n").alias(names[2]))
 
 
