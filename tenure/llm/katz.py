@@ -1,27 +1,31 @@
-"""Katz backoff language model (bigrams): Good-Turing discounts, exactly normalised backoff.
+"""Katz backoff language model of any order: Good-Turing discounts, exactly normalised backoff.
 
-Tokens are words (runs other than white space, A-Z as a-z) and one end after each text; a text's
-first token follows a start sign. With r = count(h, w) in training texts:
+Tokens are words (runs other than white space, A-Z as a-z) and one end after each text; a text
+begins with order - 1 start signs. With h the words before w, h' the same without the oldest,
+and r = count(h, w) in training texts:
 
-    P(w | h) = d_r r / c(h)          if r > 0
-             = alpha(h) P(w)         otherwise,  alpha(h) = (1 - sum seen P(w | h)) / (1 - sum seen P(w))
+    P(w | h) = d_r r / s(h)          if r > 0
+             = alpha(h) P(w | h')    otherwise,  alpha(h) = (1 - sum seen P(w | h)) / (1 - sum seen P(w | h'))
 
 and P(w) = d_c c / N for known words; the rest of the mass is that of "an unknown word". d are
-Good-Turing discounts for counts up to K (Katz's form, from the counts of counts of the
-whole corpus); where the counts of counts give none in (0, 1), d_r = (r - 1/2) / r. A context none of whose
-followers is discounted gets one pseudo-count, so alpha is above 0 and every P(. | h) sums to 1.
-An unknown context backs off with alpha = 1.
+Good-Turing discounts of each order for counts up to K (Katz's form, from the counts of counts of the
+whole corpus); where the counts of counts give none in (0, 1), d_r = (r - 1/2) / r. s(h) is the count of h,
+and one more for a context none of whose followers is discounted, so alpha is above 0 and every P(. | h)
+sums to 1. An unseen context backs off with alpha = 1.
 
 How it runs. A block is about ``BLOCK_TOKENS`` tokens of consecutive rows. For each block the
-distinct bigrams with their training counts and the rows they occur in go, as arrays, to bigram
-tables partitioned by the context's hash; contexts that make up more than the share of an average part
-are partitioned by the following word instead ("hot"), and their sums are put together apart. Unigram tables
-are partitioned by the word's hash; each bigram part asks them for the counts of its words and gets
-arrays back in the same order. Then each part evaluates its bigrams, P(w | h) or recursively P(w),
-and returns one sum for each row of each block. Hashes are 64 bits.
+distinct n-grams with their training counts and the rows they occur in go, as arrays, to tables
+partitioned by the hash of the word before w. So n-grams, their contexts and all shorter n-grams and
+contexts that back them off meet in one part, and the recursion needs only P(w) from elsewhere. A context
+that makes up more than the share of an average part ("hot") is spread by the word before it, and a hot one
+of full length by w. Word counts, and the n-grams of hot contexts, are put together in tables partitioned
+by w's hash: each part tells them its counts, asks for the totals and gets arrays back in the same
+order. Then each part evaluates its n-grams order by order and returns one sum for each row of each
+block. Hashes are 64 bits. The number of parts grows with the bytes of the texts (``PART_BYTES``).
 
 Defined cases: null and empty texts are the end alone; no training rows: every word unknown with
-probability 1 (score 0); repeated rows count repeatedly; null ids are training rows.
+probability 1 (score 0); repeated rows count repeatedly; null ids are training rows; columns other than
+doc_id and text are not read; texts of any length are whole in one block, which they may make larger.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 from tenure.llm.tables import shuffle_parts
 from tenure.llm.words import mix, word_hashes
 
+ORDER = 3
 K = 5  # largest discounted count
 BLOCK_TOKENS = 1_000_000
 BLOCK_ROWS = 32_000
 HOT_ROWS = 2_000
+PART_BYTES = 16 << 20  # of text for each part, about 3M tokens
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -57,105 +63,213 @@ def _flat(column) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks] or [np.empty(0, np.int64)])
 
 
-def hot_contexts(docs: DataFrame, parts: int) -> np.ndarray:
-    """Hashes of words that make up more than 1 / parts of the tokens: fewer than ``parts`` of them.
+def _previous(tokens: np.ndarray, size: np.ndarray, back: int, start) -> np.ndarray:
+    """The token ``back`` places before each in its text (texts of ``size`` tokens), or ``start``."""
+    at = np.arange(len(tokens)) - back
+    inside = at >= np.repeat(np.cumsum(size) - size, size)
+    out = np.full(len(tokens), start, dtype=tokens.dtype)
+    out[inside] = tokens[at[inside]]
+    return out
 
-    A word of that share in the corpus has it in some task's rows too, so only words that
-    have it there are sent.
+
+def _longer(context: np.ndarray, older: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more word before it."""
+    return mix(context) + older
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the row before."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the tables: one for each ``PART_BYTES`` of text, the session's shuffle width at least."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(shuffle_parts(docs.sparkSession), -(-size // PART_BYTES))
+
+
+def hot_contexts(docs: DataFrame, parts: int, order: int = ORDER) -> list[tuple[int, int, int]]:
+    """(hash, hash without its oldest word, words) of contexts that more than 1 / parts of the tokens follow, by hash.
+
+    Fewer than ``parts`` of each length. A context of that share in the corpus has it in some task's rows too, so only
+    those that have it there are sent; where a context has it, the shorter one has it as well.
     """
 
     def run(batches):
-        kept, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        kept = [np.empty((3, 0), np.uint64) for _ in range(order)]  # of each length: hash, shorter one's hash, count
         total = 0
         for batch in (b.slice(i, HOT_ROWS) for b in batches for i in range(0, b.num_rows, HOT_ROWS)):
-            h = [word_hashes(t) for t in batch.column("text").to_pylist()]
-            u, n = np.unique(np.concatenate(h) if h else kept[:0], return_counts=True)
-            total += int(n.sum())
-            u, inverse = np.unique(np.concatenate((kept, u)), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate((counts, n)), minlength=len(u)).astype(np.int64)
-            keep = n * parts * 4 > total  # a word that matters is far above this line in most batches
-            kept, counts = u[keep], n[keep]
-        keep = counts * parts > total
-        yield pa.RecordBatch.from_pydict({"word": pa.array([None, *kept[keep].view(np.int64).tolist()], pa.int64()), "n": pa.array([total, *counts[keep].tolist()], pa.int64())})
-
-    sums = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.broadcast(sums.filter("word is null").select(F.col("n").alias("total")))
-    hot = sums.filter("word is not null").crossJoin(total).filter(F.col("n") * parts > F.col("total")).select("word").collect()
-    return np.sort(np.array([r.word for r in hot], dtype=np.int64).view(np.uint64))
-
-
-def _blocks(hot: np.ndarray, parts: int):
-    """Rows (doc_id, text, train, at) to the arrays of each block; the rows of a block go along as part ``parts`` + x."""
-
-    def flush(name, held):
+            texts = [np.append(word_hashes(t), END) for t in batch.column("text").to_pylist()]
+            if not texts:
+                continue
+            tokens, size = np.concatenate(texts), np.array([len(t) for t in texts])
+            total += len(tokens)
+            at = np.arange(len(tokens))
+            context = shorter = np.zeros(len(tokens), dtype=np.uint64)
+            for length in range(1, order):
+                older = _previous(tokens, size, length, START)[at]
+                context, shorter = (older if length == 1 else _longer(context, older)), context
+                key, first, n = np.unique(context, return_index=True, return_counts=True)
+                rows = np.concatenate((kept[length], np.array([key, shorter[first], n.astype(np.uint64)])), axis=1)
+                key, first, inverse = np.unique(rows[0], return_index=True, return_inverse=True)
+                n = np.bincount(inverse, weights=rows[2], minlength=len(key)).astype(np.uint64)
+                keep = n * np.uint64(parts * 4) > total  # one that matters is far above this line in most batches
+                kept[length] = np.array([key[keep], rows[1][first[keep]], n[keep]])
+                on = np.isin(context, kept[length][0])
+                at, context = at[on], context[on]
+        out = [(None, None, 0, total)]
+        for length in range(1, order):
+            own = kept[length][:, kept[length][2] * np.uint64(parts) > total]
+            out += [(*row[:2], length, row[2]) for row in own.view(np.int64).T.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["context", "shorter", "length", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "context long, shorter long, length long, n long").groupBy("context", "shorter", "length").agg(F.sum("n").alias("n"))
+    total = F.broadcast(sums.filter("context is null").select(F.col("n").alias("total")))
+    hot = sums.filter("context is not null").crossJoin(total).filter(F.col("n") * parts > F.col("total")).collect()
+    return sorted((r.context % 2**64, r.shorter % 2**64, r.length) for r in hot)
+
+
+class _Hot:
+    """The hot contexts as arrays, ascending by hash."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]) -> None:
+        self.key = np.array([r[0] for r in rows], dtype=np.uint64)
+        self.shorter = np.array([r[1] for r in rows], dtype=np.uint64)
+        self.length = np.array([r[2] for r in rows], dtype=np.int64)
+
+
+def _block_schema(order: int) -> str:
+    older = "".join(f", fan{k} array<int>, older{k} array<long>" for k in range(3, order + 1))
+    return f"part int, block long, context array<long>, word array<long>{older}, train array<int>, n array<int>, rows array<short>"
+
+
+def _blocks(hot_rows: list, parts: int, order: int):
+    """Rows (doc_id, text, train, at) to the arrays of each block; the rows of a block go along as part ``parts`` + x.
+
+    ``context`` and ``word`` are the distinct bigrams of a part; ``fan3`` the number of trigrams that end in
+    each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest.
+    """
+
+    def flush(name, held, hot):
         size = np.array([len(h) for _, _, h in held])
-        tokens = np.concatenate([h for _, _, h in held])
+        word, inverse = np.unique(np.concatenate([*(h for _, _, h in held), [START]]), return_inverse=True)
+        now = inverse[:-1].astype(np.int32)
         row = np.repeat(np.arange(len(held), dtype=np.int16), size)
-        word, inverse = np.unique(np.append(tokens, START), return_inverse=True)
-        now = inverse[:-1].astype(np.int64)
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        before[np.cumsum(size) - size] = inverse[-1]
-        own = _part(word, parts)
-        at = np.where(np.isin(word, hot)[before], own[now], own[before])
-        order = np.argsort((at * len(word) + before) * len(word) + now, kind="stable")
-        at, before, now, row = at[order], before[order], now[order], row[order]
-        first = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | (at[1:] != at[:-1]))))
+        before = [_previous(now, size, j, inverse[-1]) for j in range(1, order)]
+        context = word[before[0]]
+        place, still = context.copy(), np.isin(context, hot.key)
+        for older in before[1:]:
+            context = _longer(context, word[older])
+            place[still] = context[still]
+            still &= np.isin(context, hot.key)
+        place[still] = _longer(context[still], word[now[still]])
+        at = _part(place, parts)
+        del context, place, still
+        columns = [before[0], now, *before[1:]]
+        rank = np.lexsort((*reversed(columns), at))
+        at, row, columns = at[rank], row[rank], [c[rank] for c in columns]
         train = np.array([t for _, t, _ in held], dtype=np.int32)
-        kinds = np.searchsorted(at[first], np.arange(parts + 1))
-        refs = np.searchsorted(at, np.arange(parts + 1))
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array(np.arange(parts), pa.int32()),
-            "block": pa.array([name] * parts, pa.int64()),
-            "context": _lists(word[before[first]].view(np.int64), kinds),
-            "word": _lists(word[now[first]].view(np.int64), kinds),
-            "train": _lists(np.add.reduceat(train[row], first).astype(np.int32), kinds),
-            "n": _lists(np.diff(np.append(first, len(row))).astype(np.int32), kinds),
-            "rows": _lists(row, refs),
-        })
-        ids = pa.array([i for i, _, _ in held], pa.int64())
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([parts + int(name) % parts], pa.int32()),
-            "block": pa.array([name], pa.int64()),
-            "context": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), ids),
-            "word": _lists(size.astype(np.int64), np.array([0, len(held)])),
-            "train": _lists(train, np.array([0, len(held)])),
-            "n": pa.array([None], pa.list_(pa.int32())),
-            "rows": pa.array([None], pa.list_(pa.int16())),
-        })
+        here = at[_new(at)]
+        edges = np.append(here, parts)
+        new = _new(at, columns[0], columns[1])
+        first = np.flatnonzero(new)
+        cuts = np.searchsorted(at[first], edges)
+        out = {
+            "part": pa.array(here, pa.int32()),
+            "block": pa.array([name] * len(here), pa.int64()),
+            "context": _lists(word[columns[0][first]].view(np.int64), cuts),
+            "word": _lists(word[columns[1][first]].view(np.int64), cuts),
+        }
+        for k in range(3, order + 1):
+            new = new | _new(columns[k - 1])
+            longer = np.flatnonzero(new)
+            out[f"fan{k}"] = _lists(np.diff(np.searchsorted(longer, np.append(first, len(row)))).astype(np.int32), cuts)
+            cuts = np.searchsorted(at[longer], edges)
+            out[f"older{k}"] = _lists(word[columns[k - 1][longer]].view(np.int64), cuts)
+            first = longer
+        out["train"] = _lists(np.add.reduceat(train[row], first).astype(np.int32), cuts)
+        out["n"] = _lists(np.diff(np.append(first, len(row))).astype(np.int32), cuts)
+        out["rows"] = _lists(row, np.searchsorted(at, edges))
+        yield pa.RecordBatch.from_pydict(out)
+        head = {c: pa.array([None], a.type) for c, a in out.items()}
+        head["part"], head["block"] = pa.array([parts + int(name) % parts], pa.int32()), pa.array([name], pa.int64())
+        head["context"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array([i for i, _, _ in held], pa.int64()))
+        head["word"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
+        head["train"] = _lists(train, np.array([0, len(held)]))
+        yield pa.RecordBatch.from_pydict(head)
 
     def run(batches):
+        hot = _Hot(hot_rows)
         name, held, tokens = None, [], 0
-        for batch in batches:
+        for batch in (b.slice(i, HOT_ROWS) for b in batches for i in range(0, b.num_rows, HOT_ROWS)):
             for doc_id, text, train, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train", "at"))):
                 name = at if name is None else name
                 held.append((doc_id, train, np.append(word_hashes(text), END)))
                 tokens += len(held[-1][2])
                 if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_ROWS:
-                    yield from flush(name, held)
+                    yield from flush(name, held, hot)
                     name, held, tokens = None, [], 0
         if held:
-            yield from flush(name, held)
+            yield from flush(name, held, hot)
 
     return run
 
 
-class _Bigrams:
-    """The bigram table of one part: distinct (context, word) with training counts, and their places in the input."""
-
-    def __init__(self, table: pa.Table, hot: np.ndarray) -> None:
-        context, word = _flat(table.column("context")).view(np.uint64), _flat(table.column("word")).view(np.uint64)
-        order = np.lexsort((word, context))
-        context, word, train = context[order], word[order], _flat(table.column("train"))[order].astype(np.int64)
-        new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))[: len(order)]
-        first = np.flatnonzero(new)
-        self.place = np.empty(len(order), dtype=np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.context, self.word = context[first], word[first]
-        self.r = np.add.reduceat(train, first) if len(first) else train
-        self.hot = np.isin(self.context, hot)
-        self.head = np.flatnonzero(np.concatenate(([True], self.context[1:] != self.context[:-1]))[: len(first)])  # of each context
-        self.asked = np.unique(np.concatenate((self.word, self.context[self.head][self.hot[self.head]])))
+class _Level:
+    """The distinct n-grams of one length in a part."""
+
+    def __init__(self, context, word, r, parent, hot) -> None:
+        self.context, self.word, self.r = context, word, r  # hash of the words before the last, last word, training count
+        self.parent = parent  # place of the n-gram without its oldest word, one level down
+        self.hot = hot  # whether the context is hot
+
+
+class _Grams:
+    """The tables of one part: distinct n-grams of each length with training counts, and their places in the input."""
+
+    def __init__(self, table: pa.Table, hot: _Hot, order: int) -> None:
+        columns = [_flat(table.column(c)).view(np.uint64) for c in ("context", "word")]
+        for k in range(3, order + 1):
+            fan = _flat(table.column(f"fan{k}"))
+            columns = [np.repeat(c, fan) for c in columns] + [_flat(table.column(f"older{k}")).view(np.uint64)]
+        train = _flat(table.column("train")).astype(np.int64)
+        rank = np.lexsort(tuple(reversed(columns)))
+        columns, train = [c[rank] for c in columns], train[rank]
+        new, self.levels, parent = _new(columns[0]), [], None
+        for k in range(2, order + 1):
+            new = new | _new(columns[k - 1])
+            first = np.flatnonzero(new)
+            context = columns[0][first]
+            for older in columns[2:k]:
+                context = _longer(context, older[first])
+            r = np.add.reduceat(train, first)
+            self.levels.append(_Level(context, columns[1][first], r, None if parent is None else parent[first], np.isin(context, hot.key)))
+            parent = np.cumsum(new) - 1
+        self.place = np.empty(len(rank), dtype=np.int64)
+        self.place[rank] = parent
+        self.asked = np.unique(self.levels[0].word)
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words and their training counts here, ascending: as contexts; the end, never one, where it follows."""
+        low = self.levels[0]
+        head = np.flatnonzero(_new(low.context))
+        words = np.append(low.context[head], END)
+        counts = np.append(np.add.reduceat(low.r, head), low.r[low.word == END].sum())
+        keep = np.flatnonzero((counts > 0) & (words != START))
+        keep = keep[np.argsort(words[keep], kind="stable")]
+        return words[keep], counts[keep]
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """N-grams of hot contexts, by their last word: context, word, count here; and the places of each level's in them."""
+        context, word, r = (np.concatenate([getattr(x, c)[x.hot] for x in self.levels]) for c in ("context", "word", "r"))
+        rank = np.argsort(word, kind="stable")
+        place = np.empty(len(rank), dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        return context[rank], word[rank], r[rank], np.split(place, np.cumsum([int(x.hot.sum()) for x in self.levels])[:-1])
 
 
 def _classes(n: np.ndarray) -> np.ndarray:
@@ -172,80 +286,93 @@ def _class_sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return u[at // (K + 1)], at % (K + 1), total[at]
 
 
-def _ask(hot: np.ndarray, parts: int):
-    """A bigram part's message to each unigram part."""
+def _of_counts(r: np.ndarray) -> np.ndarray:
+    """Number of n-grams with each count up to K + 1."""
+    return np.bincount(r[r <= K + 1], minlength=K + 2)
+
+
+_SUMS = pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("total", pa.int64())]))
+_LONGS = pa.list_(pa.int64())
+_ASK = pa.schema([
+    ("to", pa.int32()), ("part", pa.int32()), ("asked", _LONGS), ("word", _LONGS), ("count", _LONGS),
+    ("hot", _LONGS), ("hot_word", _LONGS), ("hot_count", _LONGS), ("of_counts", _LONGS),
+])
+_EMPTY_ASK = _ASK.empty_table()
+_ASK_SQL = "to int, part int, asked array<long>, word array<long>, count array<long>, hot array<long>, hot_word array<long>, hot_count array<long>, of_counts array<long>"
+_ANSWER = pa.schema([("part", pa.int32()), ("from", pa.int32()), ("counts", _LONGS), ("hot_counts", _LONGS), ("of_counts", _LONGS), ("words", _LONGS), ("hot_sums", _SUMS)])
+_ANSWER_SQL = "part int, `from` int, counts array<long>, hot_counts array<long>, of_counts array<long>, words array<long>, hot_sums array<struct<key: long, kind: int, total: long>>"
+
+
+def _ask(hot_rows: list, parts: int, order: int):
+    """A part's message to each word part that it has words for, and to its own number."""
 
     def run(key, table):
         part = key[0].as_py()
         if part >= parts:
             return _EMPTY_ASK
-        big = _Bigrams(table, hot)
-        seen = big.r > 0
-        # Training counts of the words that are contexts here; the end is never one and is counted where it follows.
-        total = np.add.reduceat(big.r, big.head) if len(big.head) else big.r
-        words = np.append(big.context[big.head], END)
-        counts = np.append(total, big.r[big.word == END].sum())
-        keep = (counts > 0) & (words != START)
-        order = np.argsort(words[keep], kind="stable")
-        words, counts = words[keep][order], counts[keep][order]
-        hot_seen = big.hot & seen
-        edges = np.arange(parts + 1)
-        asked, told = np.searchsorted(_part(big.asked, parts), edges), np.searchsorted(_part(words, parts), edges)
-        follow, hot_key = big.word[hot_seen], big.context[hot_seen]
-        order = np.argsort(follow, kind="stable")
-        follow, hot_key = follow[order], hot_key[order]
-        pairs = np.searchsorted(_part(follow, parts), edges)
-        r_key, r_class, r_sum = _class_sums(big.context[big.hot], big.r[big.hot])
-        own = np.arange(parts) == part
+        big = _Grams(table, _Hot(hot_rows), order)
+        words, counts = big.told()
+        context, follow, r, _ = big.spread()
+        # Hot n-grams below the full length lie in several parts; the word parts count their counts.
+        of_counts = np.concatenate([_of_counts(x.r if k == order else x.r[~x.hot]) for k, x in enumerate(big.levels, 2)])
+        to = np.unique(np.concatenate((_part(big.asked, parts), _part(words, parts), [part])))
+        edges = np.append(to, parts)
+        asked, told, pairs = (np.searchsorted(_part(x, parts), edges) for x in (big.asked, words, follow))
         return pa.table({
-            "to": pa.array(np.arange(parts), pa.int32()),
-            "part": pa.array([part] * parts, pa.int32()),
+            "to": pa.array(to, pa.int32()),
+            "part": pa.array([part] * len(to), pa.int32()),
             "asked": _lists(big.asked.view(np.int64), asked),
             "word": _lists(words.view(np.int64), told),
             "count": _lists(counts, told),
-            "hot": _lists(hot_key.view(np.int64), pairs),
+            "hot": _lists(context.view(np.int64), pairs),
             "hot_word": _lists(follow.view(np.int64), pairs),
-            "of_counts": pa.array([np.bincount(big.r[big.r <= K + 1], minlength=K + 2) if o else None for o in own], pa.list_(pa.int64())),
-            "hot_sums": pa.array([[{"key": int(np.int64(k)), "kind": int(c), "total": int(s)} for k, c, s in zip(r_key.view(np.int64), r_class, r_sum)] if o else None for o in own], _SUMS),
+            "hot_count": _lists(r, pairs),
+            "of_counts": pa.array([of_counts if t == part else None for t in to], _LONGS),
         }, schema=_ASK)
 
     return run
 
 
-_SUMS = pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("total", pa.int64())]))
-_ASK = pa.schema([
-    ("to", pa.int32()), ("part", pa.int32()), ("asked", pa.list_(pa.int64())), ("word", pa.list_(pa.int64())), ("count", pa.list_(pa.int64())),
-    ("hot", pa.list_(pa.int64())), ("hot_word", pa.list_(pa.int64())), ("of_counts", pa.list_(pa.int64())), ("hot_sums", _SUMS),
-])
-_EMPTY_ASK = _ASK.empty_table()
-_ASK_SQL = "to int, part int, asked array<long>, word array<long>, count array<long>, hot array<long>, hot_word array<long>, of_counts array<long>, hot_sums array<struct<key: long, kind: int, total: long>>"
-_ANSWER_SQL = "part int, `from` int, counts array<long>, of_counts array<long>, words array<long>, hot_sums array<struct<key: long, kind: int, total: long>>"
-
+def _answer(hot_rows: list, order: int):
+    """A word part: the totals asked for, aligned with each question, and its share of the corpus figures."""
 
-def _answer(key, table):
-    """A unigram part: the counts asked for, aligned with each question, and its share of the corpus figures."""
-    word, place = np.unique(_flat(table.column("word")), return_inverse=True)
-    count = np.bincount(place, weights=_flat(table.column("count")), minlength=len(word)).astype(np.int64)
-
-    def look(x: np.ndarray) -> np.ndarray:
-        if not len(word):
-            return np.zeros(len(x), dtype=np.int64)
-        i = np.minimum(np.searchsorted(word, x), len(word) - 1)
-        return np.where(word[i] == x, count[i], 0)
+    def run(key, table):
+        hot = _Hot(hot_rows)
+        word, place = np.unique(_flat(table.column("word")), return_inverse=True)
+        count = np.bincount(place, weights=_flat(table.column("count")), minlength=len(word)).astype(np.int64)
+
+        def look(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(x), dtype=np.int64)
+            i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            return np.where(keys[i] == x, values[i], 0)
+
+        context, follow = _flat(table.column("hot")).view(np.uint64), _flat(table.column("hot_word")).view(np.uint64)
+        gram, first, place = np.unique(_longer(context, follow), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=_flat(table.column("hot_count")), minlength=len(gram)).astype(np.int64)
+        context, follow = context[first], follow[first]
+        which = np.searchsorted(hot.key, context)
+        length = hot.length[which]
+        shorter = np.where(length == 1, look(word, count, follow.view(np.int64)), look(gram, total, _longer(hot.shorter[which], follow)))
+        sums = []
+        for first_kind, n in ((0, total), (100, np.where(total > 0, shorter, 0))):  # kinds from 100 on: classes of the shorter n-gram
+            sums += [{"key": k, "kind": c + first_kind, "total": s} for k, c, s in zip(*(x.tolist() for x in _class_sums(context.view(np.int64), n)))]
+        of_hot = np.concatenate([_of_counts(total[length == k - 1]) if k < order else np.zeros(K + 2, np.int64) for k in range(2, order + 1)])
+        figures = [len(word), int(count.sum()), *_of_counts(count).tolist()]
+        edges = np.cumsum([0, *(len(x) for x in table["hot"].to_pylist())])
+        out = {c: [] for c in _ANSWER.names}
+        for i in range(table.num_rows):
+            own = table["of_counts"][i].as_py()
+            out["part"].append(table["part"][i].as_py())
+            out["from"].append(key[0].as_py())
+            out["counts"].append(look(word, count, table["asked"][i].values.to_numpy()))
+            out["hot_counts"].append(total[place[edges[i] : edges[i + 1]]])
+            out["of_counts"].append(of_hot * (i == 0) + np.array(own or [0] * len(of_hot), dtype=np.int64))
+            out["words"].append(figures if i == 0 else None)
+            out["hot_sums"].append(sums if i == 0 else [])
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), _ANSWER.types)}, schema=_ANSWER)
 
-    figures = [len(word), int(count.sum()), *np.bincount(count[count <= K + 1], minlength=K + 2).tolist()]
-    out = {"part": [], "from": [], "counts": [], "of_counts": [], "words": [], "hot_sums": []}
-    for i in range(table.num_rows):
-        key_, kind, total = _class_sums(table["hot"][i].values.to_numpy(), look(table["hot_word"][i].values.to_numpy()))
-        sums = [{"key": int(k), "kind": int(c) + 100, "total": int(s)} for k, c, s in zip(key_, kind, total)]  # kinds from 100 on: unigram classes
-        out["part"].append(table["part"][i].as_py())
-        out["from"].append(key[0].as_py())
-        out["counts"].append(look(table["asked"][i].values.to_numpy()))
-        out["of_counts"].append(table["of_counts"][i].as_py())
-        out["words"].append(figures if i == 0 else None)
-        out["hot_sums"].append(sums + (table["hot_sums"][i].as_py() or []))
-    types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), _SUMS)
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+    return run
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -275,55 +402,84 @@ class Unigrams:
     def __call__(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self.d[_classes(count)] * count / self.total, self.unknown)
 
-    def of_class_sums(self, kind: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return self.d[kind] * total / self.total
 
-
-def _evaluate(hot: np.ndarray, parts: int):
-    """Log probabilities of a part's bigrams, summed for each row of each block."""
-    types = (pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+class _Sums:
+    """Figures of the hot contexts over all parts, from their class sums."""
+
+    def __init__(self, hot: _Hot, rows: list[dict], d: list[np.ndarray], p: Unigrams) -> None:
+        own, low = np.zeros((2, len(hot.key), K + 1))
+        if rows:
+            key, kind, total = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("key", "kind", "total"))
+            at = np.searchsorted(hot.key, key.view(np.uint64))
+            own[at[kind < 100], kind[kind < 100]] = total[kind < 100]
+            low[at[kind >= 100], kind[kind >= 100] - 100] = total[kind >= 100]
+        self.key, self.held, self.kept = hot.key, own.sum(axis=1), np.zeros(len(hot.key))
+        self.shared = np.zeros(len(hot.key))
+        for length in range(1, len(d) + 1):
+            here = hot.length == length
+            self.kept[here] = own[here] @ d[length - 1]
+            if length == 1:
+                self.shared[here] = low[here] @ p.d / p.total
+            else:  # a context that was never trained has no shares, so its divisor does not matter
+                up = np.searchsorted(hot.key, hot.shorter[here])
+                self.shared[here] = low[here] @ d[length - 2] / np.maximum(self.held[up] + (self.kept[up] >= self.held[up]), 1)
+
+
+def _probabilities(big: _Grams, hot: _Hot, order: int, count: np.ndarray, hot_counts: np.ndarray, d: list, p: Unigrams, sums: _Sums):
+    """For each order from 2: P(w | h) of a part's n-grams, their counts, and its contexts with alpha."""
+    low, out = p(count), []
+    *_, place = big.spread()
+    for k, (level, hot_at) in enumerate(zip(big.levels, place), 2):
+        r = level.r.copy()
+        r[level.hot] = hot_counts[hot_at]
+        low = low if k == 2 else low[level.parent]
+        context, of = np.unique(level.context, return_inverse=True)
+        own = d[k - 2][_classes(r)] * r
+        held, kept, shared = (np.bincount(of, weights=x, minlength=len(context)) for x in (r, own, np.where(r > 0, low, 0.0)))
+        if len(hot.key):
+            at = np.minimum(np.searchsorted(hot.key, context), len(hot.key) - 1)
+            whole = hot.key[at] == context
+            held[whole], kept[whole], shared[whole] = sums.held[at[whole]], sums.kept[at[whole]], sums.shared[at[whole]]
+        scale = held + (kept >= held)  # one pseudo-count where nothing is discounted
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(held > 0, (1 - kept / scale) / (1 - shared), 1.0)
+            low = np.where(r > 0, own / scale[of], alpha[of] * low)
+        out.append((low, r, context, alpha))
+    return out
+
+
+def _known(big: _Grams, hot: _Hot, order: int, answers: pa.Table):
+    """Totals from the answers to a part: counts of its words, probabilities by order, words in all, distinct words."""
+    answers = answers.sort_by("from")
+    known, hot_counts = _flat(answers["counts"]), _flat(answers["hot_counts"])
+    figures = next(x for x in answers["figures"].to_pylist() if x)
+    n_words, total, *of_words = figures["words"]
+    p, d = Unigrams(total, of_words), [discounts(x) for x in np.array(figures["of_counts"]).reshape(order - 1, K + 2)]
+    count = known[np.searchsorted(big.asked, big.levels[0].word)]
+    levels = _probabilities(big, hot, order, count, hot_counts, d, p, _Sums(hot, figures["hot_sums"] or [], d, p))
+    return known, levels, total, n_words
+
+
+def _evaluate(hot_rows: list, parts: int, order: int):
+    """Log probabilities of a part's n-grams, summed for each row of each block."""
+    types = (pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), _LONGS, _LONGS, pa.list_(pa.int32()))
     names = ("block", "rows", "score", "base", "unknown", "total", "doc_ids", "tokens", "train")
 
     def run(key, table, answers):
-        part = key[0].as_py()
         out = {c: [] for c in names}
-        if part >= parts:
+        if key[0].as_py() >= parts:
             out = {c: [None] * table.num_rows for c in names} | {"block": table["block"], "doc_ids": table["context"], "tokens": table["word"], "train": table["train"]}
             return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, v), t in zip(out.items(), types)})
-        big = _Bigrams(table, hot)
-        answers = answers.sort_by("from")
-        known = _flat(answers["counts"])
-        figures = next(x for x in answers["figures"].to_pylist() if x)
-        total, n_words = figures["words"][1], figures["words"][0]
-        p, d = Unigrams(total, figures["words"][2:]), discounts(figures["of_counts"])
-        count = known[np.searchsorted(big.asked, big.word)]
-        low = p(count)
-        seen = big.r > 0
-        of = np.repeat(np.arange(len(big.head)), np.diff(np.append(big.head, len(big.word))))
-        held = np.bincount(of, weights=big.r, minlength=len(big.head))  # c(h)
-        kept = np.bincount(of, weights=d[_classes(big.r)] * big.r, minlength=len(big.head))
-        shared = np.bincount(of, weights=np.where(seen, low, 0.0), minlength=len(big.head))
-        sums = {}
-        for s in figures["hot_sums"] or []:
-            sums.setdefault(s["key"], []).append((s["kind"], s["total"]))
-        for i in np.flatnonzero(big.hot[big.head]):
-            kind, n = np.array(sums.get(int(big.context[big.head[i]].astype(np.int64)), np.empty((0, 2))), dtype=np.int64).reshape(-1, 2).T
-            big_kind = kind < 100
-            held[i] = n[big_kind].sum()
-            kept[i] = (d[kind[big_kind]] * n[big_kind]).sum()
-            shared[i] = p.of_class_sums(kind[~big_kind] - 100, n[~big_kind]).sum()
-        scale = held + (kept >= held)  # one pseudo-count where nothing is discounted
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(held > 0, (1 - kept / scale) / (1 - shared), 1.0)
-            logp = np.log10(np.where(seen, d[_classes(big.r)] * big.r / scale[of], alpha[of] * low))
-        base = np.log10((count + 1) / (total + n_words + 1))
+        hot = _Hot(hot_rows)
+        big = _Grams(table, hot, order)
+        known, levels, total, n_words = _known(big, hot, order, answers)
+        count = known[np.searchsorted(big.asked, big.levels[-1].word)]
+        logp, base = np.log10(levels[-1][0]), np.log10((count + 1) / (total + n_words + 1))
         start = 0
         for i in range(table.num_rows):
             n, rows = table["n"][i].values.to_numpy(), table["rows"][i].values.to_numpy()
             which = np.repeat(big.place[start : start + len(n)], n)
             start += len(n)
-            if not len(rows):
-                continue
             size = int(rows.max()) + 1
             here = np.flatnonzero(np.bincount(rows, minlength=size))
             out["block"].append(table["block"][i].as_py())
@@ -356,29 +512,33 @@ def _add_up(key, table):
     })
 
 
-def score_texts(docs: DataFrame, held_out) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text) by the model of the rows for which ``held_out`` is false.
-
-    One query: the blocks' arrays are shuffled to the bigram parts once and read there twice (questions,
-    evaluation).
-    """
-    parts = shuffle_parts(docs.sparkSession)
-    hot = hot_contexts(docs, parts)
+def _answered(docs: DataFrame, held_out, hot: list, parts: int, order: int):
+    """Blocks of ``docs`` grouped by part, and the answers to each part with the corpus figures on its own one."""
     rows = docs.select("doc_id", "text", (~held_out).alias("train"), F.monotonically_increasing_id().alias("at"))
-    blocks = rows.mapInArrow(
-        _blocks(hot, parts), "part int, block long, context array<long>, word array<long>, train array<int>, n array<int>, rows array<short>"
-    ).groupBy("part")
-    answers = blocks.applyInArrow(_ask(hot, parts), _ASK_SQL).groupBy("to").applyInArrow(_answer, _ANSWER_SQL)
+    blocks = rows.mapInArrow(_blocks(hot, parts, order), _block_schema(order)).groupBy("part")
+    answers = blocks.applyInArrow(_ask(hot, parts, order), _ASK_SQL).groupBy("to").applyInArrow(_answer(hot, order), _ANSWER_SQL)
     whole = answers.agg(
-        F.array(*[F.sum(F.element_at("of_counts", i + 1)) for i in range(K + 2)]).alias("of_counts"),
+        F.array(*[F.sum(F.element_at("of_counts", i + 1)) for i in range((order - 1) * (K + 2))]).alias("of_counts"),
         F.array(*[F.sum(F.element_at("words", i + 1)) for i in range(K + 4)]).alias("words"),
     )
     hot_sums = answers.select(F.inline("hot_sums")).groupBy("key", "kind").agg(F.sum("total").alias("total"))
-    hot_sums = hot_sums.agg(F.collect_list(F.struct("key", F.col("kind").cast("int").alias("kind"), "total")).alias("hot_sums"))  # at most 2 (K + 1) parts rows
-    figures = whole.crossJoin(hot_sums).select(F.lit(0).alias("from"), F.struct("of_counts", "words", "hot_sums").alias("figures"))
-    answers = answers.select("part", "from", "counts").join(F.broadcast(figures), "from", "left")
+    hot_sums = hot_sums.agg(F.collect_list(F.struct("key", F.col("kind").cast("int").alias("kind"), "total")).alias("hot_sums"))  # at most 2 (K + 1) rows a hot context
+    figures = whole.crossJoin(hot_sums).select(F.lit(True).alias("own"), F.struct("of_counts", "words", "hot_sums").alias("figures"))
+    answers = answers.select("part", "from", "counts", "hot_counts", (F.col("part") == F.col("from")).alias("own"))
+    return blocks, answers.join(F.broadcast(figures), "own", "left").drop("own")
+
+
+def score_texts(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
+    """Score every row of ``docs`` (doc_id, text) by the model of the rows for which ``held_out`` is false.
+
+    One query: the blocks' arrays are shuffled to the parts once and read there twice (questions,
+    evaluation). ``order`` is the length of the longest n-grams, 2 at least.
+    """
+    parts = parts_for(docs)
+    hot = hot_contexts(docs, parts, order)
+    blocks, answers = _answered(docs, held_out, hot, parts, order)
     sums = blocks.cogroup(answers.groupBy("part")).applyInArrow(
-        _evaluate(hot, parts),
+        _evaluate(hot, parts, order),
         "block long, rows array<short>, score array<double>, base array<double>, unknown array<int>, total long, doc_ids array<long>, tokens array<long>, train array<int>",
     )
     return sums.groupBy("block").applyInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

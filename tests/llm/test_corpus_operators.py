@@ -149,57 +149,88 @@ def test_hilbert_curve_steps_to_a_neighbouring_cell():
     assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
-def _katz(texts, train):
-    """Plain version: a function from a token list to its log10 probability, and the training counts."""
-    uni, pair, ctx, after = Counter(), Counter(), Counter(), defaultdict(set)
+def _turing(counts):
+    """Good-Turing: discounted count of every count from 1 on, from the counts of a counter's keys."""
+    of = Counter(counts.values())
+    rest = 6 * of[6] / of[1] if of[1] else 1.0
+
+    def kept(r):
+        if r > 5:
+            return float(r)
+        d = (((r + 1) * of[r + 1] / (r * of[r]) if of[r] else 0.0) - rest) / (1 - rest) if rest < 1 else 0.0
+        return r * d if 0 < d < 1 else r - 0.5
+
+    return kept
+
+
+def _katz(texts, train, order):
+    """Plain version, straight from the definition: P(w | h), the counts of words, log10 of a whole text."""
+    grams = [Counter() for _ in range(order + 1)]  # by length; n-grams are tuples
     for words, t in zip(texts, train):
-        if t:
-            uni.update(words)
-            for h, w in zip(["<s>", *words], words):
-                pair[h, w] += 1
-                ctx[h] += 1
-                after[h].add(w)
-    of = lambda c: np.array([0] + [sum(v == i for v in c.values()) for i in range(1, katz.K + 2)])
-    d1, d2 = katz.discounts(of(uni)), katz.discounts(of(pair))
-    low = katz.Unigrams(sum(uni.values()), of(uni))
-    p1 = lambda w: float(low(np.array([uni[w]]))[0])
-    disc = lambda d, r: (d[r] if r <= katz.K else 1.0) * r
-    mass = {h: sum(disc(d2, pair[h, w]) for w in ws) for h, ws in after.items()}
-    scale = {h: ctx[h] + (mass[h] >= ctx[h]) for h in ctx}
-    alpha = {h: (1 - mass[h] / scale[h]) / (1 - sum(map(p1, ws))) for h, ws in after.items()}
-
-    def p(h, w):
-        return disc(d2, pair[h, w]) / scale[h] if pair[h, w] else alpha.get(h, 1.0) * p1(w)
-
-    return (lambda words: sum(math.log10(p(h, w)) for h, w in zip(["<s>", *words], words))), uni, p, low
+        padded = ["<s>"] * (order - 1) + words
+        for i in range(order - 1, len(padded)) if t else ():
+            for k in range(1, order + 1):
+                grams[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    kept = [None, *(_turing(g) for g in grams[1:])]
+    after = defaultdict(list)
+    for g in grams[2:]:
+        for x in g:
+            after[x[:-1]].append(x[-1])
+    total = sum(grams[1].values())
+    free = sum(r - kept[1](r) for r in grams[1].values() if r <= 5)
+    total, free = (total, free) if free else (total + 1.0, 1.0)
+    divisor = {}
+
+    def p(w, h):
+        if not h:
+            r = grams[1][w,]
+            return kept[1](r) / total if r else free / total
+        r, shorter = grams[len(h) + 1][*h, w], h[1:]
+        if h not in after:
+            return p(w, shorter)
+        if h not in divisor:
+            of = [grams[len(h) + 1][*h, x] for x in after[h]]
+            own = sum(kept[len(h) + 1](n) for n in of)
+            s = sum(of) + (own >= sum(of))
+            divisor[h] = s, (1 - own / s) / (1 - sum(p(x, shorter) for x in after[h]))
+        s, alpha = divisor[h]
+        return kept[len(h) + 1](r) / s if r else alpha * p(w, shorter)
+
+    def score(words):
+        padded = ["<s>"] * (order - 1) + words
+        return sum(math.log10(p(padded[i], tuple(padded[i - order + 1 : i]))) for i in range(order - 1, len(padded)))
+
+    return p, Counter({w: n for (w,), n in grams[1].items()}), score
 
 
 def _tokens(text):
     return [*(text or "").encode().lower().split(), "</s>"]
 
 
-@pytest.mark.parametrize("parts", [3, 64])  # the commonest words are split by the word after them
-def test_katz_equals_plain_version(spark, docs, odd, parts):
+# Many parts: the commonest words and pairs of words (the start signs too) are spread over parts.
+@pytest.mark.parametrize("order, parts", [(2, 64), (3, 3), (3, 64), (3, 400), (4, 64)])
+def test_katz_equals_plain_version(spark, docs, odd, order, parts):
     rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        hot = katz.hot_contexts(rows, parts)
-        got = sorted(katz.score_texts(rows, held_out_fold("doc_id", 7)).collect(), key=repr)
+        hot = katz.hot_contexts(rows, parts, order)
+        got = sorted(katz.score_texts(rows, held_out_fold("doc_id", 7), order).collect(), key=repr)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert len(hot) > (parts == 64)
+    assert {length for _, _, length in hot} >= ({1} if order == 2 else {1, 2} if parts > 3 else set())
     found = rows.collect()
     texts = [_tokens(r.text) for r in found]
     train = [r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in found]
-    score, uni, p, low = _katz(texts, train)
+    p, uni, score = _katz(texts, train, order)
     n, v = sum(uni.values()), len(uni)
     want = sorted([(r.doc_id, len(t), sum(w in uni for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), score(t), not k) for r, t, k in zip(found, texts, train)], key=repr)
     got = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in got], key=repr)
     assert [x[:4] + x[6:] for x in got] == [x[:4] + x[6:] for x in want]
     assert all(a == pytest.approx(b, rel=1e-9) for x, y in zip(got, want) for a, b in zip(x[4:6], y[4:6]))
-    for h in ["<s>", b"the", b"nowhere"]:
-        assert sum(p(h, w) for w in uni) + p(h, "never seen") == pytest.approx(1.0, abs=1e-9)
+    long = max((t for t, k in zip(texts, train) if k), key=len)
+    for h in [("<s>",) * (order - 1), (b"the",), (b"nowhere",), *(tuple(long[i : i + k]) for k in range(1, order) for i in (0, 7, 20))]:
+        assert sum(p(w, h) for w in uni) + p("never seen", h) == pytest.approx(1.0, abs=1e-9)
 
 
 def test_katz_on_an_empty_table(spark, none):
