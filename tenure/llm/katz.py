@@ -32,15 +32,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.tables import shuffle_parts
+from tenure.llm.tables import shuffle_parts, staged
 from tenure.llm.words import mix, word_hashes
 
 ORDER = 3
 K = 5  # largest discounted count
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 BLOCK_ROWS = 32_000
 HOT_ROWS = 2_000
 PART_BYTES = 16 << 20  # of text for each part, about 3M tokens
@@ -128,6 +129,7 @@ def hot_contexts(docs: DataFrame, parts: int, order: int = ORDER) -> list[tuple[
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["context", "shorter", "length", "n"])
 
     sums = docs.select("text").mapInArrow(run, "context long, shorter long, length long, n long").groupBy("context", "shorter", "length").agg(F.sum("n").alias("n"))
+    sums = staged(sums, "katz-contexts")  # read twice below, so the texts are not
     total = F.broadcast(sums.filter("context is null").select(F.col("n").alias("total")))
     hot = sums.filter("context is not null").crossJoin(total).filter(F.col("n") * parts > F.col("total")).collect()
     return sorted((r.context % 2**64, r.shorter % 2**64, r.length) for r in hot)
@@ -143,15 +145,24 @@ class _Hot:
 
 
 def _block_schema(order: int) -> str:
-    older = "".join(f", fan{k} array<int>, older{k} array<long>" for k in range(3, order + 1))
-    return f"part int, block long, context array<long>, word array<long>{older}, train array<int>, n array<int>, rows array<short>"
+    older = "".join(f", fan{k} array<int>, older{k} array<short>, older{k}_high array<short>" for k in range(3, order + 1))
+    return f"part int, block long, dictionary array<long>, context array<long>, word array<short>, word_high array<short>{older}, train array<int>, n array<int>, rows array<short>"
+
+
+def _looked_up(table: pa.Table, name: str) -> np.ndarray:
+    """The hashes that a column's indexes mean: places in the dictionary of their row, as lower and upper 16 bits."""
+    low, high = _flat(table.column(name)).view(np.uint16), _flat(table.column(f"{name}_high"))
+    before = np.cumsum([0, *pc.list_value_length(table.column("dictionary")).to_pylist()])[:-1]
+    at = low + (high.astype(np.int64) << 16) + np.repeat(before, pc.list_value_length(table.column(name)).to_numpy())
+    return _flat(table.column("dictionary")).view(np.uint64)[at]
 
 
 def _blocks(hot_rows: list, parts: int, order: int):
     """Rows (doc_id, text, train, at) to the arrays of each block; the rows of a block go along as part ``parts`` + x.
 
     ``context`` and ``word`` are the distinct bigrams of a part; ``fan3`` the number of trigrams that end in
-    each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest.
+    each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest. Words
+    and older words are places in the part's ``dictionary`` of hashes.
     """
 
     def flush(name, held, hot):
@@ -173,32 +184,40 @@ def _blocks(hot_rows: list, parts: int, order: int):
         rank = np.lexsort((*reversed(columns), at))
         at, row, columns = at[rank], row[rank], [c[rank] for c in columns]
         train = np.array([t for _, t, _ in held], dtype=np.int32)
-        here = at[_new(at)]
-        edges = np.append(here, parts)
-        new = _new(at, columns[0], columns[1])
-        first = np.flatnonzero(new)
-        cuts = np.searchsorted(at[first], edges)
+        new = _new(at)
+        here, at = at[new], np.cumsum(new) - 1  # parts from 0 on, without those that have nothing here
+        edges = np.arange(len(here) + 1)
+        new = new | _new(columns[0], columns[1])
+        firsts = [np.flatnonzero(new)]
+        for k in range(3, order + 1):
+            new = new | _new(columns[k - 1])
+            firsts.append(np.flatnonzero(new))
+        cuts = [np.searchsorted(at[first], edges) for first in firsts]
+        used, index = np.unique(np.concatenate([at[first] * len(word) + columns[k][first] for k, first in enumerate(firsts, 1)]), return_inverse=True)
+        pages = np.searchsorted(used, edges * len(word))
+        index -= pages[np.concatenate([at[first] for first in firsts])]
+        index = np.split(index, np.cumsum([len(first) for first in firsts])[:-1])
+        low, high = ([(i >> shift).astype(np.uint16).view(np.int16) for i in index] for shift in (0, 16))
         out = {
             "part": pa.array(here, pa.int32()),
             "block": pa.array([name] * len(here), pa.int64()),
-            "context": _lists(word[columns[0][first]].view(np.int64), cuts),
-            "word": _lists(word[columns[1][first]].view(np.int64), cuts),
+            "dictionary": _lists(word[used % len(word)].view(np.int64), pages),
+            "context": _lists(word[columns[0][firsts[0]]].view(np.int64), cuts[0]),
+            "word": _lists(low[0], cuts[0]),
+            "word_high": _lists(high[0], cuts[0]),
         }
         for k in range(3, order + 1):
-            new = new | _new(columns[k - 1])
-            longer = np.flatnonzero(new)
-            out[f"fan{k}"] = _lists(np.diff(np.searchsorted(longer, np.append(first, len(row)))).astype(np.int32), cuts)
-            cuts = np.searchsorted(at[longer], edges)
-            out[f"older{k}"] = _lists(word[columns[k - 1][longer]].view(np.int64), cuts)
-            first = longer
-        out["train"] = _lists(np.add.reduceat(train[row], first).astype(np.int32), cuts)
-        out["n"] = _lists(np.diff(np.append(first, len(row))).astype(np.int32), cuts)
+            fan = np.diff(np.searchsorted(firsts[k - 2], np.append(firsts[k - 3], len(row))))
+            out[f"fan{k}"] = _lists(fan.astype(np.int32), cuts[k - 3])
+            out[f"older{k}"], out[f"older{k}_high"] = _lists(low[k - 2], cuts[k - 2]), _lists(high[k - 2], cuts[k - 2])
+        out["train"] = _lists(np.add.reduceat(train[row], firsts[-1]).astype(np.int32), cuts[-1])
+        out["n"] = _lists(np.diff(np.append(firsts[-1], len(row))).astype(np.int32), cuts[-1])
         out["rows"] = _lists(row, np.searchsorted(at, edges))
         yield pa.RecordBatch.from_pydict(out)
         head = {c: pa.array([None], a.type) for c, a in out.items()}
         head["part"], head["block"] = pa.array([parts + int(name) % parts], pa.int32()), pa.array([name], pa.int64())
         head["context"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array([i for i, _, _ in held], pa.int64()))
-        head["word"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
+        head["dictionary"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
         head["train"] = _lists(train, np.array([0, len(held)]))
         yield pa.RecordBatch.from_pydict(head)
 
@@ -232,13 +251,15 @@ class _Grams:
     """The tables of one part: distinct n-grams of each length with training counts, and their places in the input."""
 
     def __init__(self, table: pa.Table, hot: _Hot, order: int) -> None:
-        columns = [_flat(table.column(c)).view(np.uint64) for c in ("context", "word")]
+        columns = [_flat(table.column("context")).view(np.uint64), _looked_up(table, "word")]
         for k in range(3, order + 1):
             fan = _flat(table.column(f"fan{k}"))
-            columns = [np.repeat(c, fan) for c in columns] + [_flat(table.column(f"older{k}")).view(np.uint64)]
-        train = _flat(table.column("train")).astype(np.int64)
+            columns = [np.repeat(c, fan) for c in columns] + [_looked_up(table, f"older{k}")]
+        train = _flat(table.column("train"))
         rank = np.lexsort(tuple(reversed(columns)))
-        columns, train = [c[rank] for c in columns], train[rank]
+        for k in range(order):
+            columns[k] = columns[k][rank]
+        train = train[rank]
         new, self.levels, parent = _new(columns[0]), [], None
         for k in range(2, order + 1):
             new = new | _new(columns[k - 1])
@@ -246,7 +267,7 @@ class _Grams:
             context = columns[0][first]
             for older in columns[2:k]:
                 context = _longer(context, older[first])
-            r = np.add.reduceat(train, first)
+            r = np.add.reduceat(train, first, dtype=np.int64)
             self.levels.append(_Level(context, columns[1][first], r, None if parent is None else parent[first], np.isin(context, hot.key)))
             parent = np.cumsum(new) - 1
         self.place = np.empty(len(rank), dtype=np.int64)
@@ -468,7 +489,7 @@ def _evaluate(hot_rows: list, parts: int, order: int):
     def run(key, table, answers):
         out = {c: [] for c in names}
         if key[0].as_py() >= parts:
-            out = {c: [None] * table.num_rows for c in names} | {"block": table["block"], "doc_ids": table["context"], "tokens": table["word"], "train": table["train"]}
+            out = {c: [None] * table.num_rows for c in names} | {"block": table["block"], "doc_ids": table["context"], "tokens": table["dictionary"], "train": table["train"]}
             return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, v), t in zip(out.items(), types)})
         hot = _Hot(hot_rows)
         big = _Grams(table, hot, order)
