@@ -241,8 +241,8 @@ def _blocks(hot_rows: list, parts: int, order: int):
 class _Level:
     """The distinct n-grams of one length in a part."""
 
-    def __init__(self, context, word, r, parent, hot) -> None:
-        self.context, self.word, self.r = context, word, r  # hash of the words before the last, last word, training count
+    def __init__(self, context, r, parent, hot) -> None:
+        self.context, self.r = context, r  # hash of the words before the last, training count
         self.parent = parent  # place of the n-gram without its oldest word, one level down
         self.hot = hot  # whether the context is hot
 
@@ -261,6 +261,7 @@ class _Grams:
             columns[k] = columns[k][rank]
         train = train[rank]
         new, self.levels, parent = _new(columns[0]), [], None
+        self.word = columns[1][np.flatnonzero(new | _new(columns[1]))]  # last word of each bigram
         for k in range(2, order + 1):
             new = new | _new(columns[k - 1])
             first = np.flatnonzero(new)
@@ -268,25 +269,32 @@ class _Grams:
             for older in columns[2:k]:
                 context = _longer(context, older[first])
             r = np.add.reduceat(train, first, dtype=np.int64)
-            self.levels.append(_Level(context, columns[1][first], r, None if parent is None else parent[first], np.isin(context, hot.key)))
-            parent = np.cumsum(new) - 1
-        self.place = np.empty(len(rank), dtype=np.int64)
+            self.levels.append(_Level(context, r, None if parent is None else parent[first], np.isin(context, hot.key)))
+            parent = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.place = np.empty(len(rank), dtype=np.int32)
         self.place[rank] = parent
-        self.asked = np.unique(self.levels[0].word)
+        self.asked = np.unique(self.word)
+
+    def bigrams(self, k: int, places: np.ndarray) -> np.ndarray:
+        """Places of the bigrams that n-grams of length k at ``places`` end in."""
+        for level in self.levels[k - 2 : 0 : -1]:
+            places = level.parent[places]
+        return places
 
     def told(self) -> tuple[np.ndarray, np.ndarray]:
         """Words and their training counts here, ascending: as contexts; the end, never one, where it follows."""
         low = self.levels[0]
         head = np.flatnonzero(_new(low.context))
         words = np.append(low.context[head], END)
-        counts = np.append(np.add.reduceat(low.r, head), low.r[low.word == END].sum())
+        counts = np.append(np.add.reduceat(low.r, head), low.r[self.word == END].sum())
         keep = np.flatnonzero((counts > 0) & (words != START))
         keep = keep[np.argsort(words[keep], kind="stable")]
         return words[keep], counts[keep]
 
     def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """N-grams of hot contexts, by their last word: context, word, count here; and the places of each level's in them."""
-        context, word, r = (np.concatenate([getattr(x, c)[x.hot] for x in self.levels]) for c in ("context", "word", "r"))
+        context, r = (np.concatenate([getattr(x, c)[x.hot] for x in self.levels]) for c in ("context", "r"))
+        word = self.word[np.concatenate([self.bigrams(k, np.flatnonzero(x.hot)) for k, x in enumerate(self.levels, 2)])]
         rank = np.argsort(word, kind="stable")
         place = np.empty(len(rank), dtype=np.int64)
         place[rank] = np.arange(len(rank))
@@ -446,39 +454,31 @@ class _Sums:
                 self.shared[here] = low[here] @ d[length - 2] / np.maximum(self.held[up] + (self.kept[up] >= self.held[up]), 1)
 
 
-def _probabilities(big: _Grams, hot: _Hot, order: int, count: np.ndarray, hot_counts: np.ndarray, d: list, p: Unigrams, sums: _Sums):
-    """For each order from 2: P(w | h) of a part's n-grams, their counts, and its contexts with alpha."""
-    low, out = p(count), []
+def _probabilities(big: _Grams, hot: _Hot, count: np.ndarray, hot_counts: np.ndarray, d: list, p: Unigrams, sums: _Sums) -> np.ndarray:
+    """P(w | h) of a part's longest n-grams, order by order; each level is let go when the next is done."""
+    low = p(count)
     *_, place = big.spread()
     for k, (level, hot_at) in enumerate(zip(big.levels, place), 2):
-        r = level.r.copy()
+        r, level.r = level.r, None
         r[level.hot] = hot_counts[hot_at]
         low = low if k == 2 else low[level.parent]
         context, of = np.unique(level.context, return_inverse=True)
+        level.context, of = None, of.astype(np.int32)
         own = d[k - 2][_classes(r)] * r
         held, kept, shared = (np.bincount(of, weights=x, minlength=len(context)) for x in (r, own, np.where(r > 0, low, 0.0)))
         if len(hot.key):
             at = np.minimum(np.searchsorted(hot.key, context), len(hot.key) - 1)
             whole = hot.key[at] == context
             held[whole], kept[whole], shared[whole] = sums.held[at[whole]], sums.kept[at[whole]], sums.shared[at[whole]]
+        del context
         scale = held + (kept >= held)  # one pseudo-count where nothing is discounted
         with np.errstate(divide="ignore", invalid="ignore"):
             alpha = np.where(held > 0, (1 - kept / scale) / (1 - shared), 1.0)
-            low = np.where(r > 0, own / scale[of], alpha[of] * low)
-        out.append((low, r, context, alpha))
-    return out
-
-
-def _known(big: _Grams, hot: _Hot, order: int, answers: pa.Table):
-    """Totals from the answers to a part: counts of its words, probabilities by order, words in all, distinct words."""
-    answers = answers.sort_by("from")
-    known, hot_counts = _flat(answers["counts"]), _flat(answers["hot_counts"])
-    figures = next(x for x in answers["figures"].to_pylist() if x)
-    n_words, total, *of_words = figures["words"]
-    p, d = Unigrams(total, of_words), [discounts(x) for x in np.array(figures["of_counts"]).reshape(order - 1, K + 2)]
-    count = known[np.searchsorted(big.asked, big.levels[0].word)]
-    levels = _probabilities(big, hot, order, count, hot_counts, d, p, _Sums(hot, figures["hot_sums"] or [], d, p))
-    return known, levels, total, n_words
+            del held, kept, shared
+            low *= alpha[of]
+            own /= scale[of]
+        low = np.where(r > 0, own, low)
+    return low
 
 
 def _evaluate(hot_rows: list, parts: int, order: int):
@@ -493,9 +493,15 @@ def _evaluate(hot_rows: list, parts: int, order: int):
             return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, v), t in zip(out.items(), types)})
         hot = _Hot(hot_rows)
         big = _Grams(table, hot, order)
-        known, levels, total, n_words = _known(big, hot, order, answers)
-        count = known[np.searchsorted(big.asked, big.levels[-1].word)]
-        logp, base = np.log10(levels[-1][0]), np.log10((count + 1) / (total + n_words + 1))
+        answers = answers.sort_by("from")
+        figures = next(x for x in answers["figures"].to_pylist() if x)
+        n_words, total, *of_words = figures["words"]
+        p, d = Unigrams(total, of_words), [discounts(x) for x in np.array(figures["of_counts"]).reshape(order - 1, K + 2)]
+        count = _flat(answers["counts"])[np.searchsorted(big.asked, big.word)]
+        bigram = big.bigrams(order, np.arange(len(big.levels[-1].r), dtype=np.int32))
+        logp = np.log10(_probabilities(big, hot, count, _flat(answers["hot_counts"]), d, p, _Sums(hot, figures["hot_sums"] or [], d, p)))
+        count = count[bigram]
+        base = np.log10((count + 1) / (total + n_words + 1))
         start = 0
         for i in range(table.num_rows):
             n, rows = table["n"][i].values.to_numpy(), table["rows"][i].values.to_numpy()
