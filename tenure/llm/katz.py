@@ -15,7 +15,7 @@ sums to 1. An unseen context backs off with alpha = 1.
 
 How it runs. A block is about ``BLOCK_TOKENS`` tokens of consecutive rows. For each block the
 distinct n-grams with their training counts and the rows they occur in go, as arrays, to tables
-partitioned by the hash of the word before w. So n-grams, their contexts and all shorter n-grams and
+partitioned by the hash of the word before w; the arrays are compressed (``_pack``). So n-grams, their contexts and all shorter n-grams and
 contexts that back them off meet in one part, and the recursion needs only P(w) from elsewhere. A context
 that makes up more than the share of an average part ("hot") is spread by the word before it, and a hot one
 of full length by w. Word counts, and the n-grams of hot contexts, are put together in tables partitioned
@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +44,7 @@ BLOCK_TOKENS = 2_000_000
 BLOCK_ROWS = 32_000
 HOT_ROWS = 2_000
 PART_BYTES = 16 << 20  # of text for each part, about 3M tokens
+SLICE = 1 << 16
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -58,6 +58,54 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values))
 
 
+def _pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed bytes: all lowest bytes, then all second ones and so on, so small numbers take little.
+
+    rising: the values ascend, and their differences are kept.
+    """
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b"")
+
+
+def _unpack(packed: bytes, dtype, rising: bool = False) -> np.ndarray:
+    """The array of ``_pack``."""
+    size, n = np.dtype(dtype).itemsize, int.from_bytes(packed[:8], "little")
+    if not n:
+        return np.empty(0, dtype=dtype)
+    planes = np.frombuffer(pa.decompress(packed[8:], n * size, "zstd"), dtype=np.uint8).reshape(size, n)
+    values = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
+    return np.cumsum(values, dtype=dtype) if rising else values
+
+
+def _packs(values: np.ndarray, edges: np.ndarray, rising: bool = False) -> pa.Array:
+    """values[edges[i]:edges[i + 1]], packed each."""
+    return pa.array([_pack(values[i:j], rising) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
+
+
+def _unpacks(column, dtype, rising: bool = False) -> list[np.ndarray]:
+    return [_unpack(x, dtype, rising) for x in column.to_pylist()]
+
+
+def _rank(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Places of the rows in ascending order of the columns, first column first; column i has values below sizes[i].
+
+    The columns are joined to as few 64-bit keys as hold them.
+    """
+    keys, room = [], 0
+    for column, size in zip(columns, sizes):
+        bits = max(1, int(size - 1).bit_length())
+        if bits > room:
+            keys.append(column.astype(np.uint64))
+            room = 64
+        else:
+            keys[-1] <<= np.uint64(bits)
+            keys[-1] |= column.astype(np.uint64)
+        room -= bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _flat(column) -> np.ndarray:
     """All values of a list column (an Arrow chunked array), in order; lists may be null."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
@@ -75,7 +123,10 @@ def _previous(tokens: np.ndarray, size: np.ndarray, back: int, start) -> np.ndar
 
 def _longer(context: np.ndarray, older: np.ndarray) -> np.ndarray:
     """Hash of a context with one more word before it."""
-    return mix(context) + older
+    out = older.copy()
+    for i in range(0, len(out), SLICE):  # mixing needs several arrays of its input's size
+        out[i : i + SLICE] += mix(context[i : i + SLICE])
+    return out
 
 
 def _new(*columns: np.ndarray) -> np.ndarray:
@@ -87,6 +138,17 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the place of each value in them, with less memory than ``np.unique``."""
+    rank = np.argsort(values)
+    values = values[rank]
+    new = _new(values)
+    values = values[new]
+    place = np.empty(len(rank), dtype=np.int32)
+    place[rank] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values, place
+
+
 def parts_for(docs: DataFrame) -> int:
     """Parts of the tables: one for each ``PART_BYTES`` of text, the session's shuffle width at least."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -143,45 +205,45 @@ class _Hot:
         self.shorter = np.array([r[1] for r in rows], dtype=np.uint64)
         self.length = np.array([r[2] for r in rows], dtype=np.int64)
 
+    def has(self, context: np.ndarray) -> np.ndarray:
+        """True where a hash is a hot context's."""
+        out = np.zeros(len(context), dtype=bool)
+        for i in range(0, len(context) if len(self.key) else 0, SLICE):
+            some = context[i : i + SLICE]
+            out[i : i + SLICE] = self.key[np.minimum(np.searchsorted(self.key, some), len(self.key) - 1)] == some
+        return out
 
-def _block_schema(order: int) -> str:
-    older = "".join(f", fan{k} array<int>, older{k} array<short>, older{k}_high array<short>" for k in range(3, order + 1))
-    return f"part int, block long, dictionary array<long>, context array<long>, word array<short>, word_high array<short>{older}, train array<int>, n array<int>, rows array<short>"
 
-
-def _looked_up(table: pa.Table, name: str) -> np.ndarray:
-    """The hashes that a column's indexes mean: places in the dictionary of their row, as lower and upper 16 bits."""
-    low, high = _flat(table.column(name)).view(np.uint16), _flat(table.column(f"{name}_high"))
-    before = np.cumsum([0, *pc.list_value_length(table.column("dictionary")).to_pylist()])[:-1]
-    at = low + (high.astype(np.int64) << 16) + np.repeat(before, pc.list_value_length(table.column(name)).to_numpy())
-    return _flat(table.column("dictionary")).view(np.uint64)[at]
+def _block_schema(order: int) -> str:
+    older = "".join(f", fan{k} binary, older{k} binary" for k in range(3, order + 1))
+    return f"part int, block long, dictionary binary, context binary, word binary{older}, train binary, n binary, rows binary, doc_ids array<long>, tokens array<long>, trained array<int>"
 
 
 def _blocks(hot_rows: list, parts: int, order: int):
     """Rows (doc_id, text, train, at) to the arrays of each block; the rows of a block go along as part ``parts`` + x.
 
     ``context`` and ``word`` are the distinct bigrams of a part; ``fan3`` the number of trigrams that end in
-    each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest. Words
-    and older words are places in the part's ``dictionary`` of hashes.
+    each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest. Contexts, words
+    and older words are places in the part's ``dictionary`` of hashes. All of these are packed.
     """
 
     def flush(name, held, hot):
         size = np.array([len(h) for _, _, h in held])
-        word, inverse = np.unique(np.concatenate([*(h for _, _, h in held), [START]]), return_inverse=True)
-        now = inverse[:-1].astype(np.int32)
+        word, inverse = _grouped(np.concatenate([*(h for _, _, h in held), [START]]))
+        now = inverse[:-1]
         row = np.repeat(np.arange(len(held), dtype=np.int16), size)
         before = [_previous(now, size, j, inverse[-1]) for j in range(1, order)]
         context = word[before[0]]
-        place, still = context.copy(), np.isin(context, hot.key)
+        place, still = context.copy(), hot.has(word)[before[0]]
         for older in before[1:]:
             context = _longer(context, word[older])
             place[still] = context[still]
-            still &= np.isin(context, hot.key)
+            still &= hot.has(context)
         place[still] = _longer(context[still], word[now[still]])
         at = _part(place, parts)
         del context, place, still
         columns = [before[0], now, *before[1:]]
-        rank = np.lexsort((*reversed(columns), at))
+        rank = _rank([at, *columns], [parts, *[len(word)] * order])
         at, row, columns = at[rank], row[rank], [c[rank] for c in columns]
         train = np.array([t for _, t, _ in held], dtype=np.int32)
         new = _new(at)
@@ -193,32 +255,32 @@ def _blocks(hot_rows: list, parts: int, order: int):
             new = new | _new(columns[k - 1])
             firsts.append(np.flatnonzero(new))
         cuts = [np.searchsorted(at[first], edges) for first in firsts]
-        used, index = np.unique(np.concatenate([at[first] * len(word) + columns[k][first] for k, first in enumerate(firsts, 1)]), return_inverse=True)
+        named = [firsts[0], *firsts]  # contexts, words, older words
+        used, index = _grouped(np.concatenate([at[first] * len(word) + columns[k][first] for k, first in enumerate(named)]))
         pages = np.searchsorted(used, edges * len(word))
-        index -= pages[np.concatenate([at[first] for first in firsts])]
-        index = np.split(index, np.cumsum([len(first) for first in firsts])[:-1])
-        low, high = ([(i >> shift).astype(np.uint16).view(np.int16) for i in index] for shift in (0, 16))
+        index -= pages.astype(np.int32)[np.concatenate([at[first] for first in named])]
+        context, *index = np.split(index.astype(np.uint32), np.cumsum([len(first) for first in named])[:-1])
         out = {
             "part": pa.array(here, pa.int32()),
             "block": pa.array([name] * len(here), pa.int64()),
-            "dictionary": _lists(word[used % len(word)].view(np.int64), pages),
-            "context": _lists(word[columns[0][firsts[0]]].view(np.int64), cuts[0]),
-            "word": _lists(low[0], cuts[0]),
-            "word_high": _lists(high[0], cuts[0]),
+            "dictionary": _packs(word[used % len(word)], pages, rising=True),
+            "context": _packs(context, cuts[0], rising=True),
+            "word": _packs(index[0], cuts[0]),
         }
         for k in range(3, order + 1):
             fan = np.diff(np.searchsorted(firsts[k - 2], np.append(firsts[k - 3], len(row))))
-            out[f"fan{k}"] = _lists(fan.astype(np.int32), cuts[k - 3])
-            out[f"older{k}"], out[f"older{k}_high"] = _lists(low[k - 2], cuts[k - 2]), _lists(high[k - 2], cuts[k - 2])
-        out["train"] = _lists(np.add.reduceat(train[row], firsts[-1]).astype(np.int32), cuts[-1])
-        out["n"] = _lists(np.diff(np.append(firsts[-1], len(row))).astype(np.int32), cuts[-1])
-        out["rows"] = _lists(row, np.searchsorted(at, edges))
+            out[f"fan{k}"] = _packs(fan.astype(np.int32), cuts[k - 3])
+            out[f"older{k}"] = _packs(index[k - 2], cuts[k - 2])
+        out["train"] = _packs(np.add.reduceat(train[row], firsts[-1]).astype(np.int32), cuts[-1])
+        out["n"] = _packs(np.diff(np.append(firsts[-1], len(row))).astype(np.int32), cuts[-1])
+        out["rows"] = _packs(row, np.searchsorted(at, edges))
+        out |= {c: pa.array([None] * len(here), t) for c, t in (("doc_ids", _LONGS), ("tokens", _LONGS), ("trained", pa.list_(pa.int32())))}
         yield pa.RecordBatch.from_pydict(out)
         head = {c: pa.array([None], a.type) for c, a in out.items()}
         head["part"], head["block"] = pa.array([parts + int(name) % parts], pa.int32()), pa.array([name], pa.int64())
-        head["context"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array([i for i, _, _ in held], pa.int64()))
-        head["dictionary"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
-        head["train"] = _lists(train, np.array([0, len(held)]))
+        head["doc_ids"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array([i for i, _, _ in held], pa.int64()))
+        head["tokens"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
+        head["trained"] = _lists(train, np.array([0, len(held)]))
         yield pa.RecordBatch.from_pydict(head)
 
     def run(batches):
@@ -246,30 +308,44 @@ class _Level:
         self.parent = parent  # place of the n-gram without its oldest word, one level down
         self.hot = hot  # whether the context is hot
 
+    def taken(self) -> np.ndarray:
+        """The contexts, no longer held here."""
+        context, self.context = self.context, None
+        return context
+
 
 class _Grams:
     """The tables of one part: distinct n-grams of each length with training counts, and their places in the input."""
 
     def __init__(self, table: pa.Table, hot: _Hot, order: int) -> None:
-        columns = [_flat(table.column("context")).view(np.uint64), _looked_up(table, "word")]
+        pages = _unpacks(table.column("dictionary"), np.uint64, rising=True)
+        words, index = _grouped(np.concatenate(pages))  # ascending, so places sort like hashes
+        pages = np.split(index, np.cumsum([len(x) for x in pages])[:-1])
+
+        def looked_up(name: str, rising: bool = False) -> np.ndarray:
+            return np.concatenate([page[x] for page, x in zip(pages, _unpacks(table.column(name), np.uint32, rising))])
+
+        columns = [looked_up("context", rising=True), looked_up("word")]
         for k in range(3, order + 1):
-            fan = _flat(table.column(f"fan{k}"))
-            columns = [np.repeat(c, fan) for c in columns] + [_looked_up(table, f"older{k}")]
-        train = _flat(table.column("train"))
-        rank = np.lexsort(tuple(reversed(columns)))
+            fan = np.concatenate(_unpacks(table.column(f"fan{k}"), np.int32))
+            columns = [np.repeat(c, fan) for c in columns] + [looked_up(f"older{k}")]
+        train = np.concatenate(_unpacks(table.column("train"), np.int32))
+        del pages, index
+        rank = _rank(columns, [len(words)] * order).astype(np.int32)
         for k in range(order):
             columns[k] = columns[k][rank]
         train = train[rank]
         new, self.levels, parent = _new(columns[0]), [], None
-        self.word = columns[1][np.flatnonzero(new | _new(columns[1]))]  # last word of each bigram
+        self.word = words[columns[1][np.flatnonzero(new | _new(columns[1]))]]  # last word of each bigram
         for k in range(2, order + 1):
             new = new | _new(columns[k - 1])
-            first = np.flatnonzero(new)
-            context = columns[0][first]
+            first = np.flatnonzero(new).astype(np.int32)
+            context = words[columns[0][first]]
             for older in columns[2:k]:
-                context = _longer(context, older[first])
+                context = _longer(context, words[older[first]])
             r = np.add.reduceat(train, first, dtype=np.int64)
-            self.levels.append(_Level(context, r, None if parent is None else parent[first], np.isin(context, hot.key)))
+            self.levels.append(_Level(context, r, None if parent is None else parent[first], hot.has(context)))
+            del context, r, first
             parent = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.place = np.empty(len(rank), dtype=np.int32)
         self.place[rank] = parent
@@ -462,8 +538,7 @@ def _probabilities(big: _Grams, hot: _Hot, count: np.ndarray, hot_counts: np.nda
         r, level.r = level.r, None
         r[level.hot] = hot_counts[hot_at]
         low = low if k == 2 else low[level.parent]
-        context, of = np.unique(level.context, return_inverse=True)
-        level.context, of = None, of.astype(np.int32)
+        context, of = _grouped(level.taken())
         own = d[k - 2][_classes(r)] * r
         held, kept, shared = (np.bincount(of, weights=x, minlength=len(context)) for x in (r, own, np.where(r > 0, low, 0.0)))
         if len(hot.key):
@@ -483,13 +558,13 @@ def _probabilities(big: _Grams, hot: _Hot, count: np.ndarray, hot_counts: np.nda
 
 def _evaluate(hot_rows: list, parts: int, order: int):
     """Log probabilities of a part's n-grams, summed for each row of each block."""
-    types = (pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int64(), _LONGS, _LONGS, pa.list_(pa.int32()))
-    names = ("block", "rows", "score", "base", "unknown", "total", "doc_ids", "tokens", "train")
+    types = (pa.int64(), *[pa.binary()] * 4, pa.int64(), _LONGS, _LONGS, pa.list_(pa.int32()))
+    names = ("block", "rows", "score", "base", "unknown", "total", "doc_ids", "tokens", "trained")
 
     def run(key, table, answers):
         out = {c: [] for c in names}
         if key[0].as_py() >= parts:
-            out = {c: [None] * table.num_rows for c in names} | {"block": table["block"], "doc_ids": table["context"], "tokens": table["dictionary"], "train": table["train"]}
+            out = {c: [None] * table.num_rows for c in names} | {c: table[c] for c in ("block", "doc_ids", "tokens", "trained")}
             return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, v), t in zip(out.items(), types)})
         hot = _Hot(hot_rows)
         big = _Grams(table, hot, order)
@@ -504,18 +579,18 @@ def _evaluate(hot_rows: list, parts: int, order: int):
         base = np.log10((count + 1) / (total + n_words + 1))
         start = 0
         for i in range(table.num_rows):
-            n, rows = table["n"][i].values.to_numpy(), table["rows"][i].values.to_numpy()
+            n, rows = _unpack(table["n"][i].as_py(), np.int32), _unpack(table["rows"][i].as_py(), np.int16)
             which = np.repeat(big.place[start : start + len(n)], n)
             start += len(n)
             size = int(rows.max()) + 1
             here = np.flatnonzero(np.bincount(rows, minlength=size))
             out["block"].append(table["block"][i].as_py())
-            out["rows"].append(here.astype(np.int16))
-            out["score"].append(np.bincount(rows, weights=logp[which], minlength=size)[here])
-            out["base"].append(np.bincount(rows, weights=base[which], minlength=size)[here])
-            out["unknown"].append(np.bincount(rows, weights=count[which] == 0, minlength=size)[here].astype(np.int32))
+            out["rows"].append(_pack(here.astype(np.int16), rising=True))
+            out["score"].append(_pack(np.bincount(rows, weights=logp[which], minlength=size)[here]))
+            out["base"].append(_pack(np.bincount(rows, weights=base[which], minlength=size)[here]))
+            out["unknown"].append(_pack(np.bincount(rows, weights=count[which] == 0, minlength=size)[here].astype(np.int32)))
             out["total"].append(total)
-        out |= {c: [None] * len(out["block"]) for c in ("doc_ids", "tokens", "train")}
+        out |= {c: [None] * len(out["block"]) for c in ("doc_ids", "tokens", "trained")}
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
     return run
@@ -528,13 +603,13 @@ def _add_up(key, table):
     score, base, unknown, total = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), dtype=np.int64), 0
     for i in range(table.num_rows):
         if i != head:
-            rows = table["rows"][i].values.to_numpy()
-            score[rows] += table["score"][i].values.to_numpy()
-            base[rows] += table["base"][i].values.to_numpy()
-            unknown[rows] += table["unknown"][i].values.to_numpy()
+            rows = _unpack(table["rows"][i].as_py(), np.int16, rising=True)
+            score[rows] += _unpack(table["score"][i].as_py(), np.float64)
+            base[rows] += _unpack(table["base"][i].as_py(), np.float64)
+            unknown[rows] += _unpack(table["unknown"][i].as_py(), np.int32)
             total = table["total"][i].as_py()
     return pa.table({
-        "doc_id": table["doc_ids"][head].values, "held_out": pa.array([not t for t in table["train"][head].as_py()], pa.bool_()), "n_tokens": pa.array(tokens),
+        "doc_id": table["doc_ids"][head].values, "held_out": pa.array([not t for t in table["trained"][head].as_py()], pa.bool_()), "n_tokens": pa.array(tokens),
         "n_known": pa.array(tokens - unknown), "train_tokens": pa.array([total] * len(tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(score),
     })
 
@@ -566,6 +641,6 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     blocks, answers = _answered(docs, held_out, hot, parts, order)
     sums = blocks.cogroup(answers.groupBy("part")).applyInArrow(
         _evaluate(hot, parts, order),
-        "block long, rows array<short>, score array<double>, base array<double>, unknown array<int>, total long, doc_ids array<long>, tokens array<long>, train array<int>",
+        "block long, rows binary, score binary, base binary, unknown binary, total long, doc_ids array<long>, tokens array<long>, trained array<int>",
     )
     return sums.groupBy("block").applyInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
