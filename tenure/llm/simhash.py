@@ -67,7 +67,8 @@ def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
         out = np.fromiter((fingerprint(t, words, seed) for t in texts), dtype=np.uint64, count=len(texts))
         return pd.Series(out.view(np.int64))
 
-    return run(text)
+    # As a join key it would be checked for null by a second evaluation, in a second Python worker of each task.
+    return run.asNondeterministic()(text)
 
 
 def gray_rank(fp: Column) -> Column:
