@@ -23,6 +23,10 @@ by w's hash: each part tells them its counts, asks for the totals and gets array
 order. Then each part evaluates its n-grams order by order and returns one sum for each row of each
 block. Hashes are 64 bits. The number of parts grows with the bytes of the texts (``PART_BYTES``).
 
+Memory of a task. A block is sorted and packed a range of parts at a time, a part built and evaluated a range
+of its last context words at a time (``PIECE`` n-grams, or all of one word): what shares a context shares that word.
+Only narrow columns are held for a whole block or part.
+
 Defined cases: null and empty texts are the end alone; no training rows: every word unknown with
 probability 1 (score 0); repeated rows count repeatedly; null ids are training rows; columns other than
 doc_id and text are not read; texts of any length are whole in one block, which they may make larger.
@@ -44,6 +48,7 @@ BLOCK_TOKENS = 2_000_000
 BLOCK_ROWS = 32_000
 HOT_ROWS = 2_000
 PART_BYTES = 16 << 20  # of text for each part, about 3M tokens
+PIECE = 1 << 18  # n-grams that are sorted and evaluated at once
 SLICE = 1 << 16
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
@@ -84,8 +89,8 @@ def _packs(values: np.ndarray, edges: np.ndarray, rising: bool = False) -> pa.Ar
     return pa.array([_pack(values[i:j], rising) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary())
 
 
-def _unpacks(column, dtype, rising: bool = False) -> list[np.ndarray]:
-    return [_unpack(x, dtype, rising) for x in column.to_pylist()]
+def _unpacks(column, dtype, rising: bool = False):
+    return (_unpack(x.as_py(), dtype, rising) for x in column)
 
 
 def _rank(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
@@ -114,10 +119,11 @@ def _flat(column) -> np.ndarray:
 
 def _previous(tokens: np.ndarray, size: np.ndarray, back: int, start) -> np.ndarray:
     """The token ``back`` places before each in its text (texts of ``size`` tokens), or ``start``."""
-    at = np.arange(len(tokens)) - back
-    inside = at >= np.repeat(np.cumsum(size) - size, size)
     out = np.full(len(tokens), start, dtype=tokens.dtype)
-    out[inside] = tokens[at[inside]]
+    out[back:] = tokens[: max(len(tokens) - back, 0)]
+    first = np.cumsum(size) - size
+    for i in range(back):
+        out[first[size > i] + i] = start
     return out
 
 
@@ -149,6 +155,17 @@ def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, place
 
 
+def _ranges(keys: np.ndarray, size: int):
+    """Places of the rows of each range of keys (below ``size``) that holds ``PIECE`` rows or just more, ranges ascending."""
+    n = np.bincount(keys, minlength=size)
+    at = np.cumsum(n) - n  # rows before each key
+    low = 0
+    while low < size and at[low] < len(keys):
+        high = int(np.searchsorted(at, at[low] + PIECE)) if at[low] + PIECE < len(keys) else size
+        yield np.arange(len(keys)) if (low, high) == (0, size) else np.flatnonzero((keys >= low) & (keys < high))
+        low = high
+
+
 def parts_for(docs: DataFrame) -> int:
     """Parts of the tables: one for each ``PART_BYTES`` of text, the session's shuffle width at least."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -226,26 +243,41 @@ def _blocks(hot_rows: list, parts: int, order: int):
     each and ``older3`` the trigrams' first words, and so on; ``train`` and ``n`` belong to the longest. Contexts, words
     and older words are places in the part's ``dictionary`` of hashes. All of these are packed.
     """
+    names = [c.split()[0] for c in _block_schema(order).split(", ")]
 
     def flush(name, held, hot):
+        ids, train = [i for i, _, _ in held], np.array([t for _, t, _ in held], dtype=np.int32)
         size = np.array([len(h) for _, _, h in held])
-        word, inverse = _grouped(np.concatenate([*(h for _, _, h in held), [START]]))
+        tokens = [*(h for _, _, h in held), [START]]
+        held.clear()  # the hashes are held once from here on
+        tokens = [np.concatenate(tokens)]
+        word, inverse = _grouped(tokens.pop())
         now = inverse[:-1]
-        row = np.repeat(np.arange(len(held), dtype=np.int16), size)
+        row = np.repeat(np.arange(len(ids), dtype=np.int16), size)
         before = [_previous(now, size, j, inverse[-1]) for j in range(1, order)]
-        context = word[before[0]]
-        place, still = context.copy(), hot.has(word)[before[0]]
-        for older in before[1:]:
-            context = _longer(context, word[older])
-            place[still] = context[still]
-            still &= hot.has(context)
-        place[still] = _longer(context[still], word[now[still]])
-        at = _part(place, parts)
-        del context, place, still
-        columns = [before[0], now, *before[1:]]
+        at, is_hot = np.empty(len(now), dtype=np.int32), hot.has(word)
+        for i in range(0, len(now), SLICE):
+            some = slice(i, i + SLICE)
+            context, still = word[before[0][some]], is_hot[before[0][some]]
+            place = context.copy()
+            for older in before[1:]:
+                context = _longer(context, word[older[some]])
+                place[still] = context[still]
+                still &= hot.has(context)
+            place[still] = _longer(context[still], word[now[some][still]])
+            at[some] = _part(place, parts)
+        for some in _ranges(at, parts):
+            yield packed(name, word, at[some], row[some], [c[some] for c in (before[0], now, *before[1:])], train)
+        head = {"part": pa.array([parts + int(name) % parts], pa.int32()), "block": pa.array([name], pa.int64())}
+        head |= {c: pa.array([None], pa.binary()) for c in names[2:-3]}
+        head["doc_ids"] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))
+        head["tokens"] = _lists(size.astype(np.int64), np.array([0, len(ids)]))
+        head["trained"] = _lists(train, np.array([0, len(ids)]))
+        yield pa.RecordBatch.from_pydict(head)
+
+    def packed(name, word, at, row, columns, train):
         rank = _rank([at, *columns], [parts, *[len(word)] * order])
         at, row, columns = at[rank], row[rank], [c[rank] for c in columns]
-        train = np.array([t for _, t, _ in held], dtype=np.int32)
         new = _new(at)
         here, at = at[new], np.cumsum(new) - 1  # parts from 0 on, without those that have nothing here
         edges = np.arange(len(here) + 1)
@@ -275,13 +307,7 @@ def _blocks(hot_rows: list, parts: int, order: int):
         out["n"] = _packs(np.diff(np.append(firsts[-1], len(row))).astype(np.int32), cuts[-1])
         out["rows"] = _packs(row, np.searchsorted(at, edges))
         out |= {c: pa.array([None] * len(here), t) for c, t in (("doc_ids", _LONGS), ("tokens", _LONGS), ("trained", pa.list_(pa.int32())))}
-        yield pa.RecordBatch.from_pydict(out)
-        head = {c: pa.array([None], a.type) for c, a in out.items()}
-        head["part"], head["block"] = pa.array([parts + int(name) % parts], pa.int32()), pa.array([name], pa.int64())
-        head["doc_ids"] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array([i for i, _, _ in held], pa.int64()))
-        head["tokens"] = _lists(size.astype(np.int64), np.array([0, len(held)]))
-        head["trained"] = _lists(train, np.array([0, len(held)]))
-        yield pa.RecordBatch.from_pydict(head)
+        return pa.RecordBatch.from_pydict(out)
 
     def run(batches):
         hot = _Hot(hot_rows)
@@ -314,23 +340,37 @@ class _Level:
         return context
 
 
-class _Grams:
-    """The tables of one part: distinct n-grams of each length with training counts, and their places in the input."""
+def _read(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """A part's words, ascending; its blocks' longest n-grams as places in them (context, word, older words); their training counts."""
+    pages = list(_unpacks(table.column("dictionary"), np.uint64, rising=True))
+    edges = np.cumsum([len(x) for x in pages])[:-1]
+    pages = [np.concatenate(pages)]
+    words, index = _grouped(pages.pop())  # ascending, so places sort like hashes
+    pages = np.split(index, edges)
 
-    def __init__(self, table: pa.Table, hot: _Hot, order: int) -> None:
-        pages = _unpacks(table.column("dictionary"), np.uint64, rising=True)
-        words, index = _grouped(np.concatenate(pages))  # ascending, so places sort like hashes
-        pages = np.split(index, np.cumsum([len(x) for x in pages])[:-1])
+    def looked_up(name: str, rising: bool = False) -> np.ndarray:
+        return np.concatenate([page[x] for page, x in zip(pages, _unpacks(table.column(name), np.uint32, rising))])
 
-        def looked_up(name: str, rising: bool = False) -> np.ndarray:
-            return np.concatenate([page[x] for page, x in zip(pages, _unpacks(table.column(name), np.uint32, rising))])
+    columns = [looked_up("context", rising=True), looked_up("word")]
+    for k in range(3, order + 1):
+        fan = np.concatenate(list(_unpacks(table.column(f"fan{k}"), np.int32)))
+        for i in range(len(columns)):
+            columns[i] = np.repeat(columns[i], fan)
+        columns.append(looked_up(f"older{k}"))
+    return words, columns, np.concatenate(list(_unpacks(table.column("train"), np.int32)))
 
-        columns = [looked_up("context", rising=True), looked_up("word")]
-        for k in range(3, order + 1):
-            fan = np.concatenate(_unpacks(table.column(f"fan{k}"), np.int32))
-            columns = [np.repeat(c, fan) for c in columns] + [looked_up(f"older{k}")]
-        train = np.concatenate(_unpacks(table.column("train"), np.int32))
-        del pages, index
+
+def _pieces(words: np.ndarray, columns: list[np.ndarray], train: np.ndarray, hot: _Hot):
+    """(places of a piece's n-grams in the columns, their ``_Grams``), by ascending contexts."""
+    for some in _ranges(columns[0], len(words)):
+        yield some, _Grams(words, [c[some] for c in columns], train[some], hot)
+
+
+class _Grams:
+    """The tables of a piece of a part: distinct n-grams of each length with training counts, and their places in the input."""
+
+    def __init__(self, words: np.ndarray, columns: list[np.ndarray], train: np.ndarray, hot: _Hot) -> None:
+        order = len(columns)
         rank = _rank(columns, [len(words)] * order).astype(np.int32)
         for k in range(order):
             columns[k] = columns[k][rank]
@@ -349,7 +389,6 @@ class _Grams:
             parent = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.place = np.empty(len(rank), dtype=np.int32)
         self.place[rank] = parent
-        self.asked = np.unique(self.word)
 
     def bigrams(self, k: int, places: np.ndarray) -> np.ndarray:
         """Places of the bigrams that n-grams of length k at ``places`` end in."""
@@ -408,6 +447,11 @@ _ANSWER = pa.schema([("part", pa.int32()), ("from", pa.int32()), ("counts", _LON
 _ANSWER_SQL = "part int, `from` int, counts array<long>, hot_counts array<long>, of_counts array<long>, words array<long>, hot_sums array<struct<key: long, kind: int, total: long>>"
 
 
+def _asked(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The words that n-grams end in, ascending."""
+    return words[np.bincount(columns[1], minlength=len(words)) > 0]
+
+
 def _ask(hot_rows: list, parts: int, order: int):
     """A part's message to each word part that it has words for, and to its own number."""
 
@@ -415,18 +459,27 @@ def _ask(hot_rows: list, parts: int, order: int):
         part = key[0].as_py()
         if part >= parts:
             return _EMPTY_ASK
-        big = _Grams(table, _Hot(hot_rows), order)
-        words, counts = big.told()
-        context, follow, r, _ = big.spread()
-        # Hot n-grams below the full length lie in several parts; the word parts count their counts.
-        of_counts = np.concatenate([_of_counts(x.r if k == order else x.r[~x.hot]) for k, x in enumerate(big.levels, 2)])
-        to = np.unique(np.concatenate((_part(big.asked, parts), _part(words, parts), [part])))
+        words, columns, train = _read(table, order)
+        last = _asked(words, columns)
+        told, spread, of_counts = [], [], 0
+        for _, big in _pieces(words, columns, train, _Hot(hot_rows)):
+            told.append(big.told())
+            spread.append(big.spread()[:3])
+            # Hot n-grams below the full length lie in several parts; the word parts count their counts.
+            of_counts += np.concatenate([_of_counts(x.r if k == order else x.r[~x.hot]) for k, x in enumerate(big.levels, 2)])
+        words, counts = (np.concatenate(x) for x in zip(*told))
+        rank = np.argsort(words, kind="stable")  # the end may be there from each piece
+        words, counts = words[rank], counts[rank]
+        context, follow, r = (np.concatenate(x) for x in zip(*spread))
+        rank = np.argsort(_part(follow, parts), kind="stable")  # in each word part by pieces, so a piece finds its own answers
+        context, follow, r = context[rank], follow[rank], r[rank]
+        to = np.unique(np.concatenate((_part(last, parts), _part(words, parts), [part])))
         edges = np.append(to, parts)
-        asked, told, pairs = (np.searchsorted(_part(x, parts), edges) for x in (big.asked, words, follow))
+        asked, told, pairs = (np.searchsorted(_part(x, parts), edges) for x in (last, words, follow))
         return pa.table({
             "to": pa.array(to, pa.int32()),
             "part": pa.array([part] * len(to), pa.int32()),
-            "asked": _lists(big.asked.view(np.int64), asked),
+            "asked": _lists(last.view(np.int64), asked),
             "word": _lists(words.view(np.int64), told),
             "count": _lists(counts, told),
             "hot": _lists(context.view(np.int64), pairs),
@@ -530,10 +583,12 @@ class _Sums:
                 self.shared[here] = low[here] @ d[length - 2] / np.maximum(self.held[up] + (self.kept[up] >= self.held[up]), 1)
 
 
-def _probabilities(big: _Grams, hot: _Hot, count: np.ndarray, hot_counts: np.ndarray, d: list, p: Unigrams, sums: _Sums) -> np.ndarray:
-    """P(w | h) of a part's longest n-grams, order by order; each level is let go when the next is done."""
+def _probabilities(big: _Grams, hot: _Hot, count: np.ndarray, hot_counts: np.ndarray, place: list[np.ndarray], d: list, p: Unigrams, sums: _Sums) -> np.ndarray:
+    """P(w | h) of a piece's longest n-grams, order by order; each level is let go when the next is done.
+
+    hot_counts are those of ``big.spread()``, place the last of its results.
+    """
     low = p(count)
-    *_, place = big.spread()
     for k, (level, hot_at) in enumerate(zip(big.levels, place), 2):
         r, level.r = level.r, None
         r[level.hot] = hot_counts[hot_at]
@@ -567,20 +622,34 @@ def _evaluate(hot_rows: list, parts: int, order: int):
             out = {c: [None] * table.num_rows for c in names} | {c: table[c] for c in ("block", "doc_ids", "tokens", "trained")}
             return pa.table({c: v if isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (c, v), t in zip(out.items(), types)})
         hot = _Hot(hot_rows)
-        big = _Grams(table, hot, order)
         answers = answers.sort_by("from")
         figures = next(x for x in answers["figures"].to_pylist() if x)
         n_words, total, *of_words = figures["words"]
         p, d = Unigrams(total, of_words), [discounts(x) for x in np.array(figures["of_counts"]).reshape(order - 1, K + 2)]
-        count = _flat(answers["counts"])[np.searchsorted(big.asked, big.word)]
-        bigram = big.bigrams(order, np.arange(len(big.levels[-1].r), dtype=np.int32))
-        logp = np.log10(_probabilities(big, hot, count, _flat(answers["hot_counts"]), d, p, _Sums(hot, figures["hot_sums"] or [], d, p)))
-        count = count[bigram]
-        base = np.log10((count + 1) / (total + n_words + 1))
+        sums = _Sums(hot, figures["hot_sums"] or [], d, p)
+        counts, hot_counts = _flat(answers["counts"]), _flat(answers["hot_counts"])
+        sources, told = answers["from"].to_numpy(), np.array([len(x) for x in answers["hot_counts"]], dtype=np.int64)
+        told = np.cumsum(told) - told  # where each word part's answers to the next piece begin
+        words, columns, train = _read(table, order)
+        last = _asked(words, columns)
+        logp, base, unknown = np.empty(len(train)), np.empty(len(train)), np.empty(len(train), dtype=bool)
+        for some, big in _pieces(words, columns, train, hot):
+            _, follow, _, place = big.spread()
+            source = np.searchsorted(sources, _part(follow, parts))
+            n = np.bincount(source, minlength=len(sources))
+            own = hot_counts[(told - np.cumsum(n) + n)[source] + np.arange(len(source))]
+            told += n
+            count = counts[np.searchsorted(last, big.word)]
+            bigram = big.bigrams(order, np.arange(len(big.levels[-1].r), dtype=np.int32))
+            logp[some] = np.log10(_probabilities(big, hot, count, own, place, d, p, sums))[big.place]
+            count = count[bigram]
+            base[some] = np.log10((count + 1) / (total + n_words + 1))[big.place]
+            unknown[some] = (count == 0)[big.place]
+        del columns, train
         start = 0
         for i in range(table.num_rows):
             n, rows = _unpack(table["n"][i].as_py(), np.int32), _unpack(table["rows"][i].as_py(), np.int16)
-            which = np.repeat(big.place[start : start + len(n)], n)
+            which = np.repeat(np.arange(start, start + len(n)), n)
             start += len(n)
             size = int(rows.max()) + 1
             here = np.flatnonzero(np.bincount(rows, minlength=size))
@@ -588,7 +657,7 @@ def _evaluate(hot_rows: list, parts: int, order: int):
             out["rows"].append(_pack(here.astype(np.int16), rising=True))
             out["score"].append(_pack(np.bincount(rows, weights=logp[which], minlength=size)[here]))
             out["base"].append(_pack(np.bincount(rows, weights=base[which], minlength=size)[here]))
-            out["unknown"].append(_pack(np.bincount(rows, weights=count[which] == 0, minlength=size)[here].astype(np.int32)))
+            out["unknown"].append(_pack(np.bincount(rows, weights=unknown[which], minlength=size)[here].astype(np.int32)))
             out["total"].append(total)
         out |= {c: [None] * len(out["block"]) for c in ("doc_ids", "tokens", "trained")}
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
